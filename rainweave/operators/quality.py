@@ -34,10 +34,10 @@ def validate(df: DataFrame, rules: dict[str, Column], strict: bool = False) -> C
 
 def weather_rules(rain="rainfall_mm", wind="wind_speed_kmph", cloud="cloud_cover_oktas", direction="wind_direction_deg",
                   rh_min="relative_humidity_min_pct", rh_max="relative_humidity_max_pct", t_min="temp_min_c",
-                  t_max="temp_max_c") -> dict[str, Column]:
-    """Physical ranges of a daily forecast record."""
-    c = F.col
-    present = reduce(lambda a, b: a & b, [finite(x) for x in (rain, wind, cloud, direction, rh_min, rh_max, t_min, t_max)])
+                  t_max="temp_max_c", get=F.col) -> dict[str, Column]:
+    """Physical ranges of a daily forecast record; `get` turns a name into a value."""
+    c = get
+    present = reduce(lambda a, b: a & b, [finite(c(x)) for x in (rain, wind, cloud, direction, rh_min, rh_max, t_min, t_max)])
     return {
         "Non-numeric or non-finite values": ~present,
         "Negative rainfall or wind speed": (c(rain) < 0) | (c(wind) < 0),
@@ -48,8 +48,8 @@ def weather_rules(rain="rainfall_mm", wind="wind_speed_kmph", cloud="cloud_cover
 
 
 def weather_warnings(issue="issue_date", valid="valid_date", rain="rainfall_mm", wind="wind_speed_kmph",
-                     t_min="temp_min_c", t_max="temp_max_c") -> dict[str, Column]:
-    c = F.col
+                     t_min="temp_min_c", t_max="temp_max_c", get=F.col) -> dict[str, Column]:
+    c = get
     return {
         "unusual physical values require review": (c(rain) > 500) | (c(t_min) < -20) | (c(t_max) > 55) | (c(wind) > 150),
         "valid date is on or before issue date": c(valid) <= c(issue),
