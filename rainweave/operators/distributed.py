@@ -108,6 +108,16 @@ def ordinal(df: DataFrame, order: Column, name: str = "idx") -> DataFrame:
     return ranks.select("value", (F.col("cum_n") - 1).cast("long").alias(name))
 
 
+def staged(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are computed once per row.
+
+    They come out of a one-row generator, so filters above read the values; a plain projection
+    would be copied into every filter and lambda that mentions it, level by level.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select(*[c for c in df.columns if c not in columns], F.inline(F.array(row)))
+
+
 def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
 

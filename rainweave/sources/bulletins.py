@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rainweave.functions import text as T
 from rainweave.operators import quality as Q
+from rainweave.operators.distributed import staged
 
 # Optional rows as (label pattern, lowest, highest).
 OPTIONAL = {
@@ -30,8 +31,8 @@ def _tokens(text: Column, label: str) -> Column:
 
 def parse(df: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """key, issued_date, `days` (five structs) and `reasons`; each bulletin is parsed in its own row."""
-    body = F.regexp_replace(text, "[ \t]+", " ")
-    rows = df.select(*key, body.alias("__b")).withColumns({
+    body = F.regexp_replace(text, "[\\u00a0\\t]+", " ")
+    rows = staged(staged(df.select(*key, text), {"__b": body}).drop(text), {
         "issued_date": T.date(T.extract(F.col("__b"), ISSUED), "d.M.yyyy"),
         "__start": T.date(T.extract(F.col("__b"), PERIOD), "d.M.yyyy"), "__labels": T.extract(F.col("__b"), DATE_ROW),
         "__rain": _tokens(F.col("__b"), RAIN), "__words": F.split(F.trim(T.extract(F.col("__b"), CLOUD)), r"\s+"),
@@ -46,7 +47,7 @@ def parse(df: DataFrame, key: list[str], text: str = "text") -> DataFrame:
         return (F.size(c) != DAYS) | F.exists(c, lambda t: ~F.rlike(t, F.lit(pattern)))
 
     cloudy = (F.size("__words") == DAYS) & F.forall("__words", lambda w: F.lower(w).isin("cloudy", "clear", "overcast"))
-    rows = rows.withColumn("__dates", dates)
+    rows = staged(rows, {"__dates": dates})
     rules = {"Rainfall row not found": F.col("__rain").isNull(),
              "Five daily rainfall values expected": F.coalesce(bad_tokens(F.col("__rain"), r"^\d+(\.\d+)?$"), F.lit(False)),
              "Forecast dates not found": F.col("__dates").isNull() | F.exists("__dates", lambda d: d.isNull())}
@@ -55,15 +56,17 @@ def parse(df: DataFrame, key: list[str], text: str = "text") -> DataFrame:
         rules[f"Invalid five-day forecast row: {v}"] = F.coalesce(bad_tokens(c, r"^-?\d+(\.\d+)?$"), F.lit(False))
         rules[f"Out-of-range forecast row: {v}"] = F.coalesce(
             F.exists(c, lambda t: ~T.number(t).between(low, high)), F.lit(False))
-    day = F.transform(F.sequence(F.lit(1), F.lit(DAYS)), lambda i: F.struct(
-        F.try_element_at("__dates", i).alias("valid_date"), T.number(F.try_element_at("__rain", i)).alias("rainfall_mm"),
-        *[T.number(F.try_element_at(F.col(f"__{v}"), i)).alias(v) for v in OPTIONAL],
-        F.when(cloudy, F.try_element_at("__words", i)).alias("cloud_description")))
-    rows = rows.withColumn("days", day)
+    parts = {"valid_date": F.col("__dates"), "rainfall_mm": F.transform("__rain", T.number),
+             **{v: F.transform(f"__{v}", T.number) for v in OPTIONAL}, "cloud_description": F.when(cloudy, F.col("__words"))}
+    blank = {v: F.array_repeat(F.lit(None).cast(t), DAYS) for v, t in
+             ((v, "date" if v == "valid_date" else "string" if v == "cloud_description" else "double") for v in parts)}
+    rows = staged(rows, {f"__p_{v}": F.coalesce(c, blank[v]) for v, c in parts.items()})
+    rows = staged(rows, {"days": F.slice(F.transform(F.arrays_zip(*[f"__p_{v}" for v in parts]), lambda z: F.struct(
+        *[z[f"__p_{v}"].alias(v) for v in parts])), 1, DAYS)})
     for low, high in (("temp_min_c", "temp_max_c"), ("relative_humidity_min_pct", "relative_humidity_max_pct")):
         rules[f"Inverted forecast range: {low}/{high}"] = F.coalesce(
-            F.exists("days", lambda d, a=low, b=high: F.coalesce(d[a] > d[b], F.lit(False))), F.lit(False))
-    return rows.withColumn("reasons", Q.reasons(rules)).select(*key, "issued_date", "days", "reasons")
+            F.exists("days", lambda d: F.coalesce(d[low] > d[high], F.lit(False))), F.lit(False))
+    return staged(rows, {"reasons": Q.reasons(rules)}).select(*key, "issued_date", "days", "reasons")
 
 
 def records(parsed: DataFrame, key: list[str]) -> DataFrame:

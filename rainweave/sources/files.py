@@ -15,10 +15,14 @@ def read_json(spark: SparkSession, path: str, schema: StructType | str, multilin
     return spark.read.schema(schema).option("multiLine", multiline).json(path)
 
 
-def read_geojson(spark: SparkSession, path: str, properties: str, coordinates: str = "array<array<array<double>>>") -> DataFrame:
-    """One row per feature: its properties, geometry type and coordinates."""
+def read_geojson(spark: SparkSession, path: str, properties: str, coordinates: str = "array<array<array<double>>>",
+                 multiline: bool = True) -> DataFrame:
+    """One row per feature: its properties, geometry type and coordinates.
+
+    A collection per file by default; multiline=False reads one collection per line.
+    """
     feature = f"struct<properties:struct<{properties}>,geometry:struct<type:string,coordinates:{coordinates}>>"
-    raw = read_json(spark, path, f"features array<{feature}>")
+    raw = read_json(spark, path, f"features array<{feature}>", multiline)
     return raw.select(F.explode("features").alias("f")).select("f.properties.*", F.col("f.geometry.type").alias("geometry_type"),
                                                                F.col("f.geometry.coordinates").alias("coordinates"))
 

@@ -18,23 +18,22 @@ def arrivals(spark: SparkSession, path: str) -> DataFrame:
                       F.decode("content", F.lit("UTF-8")).alias("content"), F.sha2("content", 256).alias("sha256"))
 
 
-def import_stream(spark: SparkSession, path: str, out: str, checkpoint: str, districts: list[str] = ("Nashik",)) -> StreamingQuery:
-    """Validate each batch like the batch import and append records and report below `out`.
+def import_stream(files: DataFrame, out: str, checkpoint: str, districts: list[str] = ("Nashik",)) -> StreamingQuery:
+    """Validate each batch of a (file, content, sha256) stream like the batch import; write below `out`.
 
     A content hash already imported is skipped, within a batch, across batches and when a batch is
     replayed after a failure: batches write to their own folder with overwrite.
     """
     def merge(batch: DataFrame, epoch: int) -> None:
-        session = batch.sparkSession
-        fresh = batch.dropDuplicates(["sha256"])
-        seen = _seen(session, out, epoch)
+        fresh = batch.groupBy("sha256").agg(F.min("file").alias("file")).join(batch, ["sha256", "file"]).dropDuplicates(["sha256"])
+        seen = _seen(batch.sparkSession, out, epoch)
         if seen is not None:
             fresh = fresh.join(seen, "sha256", "left_anti")
         parsed = B.parse(fresh, districts)
         parsed.select("file", "sha256", "reasons", "warnings").write.mode("overwrite").parquet(f"{out}/files/epoch={epoch}")
         B.records(parsed).write.mode("overwrite").parquet(f"{out}/records/epoch={epoch}")
 
-    return (arrivals(spark, path).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    return (files.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 

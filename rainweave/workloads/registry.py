@@ -34,12 +34,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def spark_view(spark: SparkSession, sf: str, text: str) -> DataFrame:
     """Run input-shaping SQL whose tables are written as {name}."""
-    names = set(re.findall(r"\{(\w+)\}", text))
+    names = set(re.findall(r"\{([a-z]+)\}", text))
     return spark.sql(text, **{n: table(spark, sf, n) for n in names})
 
 
 def ddb(text: str) -> str:
-    return re.sub(r"\{(\w+)\}", r"\1", text)
+    return re.sub(r"\{([a-z]+)\}", r"\1", text)
 
 
 def load_all() -> None:
