@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from rainweave.operators import spatial as X
+from rainweave.operators.covariates import COAST, RIVERS
 from rainweave.workloads import inputs as I
 from rainweave.workloads.allocation import villages
 from rainweave.workloads.registry import query, spark_view, table
@@ -75,14 +76,6 @@ def jn12(spark, sf):
     return X.adjacency(cells(spark, sf), "grid_id", "lat", "lon").drop("d2")
 
 
-# Coast and river reference points as (lon, lat).
-COAST = [(72.82, 18.90), (72.73, 19.97), (72.87, 18.64), (73.09, 17.81),
-         (73.30, 16.99), (73.63, 15.86), (72.80, 19.40), (72.70, 20.20)]
-RIVERS = [(73.53, 19.94), (73.79, 19.99), (74.11, 20.08), (74.50, 20.00), (75.30, 19.50), (77.30, 19.10),
-          (73.85, 18.53), (74.58, 18.15), (75.90, 17.65), (74.20, 16.70),
-          (74.20, 21.30), (75.56, 21.01), (77.00, 21.20)]
-
-
 def distance_sql(points, lat="lat", lon="lon"):
     def one(p):
         a = (f"(power(sin(radians({p[1]}e0 - {lat}) / 2), 2) + cos(radians({lat})) * cos(radians({p[1]}e0))"
