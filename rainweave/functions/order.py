@@ -8,10 +8,10 @@ BITS = 4096
 
 
 def order_buckets(c: Column) -> list[Column]:
-    """Three integers whose lexicographic order follows the number's order.
+    """Two integers whose lexicographic order follows the number's order.
 
-    The first is the signed octave, the next two slice the mantissa into 4096 parts each, so
-    even a group whose values crowd into a narrow range falls into many buckets.
+    The first joins the signed octave with the leading 12 bits of the mantissa, the second holds
+    the next 12 bits, so even values that crowd into a narrow range fall into many buckets.
     """
     v = c.cast("double")
     size = F.abs(v)
@@ -20,8 +20,6 @@ def order_buckets(c: Column) -> list[Column]:
     rest = (part - F.floor(part)) * BITS
     sign = F.when(v < 0, F.lit(-1)).otherwise(F.lit(1))
     zero = F.lit(0).cast("long")
-    return [
-        F.when(v == 0, zero).otherwise(sign * (octave + 1100)).cast("long"),
-        F.when(v == 0, zero).otherwise(sign * F.floor(part)).cast("long"),
-        F.when(v == 0, zero).otherwise(sign * F.floor(rest)).cast("long"),
-    ]
+    # Octaves start at -1074; the gap of two octaves absorbs rounding at either end of one.
+    return [F.when(v == 0, zero).otherwise(sign * ((octave + 1100) * BITS * 2 + F.floor(part))).cast("long"),
+            F.when(v == 0, zero).otherwise(sign * F.floor(rest)).cast("long")]

@@ -41,34 +41,33 @@ def running_sums(df: DataFrame, groups: list[str], order: Column, sums: dict[str
                  name: str = "value", totals: bool = False) -> DataFrame:
     """Inclusive running sums per distinct value in ascending order within each group.
 
-    Returns groups, `name`, each sum for that value, `cum_<sum>`, and `total_<sum>` on request. Totals run bottom-up over
-    three bucket levels; every window sees one bucket's children, never the whole group.
+    Returns groups, `name`, each sum for that value, `cum_<sum>`, and `total_<sum>` on request.
+    Totals run bottom-up over two bucket levels; every window sees one bucket's children, never
+    the whole group. Both levels read the shuffled distinct values, not the input again.
     """
-    counts = (df.withColumn(name, order).where(F.col(name).isNotNull())
-              .groupBy(*groups, name).agg(*[F.sum(c).alias(s) for s, c in sums.items()]))
-    b = [f"__b{i}" for i in range(3)]
-    counts = counts.withColumns(dict(zip(b, order_buckets(F.col(name)))))
-    levels = []
-    lower = counts
-    for depth in (3, 2, 1):
-        lower = lower.groupBy(*groups, *b[:depth]).agg(*[F.sum(s).alias(s) for s in sums])
-        levels.append((depth, lower))
-    inside = Window.partitionBy(*groups, *b).orderBy(name).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    out = counts.withColumns({f"cum_{s}": F.sum(s).over(inside) for s in sums})
-    for depth, sizes in levels:
-        parents = [*groups, *b[:depth - 1]]
-        before = Window.partitionBy(*(parents or [F.lit(0)])).orderBy(b[depth - 1]).rowsBetween(
-            Window.unboundedPreceding, -1)
-        offsets = sizes.select(*groups, *b[:depth], *[
-            F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"__o_{s}") for s in sums])
-        out = attach(out, offsets, [*groups, *b[:depth]])
-        out = out.withColumns({f"cum_{s}": F.col(f"cum_{s}") + F.col(f"__o_{s}") for s in sums})
-        out = out.drop(*[f"__o_{s}" for s in sums])
-    if totals:
-        whole = levels[-1][1].groupBy(*groups).agg(*[F.sum(s).alias(f"total_{s}") for s in sums])
-        out = attach(out, whole, groups)
-    return out.drop(*b)
+    # One struct key: NULL group values match, and the window's partitioning serves the join.
+    key = F.struct(*groups) if groups else F.lit(0)
+    at = ["__key", "__b0", "__b1"]
+    counts = (df.select(key.alias("__key"), order.alias(name), *[c.alias(s) for s, c in sums.items()])
+              .where(F.col(name).isNotNull()).groupBy("__key", name).agg(*[F.sum(s).alias(s) for s in sums]))
+    counts = counts.withColumns(dict(zip(at[1:], order_buckets(F.col(name)))))
+    fine = counts.groupBy(*at).agg(*[F.sum(s).alias(s) for s in sums])
+    coarse = fine.groupBy(*at[:2]).agg(*[F.sum(s).alias(s) for s in sums])
+
+    def before(s, parents, order_by):
+        frame = Window.partitionBy(*parents).orderBy(order_by).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(s).over(frame), F.lit(0))
+
+    coarse = coarse.select(*at[:2], *[before(s, at[:1], "__b0").alias(f"__o_{s}") for s in sums],
+                           *([F.sum(s).over(Window.partitionBy("__key")).alias(f"total_{s}") for s in sums] if totals else []))
+    fine = fine.select(*at, *[before(s, at[:2], "__b1").alias(f"__p_{s}") for s in sums])
+    offsets = fine.join(coarse, at[:2])
+    inside = Window.partitionBy(*at).orderBy(name).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = counts.withColumns({f"cum_{s}": F.sum(s).over(inside) for s in sums}).join(offsets, at)
+    return out.select(
+        *[F.col("__key")[g].alias(g) for g in groups], name, *sums,
+        *[(F.col(f"cum_{s}") + F.col(f"__p_{s}") + F.col(f"__o_{s}")).alias(f"cum_{s}") for s in sums],
+        *([f"total_{s}" for s in sums] if totals else []))
 
 
 def exact_quantiles(df: DataFrame, groups: list[str], value: Column, quantiles: dict[str, float],

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from rainweave.functions.numeric import ratio
 from rainweave.operators.distributed import attach, ordinal, running_sums
+from rainweave.session import cut_lineage
 
 
 def member_factors(members: int = 30, scale: float = 0.18) -> list[float]:
@@ -59,8 +60,10 @@ def bootstrap_counts(counts: DataFrame, unit: str, fields: list[str], reps: int
     """Summed counts of each replicate: circular blocks of adjacent units, drawn by hash.
 
     Units keep everything that happened in them together. A replicate has as many units as the
-    table; the draws come from exploding the units themselves.
+    table; the draws come from exploding the units themselves. The per-unit counts are written
+    once, since numbering, drawing and summing all read them.
     """
+    counts = cut_lineage(counts.select(unit, *fields))
     place = ordinal(counts, F.col(unit).cast("double"), "__idx")
     rows = counts.withColumn("value", F.col(unit).cast("double")).join(place, "value").drop("value")
     rows = attach(rows, rows.agg(F.count(F.lit(1)).alias("__size")), [])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from rainweave.operators import allocation, comparison
+from rainweave.session import cut_lineage
 
 VARIABLES = ["rainfall_mm", "temp_max_c", "temp_min_c", "humidity_pct"]
 
@@ -37,8 +38,13 @@ def compared(paired: DataFrame) -> DataFrame:
 
 
 def route_report(villages: DataFrame, block_forecast: DataFrame, district_forecast: DataFrame) -> DataFrame:
-    """Statistics overall, per date, and per block and date."""
+    """Statistics overall, per date, and per block and date.
+
+    The paired rows feed both the sums and the exact quantiles, so they are written once.
+    """
     rows = compared(paired_routes(villages, block_forecast, district_forecast).paired)
     rows = rows.withColumnRenamed("left_block_id", "block_id").withColumnRenamed("left_area_m2", "area_m2")
+    rows = cut_lineage(rows.select("valid_date", "block_id", "area_m2", "left_local_rainfall_mm", "right_local_rainfall_mm",
+                                   "difference_mm", "source_component_mm", "reference_component_mm"))
     return comparison.pair_stats(rows, [[], ["valid_date"], ["valid_date", "block_id"]],
                                  "left_local_rainfall_mm", "right_local_rainfall_mm", "area_m2")

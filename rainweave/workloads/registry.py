@@ -28,8 +28,15 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+_READ: dict[tuple, DataFrame] = {}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """The table's plan, with its footer read once per session."""
+    key = (spark.sparkContext.applicationId, id(spark), sf, name)
+    if key not in _READ:
+        _READ[key] = spark.read.parquet(f"{sf}/{name}.parquet")
+    return _READ[key]
 
 
 def spark_view(spark: SparkSession, sf: str, text: str) -> DataFrame:
