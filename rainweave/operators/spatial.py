@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from rainweave.functions.numeric import clamp, haversine_km
 from rainweave.operators.distributed import attach
 
-LEAF = 256
+LEAF = 64
 BLOCK = 512
 
 
@@ -78,19 +78,19 @@ def knn(targets: DataFrame, refs: DataFrame, k: int, target_id: str, ref_id: str
     probe = probe.withColumns({g[j]: up(base(x[j]), F.col("__l")) for j in dims})
     start = probe.join(pyramid, ["__l", *g], "left").groupBy(*x, *s).agg(
         F.coalesce(F.min(F.when(F.col("__n") >= need, F.col("__l"))), F.lit(levels - 1)).alias("__start"))
-    size = F.lit(finest) * F.pow(F.lit(4.0), F.col("__start"))
-    start = start.withColumns({"__size": size, "__r": size * math.sqrt(len(coords))})
+    def size(level):
+        return F.lit(finest) * F.pow(F.lit(4.0), F.col(level))
+
+    # Cells within reach at the start level and all coarser ones: there a leaf may be the cell itself
+    # (own), and below the start level a leaf is registered under its ancestor.
+    wanted = start.withColumns({"__r": size("__start") * math.sqrt(len(coords)),
+                                "__l": F.explode(F.sequence(F.col("__start").cast("int"), F.lit(levels - 1)))})
     for j in dims:
         reach = F.col("__r") / F.greatest(F.col(s[j]), F.lit(1e-3))
-        start = start.withColumn(f"__c{j}", F.explode(F.sequence(
-            F.floor((F.col(x[j]) - reach + half) / F.col("__size")),
-            F.floor((F.col(x[j]) + reach + half) / F.col("__size")))))
-    above = F.transform(F.sequence(F.col("__start").cast("int"), F.lit(levels - 1)), lambda lv: F.struct(
-        lv.alias("__l"), *[up(F.col(f"__c{j}"), lv - F.col("__start")).alias(g[j]) for j in dims],
-        F.lit(True).alias("__own")))
-    below = F.array(F.struct(F.col("__start").cast("int").alias("__l"),
-                             *[F.col(f"__c{j}").cast("long").alias(g[j]) for j in dims], F.lit(False).alias("__own")))
-    wanted = start.select(*x, *s, "__r", F.inline(F.concat(above, below))).distinct()
+        wanted = wanted.withColumn(g[j], F.explode(F.sequence(
+            F.floor((F.col(x[j]) - reach + half) / size("__l")), F.floor((F.col(x[j]) + reach + half) / size("__l")))))
+    kinds = F.when(F.col("__l") == F.col("__start"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
+    wanted = wanted.withColumn("__own", F.explode(kinds)).drop("__start")
     pairs = wanted.join(registry.withColumn("__l", F.col("__l").cast("int")), ["__l", *g, "__own"]).select(
         *x, *s, "__r", "__ll", *[f"__lg{j}" for j in dims], "__n", *[f"__lo{j}" for j in dims],
         *[f"__hi{j}" for j in dims])
@@ -108,7 +108,7 @@ def knn(targets: DataFrame, refs: DataFrame, k: int, target_id: str, ref_id: str
     bound = F.least(F.pow("__r", F.lit(2)), F.min("__far").over(Window.partitionBy(*x, *s)))
     # A little slack keeps leaves that rounding puts just outside.
     pairs = pairs.withColumn("__bound", bound).where(F.col("__near") <= F.col("__bound") * (1 + 1e-9) + 1e-18)
-    lists = pairs.select(*x, *s, "__ll", *[f"__lg{j}" for j in dims]).join(
+    lists = pairs.select(*x, *s, "__bound", "__ll", *[f"__lg{j}" for j in dims]).join(
         leaves.select(*leaf_key, "__pts"), ["__ll", *[f"__lg{j}" for j in dims]])
 
     def squared(p):
@@ -117,8 +117,9 @@ def knn(targets: DataFrame, refs: DataFrame, k: int, target_id: str, ref_id: str
             total = total + F.pow((F.col(x[j]) - p[x[j]]) * F.col(s[j]), 2)
         return total
 
-    best = F.slice(F.array_sort(F.transform("__pts", lambda p: F.struct(squared(p).alias("d2"),
-                                                                       p["__rid"].alias("rid")))), 1, need)
+    marked = F.filter(F.transform("__pts", lambda p: F.struct(squared(p).alias("d2"), p["__rid"].alias("rid"))),
+                      lambda p: p["d2"] <= F.col("__bound") * (1 + 1e-9) + 1e-18)
+    best = F.slice(F.array_sort(marked), 1, need)
     merged = lists.select(*x, *s, best.alias("__best")).groupBy(*x, *s).agg(
         F.slice(F.array_sort(F.flatten(F.collect_list("__best"))), 1, need).alias("__best"))
     out = named.join(merged, [*x, *s])

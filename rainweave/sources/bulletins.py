@@ -24,40 +24,51 @@ CLOUD = r"(?i)Cloud\s*Cover[ ]+([^\r\n]+)"
 DAYS = 5
 
 
-def _tokens(text: Column, label: str) -> Column:
-    rest = T.extract(text, rf"(?i){label}[ ]*([^\r\n]*)")
-    return F.filter(F.split(F.trim(rest), r"\s+"), lambda t: t != "")
+def _row(text: Column, label: str) -> Column:
+    """The label and the rest of its line, empty where the label does not occur."""
+    return F.regexp_extract(text, rf"(?i){label}[ ]*[^\r\n]*", 0)
+
+
+def _values(row: Column, label: str, pattern: str) -> Column:
+    """Numbers after the label, NULL for a token that is none; NULL where the row is absent."""
+    rest = F.trim(F.regexp_replace(row, rf"(?i)^{label}", ""))
+    tokens = F.filter(F.split(rest, r"\s+"), lambda t: t != "")
+    return F.when(row != "", F.transform(tokens, lambda t: F.when(F.rlike(t, F.lit(pattern)), t.try_cast("double"))))
 
 
 def parse(df: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """key, issued_date, `days` (five structs) and `reasons`; each bulletin is parsed in its own row."""
     body = F.regexp_replace(text, "[\\u00a0\\t]+", " ")
-    rows = staged(staged(df.select(*key, text), {"__b": body}).drop(text), {
-        "issued_date": T.date(T.extract(F.col("__b"), ISSUED), "d.M.yyyy"),
-        "__start": T.date(T.extract(F.col("__b"), PERIOD), "d.M.yyyy"), "__labels": T.extract(F.col("__b"), DATE_ROW),
-        "__rain": _tokens(F.col("__b"), RAIN), "__words": F.split(F.trim(T.extract(F.col("__b"), CLOUD)), r"\s+"),
-        **{f"__{v}": _tokens(F.col("__b"), p) for v, (p, _, _) in OPTIONAL.items()}})
+    rows = staged(df.select(*key, text), {"__b": body}).drop(text)
+    text_rows = {"__rain": RAIN, **{f"__{v}": p for v, (p, _, _) in OPTIONAL.items()}}
+    rows = staged(rows, {
+        "issued_date": T.date(F.nullif(F.regexp_extract("__b", ISSUED, 1), F.lit("")), "d.M.yyyy"),
+        "__start": T.date(F.nullif(F.regexp_extract("__b", PERIOD, 1), F.lit("")), "d.M.yyyy"),
+        "__labels": F.nullif(F.regexp_extract("__b", DATE_ROW, 1), F.lit("")),
+        "__words": F.split(F.trim(F.nullif(F.regexp_extract("__b", CLOUD, 1), F.lit(""))), r"\s+"),
+        **{f"{v}_row": _row(F.col("__b"), p) for v, p in text_rows.items()}})
+    rows = staged(rows, {v: _values(F.col(f"{v}_row"), p, r"^\d+(\.\d+)?$" if v == "__rain" else r"^-?\d+(\.\d+)?$")
+                         for v, p in text_rows.items()})
     # Long digit runs would not fit a day number.
     numbers = F.transform(F.split(F.trim("__labels"), r"\s+"), lambda d: d.try_cast("int"))
     later = F.transform(F.sequence(F.lit(1), F.lit(DAYS)), lambda i: F.date_add("issued_date", i.cast("int")))
     dates = F.when(F.col("__labels").isNotNull() & F.col("__start").isNotNull(), T.rolled_dates(numbers, F.col("__start"))).when(
         F.col("issued_date").isNotNull(), later)
 
-    def bad_tokens(c, pattern):
-        return (F.size(c) != DAYS) | F.exists(c, lambda t: ~F.rlike(t, F.lit(pattern)))
+    def incomplete(c):
+        return F.coalesce((F.size(c) != DAYS) | F.exists(c, lambda t: t.isNull()), F.lit(False))
 
     cloudy = (F.size("__words") == DAYS) & F.forall("__words", lambda w: F.lower(w).isin("cloudy", "clear", "overcast"))
     rows = staged(rows, {"__dates": dates})
     rules = {"Rainfall row not found": F.col("__rain").isNull(),
-             "Five daily rainfall values expected": F.coalesce(bad_tokens(F.col("__rain"), r"^\d+(\.\d+)?$"), F.lit(False)),
+             "Five daily rainfall values expected": incomplete(F.col("__rain")),
              "Forecast dates not found": F.col("__dates").isNull() | F.exists("__dates", lambda d: d.isNull())}
     for v, (_, low, high) in OPTIONAL.items():
         c = F.col(f"__{v}")
-        rules[f"Invalid five-day forecast row: {v}"] = F.coalesce(bad_tokens(c, r"^-?\d+(\.\d+)?$"), F.lit(False))
+        rules[f"Invalid five-day forecast row: {v}"] = incomplete(c)
         rules[f"Out-of-range forecast row: {v}"] = F.coalesce(
-            F.exists(c, lambda t: ~T.number(t).between(low, high)), F.lit(False))
-    parts = {"valid_date": F.col("__dates"), "rainfall_mm": F.transform("__rain", T.number),
-             **{v: F.transform(f"__{v}", T.number) for v in OPTIONAL}, "cloud_description": F.when(cloudy, F.col("__words"))}
+            F.exists(c, lambda t: ~t.between(low, high)), F.lit(False))
+    parts = {"valid_date": F.col("__dates"), "rainfall_mm": F.col("__rain"), **{v: F.col(f"__{v}") for v in OPTIONAL}, "cloud_description": F.when(cloudy, F.col("__words"))}
     blank = {v: F.array_repeat(F.lit(None).cast(t), DAYS) for v, t in
              ((v, "date" if v == "valid_date" else "string" if v == "cloud_description" else "double") for v in parts)}
     rows = staged(rows, {f"__p_{v}": F.coalesce(c, blank[v]) for v, c in parts.items()})

@@ -9,7 +9,7 @@ from rainweave.session import checkpoint_dir
 from rainweave.sources import block_tables as B, files, grids
 from rainweave.streaming.imports import import_stream
 from rainweave.workloads import inputs as I
-from rainweave.workloads.registry import query, spark_view, table
+from rainweave.workloads.registry import query, spark_view, spread, table
 from rainweave.workloads.runs import snk3
 
 # Values of a customer's five-day table; kind decides which files are broken.
@@ -27,7 +27,7 @@ ISSUES = {7: "Negative rainfall or wind speed", 8: "Missing required row: wind_d
 
 def block_files(spark, sf):
     """CSV texts written from customers, some broken on purpose."""
-    rows = spark_view(spark, sf, TABLES)
+    rows = spread(spark_view(spark, sf, TABLES))
     kind = F.col("kind")
     names = {v: s[0] for v, s in B.LABELS.items()}
 

@@ -39,6 +39,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return _READ[key]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan with fewer partitions than cores to all cores, ahead of heavy per-row text work."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def spark_view(spark: SparkSession, sf: str, text: str) -> DataFrame:
     """Run input-shaping SQL whose tables are written as {name}."""
     names = set(re.findall(r"\{([a-z]+)\}", text))

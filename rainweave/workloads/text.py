@@ -76,8 +76,8 @@ SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d, o_orderkey % 3 AS kind,
 
 def bulletin_texts(spark, sf):
     """Text bulletins written from order values: five rain values after the label, older ones before it."""
-    from rainweave.workloads.registry import spark_view
-    rows = spark_view(spark, sf, BULLETIN)
+    from rainweave.workloads.registry import spark_view, spread
+    rows = spread(spark_view(spark, sf, BULLETIN))
     day = lambda i: F.date_format(F.date_add("d", i), "dd")
     rain = [F.col(f"r{i}").cast("string") for i in range(5)]
     rain[4] = F.when(F.col("kind") == 2, F.lit("n/a")).otherwise(rain[4])
