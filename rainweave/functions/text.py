@@ -43,6 +43,11 @@ def date(c, *formats: str) -> Column:
     return F.coalesce(*[F.try_to_timestamp(F.trim(_c(c)), F.lit(f)).cast("date") for f in formats])
 
 
+def utf8(c) -> Column:
+    """Bytes as text; invalid UTF-8 becomes empty text, which every parser rejects, so one bad file stops no other."""
+    return F.coalesce(F.try_validate_utf8(_c(c).cast("string")), F.lit(""))
+
+
 def extract(c, pattern: str, group: int = 1) -> Column:
     """Captured text, or NULL where the pattern does not occur."""
     return F.when(F.rlike(_c(c), F.lit(pattern)), F.regexp_extract(_c(c), pattern, group))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from rainweave.functions.text import utf8
 from rainweave.sources import block_tables as B
 
 SOURCE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
@@ -15,7 +16,7 @@ def arrivals(spark: SparkSession, path: str) -> DataFrame:
     raw = (spark.readStream.format("binaryFile").schema(SOURCE_SCHEMA)
            .option("pathGlobFilter", "*.{csv,CSV}").load(path))
     return raw.select(F.url_decode(F.element_at(F.split("path", "/"), -1)).alias("file"),
-                      F.decode("content", F.lit("UTF-8")).alias("content"), F.sha2("content", 256).alias("sha256"))
+                      utf8("content").alias("content"), F.sha2("content", 256).alias("sha256"))
 
 
 def import_stream(files: DataFrame, out: str, checkpoint: str, districts: list[str] = ("Nashik",)) -> StreamingQuery:
