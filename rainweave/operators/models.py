@@ -137,7 +137,7 @@ def importances(model: Model, x: list[str], df: DataFrame) -> DataFrame:
 
 # --- residual interpolation -----------------------------------------------------------------
 
-MAX_STATIONS = 3000
+MAX_STATIONS = 8000
 
 
 def density_rule(stations: DataFrame, groups: list[str]) -> DataFrame:
@@ -177,7 +177,11 @@ def kriging_weights(stations: DataFrame, group: str, lon: str, lat: str, value:
         np.fill_diagonal(gamma, 0.0)
         k = drift.shape[1]
         system = np.block([[gamma, drift], [drift.T, np.zeros((k, k))]])
-        answer = np.linalg.lstsq(system, np.concatenate([z, np.zeros(k)]), rcond=None)[0]
+        wanted = np.concatenate([z, np.zeros(k)])
+        try:
+            answer = np.linalg.solve(system, wanted)
+        except np.linalg.LinAlgError:  # stations sharing a spot
+            answer = np.linalg.lstsq(system, wanted, rcond=None)[0]
         d = [float(a) for a in answer[n:]] + [0.0] * (3 - k)
         return pd.DataFrame({group: pdf[group], "lon": xy[:, 0], "lat": xy[:, 1], "w": answer[:n], "drift": [d] * n, "vario": [vario] * n})
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from rainweave.operators import allocation, covariates as K, ensemble as E, models as M, rules as R, spatial as X
+from rainweave.session import cut_lineage
 
 FEATURES = ["elevation_mean", "elevation_std", "slope_mean", "aspect_mean", "lulc_tree_pct", "lulc_crop_pct", "lulc_urban_pct",
             "lulc_water_pct", "dist_to_coast_km", "dist_to_water_km", "historical_rain_bias"]
@@ -14,13 +15,14 @@ def training_rows(observations: DataFrame, covariates: DataFrame, station: str =
                   date: str = "date", value: str = "rainfall_mm", x: list[str] = FEATURES) -> DataFrame:
     """Station deviations from their district mean with the covariates of the nearest village.
 
-    The nearest village is looked up once per station, not once per observation.
+    The nearest village is looked up once per station, not once per observation. Checks, fits and
+    scores all read the rows, so they are written once.
     """
     rows = allocation.decompose(observations, [district, date], value)
     places = observations.groupBy(station).agg(F.first("lat").alias("lat"), F.first("lon").alias("lon"))
     near = X.nearest(places, covariates, station, "panchayat_id", ["lat", "lon"], ["centroid_lat", "centroid_lon"])
     near = near.select(station, "panchayat_id").join(covariates.select("panchayat_id", *x), "panchayat_id").drop("panchayat_id")
-    return rows.join(near, station)
+    return cut_lineage(rows.join(near, station))
 
 
 def train(rows: DataFrame, x: list[str] = FEATURES, target: str = "deviation", trees: int = 60):

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from rainweave.functions.numeric import sigmoid
 from rainweave.operators import models as M, selection as S, verification as V
 from rainweave.operators.distributed import attach
+from rainweave.session import cut_lineage
 
 THRESHOLDS = [0.05, 0.075, 0.1, 0.125, 0.15, 0.175, 0.2, 0.225, 0.25, 0.275, 0.3, 0.325, 0.35, 0.375, 0.4,
               0.45, 0.5, 0.6, 0.7, 0.8]
@@ -36,8 +37,8 @@ def event_probabilities(rows: DataFrame, x: list[str], event: str, trees: int =
 
 
 def select_models(rows: DataFrame, x: list[str], y: str, raw: str, event_at: float = 20.0, trees: int = 20) -> DataFrame:
-    """One row: the chosen amount model and the chosen alert threshold."""
-    rows = rows.withColumn("event", (F.col(y) >= event_at).cast("double"))
+    """One row: the chosen amount model and the chosen alert threshold. Every fit reads the rows, so they are written once."""
+    rows = cut_lineage(rows.withColumn("event", (F.col(y) >= event_at).cast("double")))
     scores = V.amounts(amount_candidates(rows, x, y, raw, trees=trees), F.col(y), F.col("p"), ["ord", "candidate"])
     amount = S.best_amount(scores, [], "raw", fallback="baseline")
     sweep = V.threshold_sweep(event_probabilities(rows, x, "event", trees), F.col("event") == 1, F.col("probability"), THRESHOLDS)

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from rainweave.operators.distributed import attach
-
 
 def forecast_subset(steps: DataFrame, cells: DataFrame, run: Column, lead: str, last_lead: int, variables: list[str],
                     lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -32,7 +30,7 @@ def unit_violations(metadata: DataFrame, expected: dict[str, str]) -> DataFrame:
         wanted = F.when(F.col("variable") == name, units).otherwise(wanted)
     found = metadata.withColumn("expected", wanted).where(F.col("expected").isNotNull())
     wrong = found.where(~F.col("units").eqNullSafe(F.col("expected"))).select("variable", "units", "expected")
-    present = found.agg(F.collect_set("variable").alias("present"))
+    present = found.agg(F.collect_set("variable").alias("present"))  # expected names only
     names = F.array(*[F.struct(F.lit(n).alias("variable"), F.lit(None).cast("string").alias("units"),
                                F.lit(u).alias("expected")) for n, u in expected.items()])
     absent = present.select(F.inline(F.filter(names, lambda x: ~F.array_contains("present", x["variable"]))))

@@ -52,6 +52,14 @@ def win12_ridge(spark, sf):
     return out.select("l_orderkey", "l_linenumber", "l_suppkey", F.round("prediction", 5).alias("prediction"))
 
 
+@query("win12_leave_one_group_out_boosted")
+def win12_boosted(spark, sf):
+    """Return flags are the groups: one boosted fit per held-out flag."""
+    data = table(spark, sf, "lineitem").select("l_returnflag", F.col("l_quantity").alias("y"), (F.col("l_extendedprice") / 1999).alias("rain"),
+                                               "l_discount", "l_tax")
+    return D.logo_boosted(data, "l_returnflag", XS, "y", ["A", "N", "R"], trees=8)
+
+
 @query("arr2_feature_vectors", """
 SELECT l_orderkey, l_linenumber, l_quantity AS v0, l_discount AS v1, l_tax AS v2 FROM {lineitem}""")
 def arr2(spark, sf):
