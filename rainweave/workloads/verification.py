@@ -309,6 +309,6 @@ def flt12(spark, sf):
 
 @query("flt14_target_guard", """
 SELECT count(*) AS n, count(*) FILTER (l_quantity IS NULL) AS non_finite, round(var_pop(l_quantity), 6) AS variance,
- true AS trainable FROM {lineitem}""")
+ count(*) > 0 AND count(*) FILTER (l_quantity IS NULL) = 0 AND var_pop(l_quantity) >= 1e-12 AS trainable FROM {lineitem}""")
 def flt14(spark, sf):
     return rounded(S.target_guard(table(spark, sf, "lineitem"), "l_quantity"), 6, "variance")
