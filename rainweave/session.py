@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,10 +25,10 @@ def build_session(app_name: str = "rainweave", master: str | None = None, **conf
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a local one only where none is named."""
+    """Shared folder named by the cluster; a folder of the session's warehouse where none is named."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
