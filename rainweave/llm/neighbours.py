@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 LINES = 128
 THRESHOLD = 0.6
-VERIFY = 0.15
+VERIFY = 0.2
+VERIFY_LEAST = 300
 BLOCK = 2048
 QUERY_BLOCK = 512
 FIRST_WIDTH = 0.3
@@ -97,7 +98,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embe
         ids, x = candidates.column("vec_id").to_numpy(), matrix(candidates)
         order = np.argsort(ids)
         ids, x = ids[order], x[order]
-        least = k + 1 + int(np.ceil(verify * len(x)))
+        least = max(k + 1 + int(np.ceil(verify * len(x))), VERIFY_LEAST)
         out = []
         names, q = wanted.column("vec_id").to_numpy(), matrix(wanted)
         for name, vector, found in zip(names, q, Lines(x, longest, lines).candidates(q, least, int(np.ceil(threshold * lines)))):
