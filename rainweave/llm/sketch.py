@@ -24,6 +24,32 @@ def cells(hashes: np.ndarray, row: int, width: int) -> np.ndarray:
     return ((hashes * np.uint64(ODD[row])) >> np.uint64(64 - width)).astype(np.uint32)
 
 
+class Shared:
+    """A sketch sent to the tasks compressed, as most of its bits are alike, and unpacked once a task."""
+
+    def __init__(self, broadcast: Broadcast, rows: int = 0):
+        self.broadcast, self.rows, self._value = broadcast, rows, None
+
+    @classmethod
+    def of(cls, df: DataFrame, value: np.ndarray) -> Shared:
+        flat = memoryview(value).cast("B")
+        step = 8 << 20
+        press = zstandard.ZstdCompressor(level=1).compress
+        packed = [press(flat[k:k + step]) for k in range(0, len(flat), step)]
+        return cls(df.sparkSession.sparkContext.broadcast(packed), len(value) if value.ndim > 1 else 0)
+
+    @property
+    def value(self) -> np.ndarray:
+        if self._value is None:
+            unpack = zstandard.ZstdDecompressor().decompress
+            flat = np.frombuffer(bytearray().join(map(unpack, self.broadcast.value)), np.uint8)
+            self._value = flat.reshape(self.rows, -1) if self.rows else flat
+        return self._value
+
+    def __reduce__(self):
+        return Shared, (self.broadcast, self.rows)
+
+
 def _to_bytes(ascending: np.ndarray) -> bytes:
     """Ascending numbers as compressed gaps."""
     if not len(ascending):
@@ -51,7 +77,7 @@ def _by_block(block: int, *ascending: np.ndarray) -> tuple[list, ...]:
     return numbers.tolist(), *out
 
 
-def build(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], width: int, rows: int = 2, twice: bool = True) -> Broadcast:
+def build(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], width: int, rows: int = 2, twice: bool = True) -> Shared:
     """Broadcast bits, one packed array a row: cells met at least twice (or at all, with twice=False)."""
     block = min(BLOCK, width)
 
@@ -93,7 +119,7 @@ def build(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], width:
     step = 1 << block >> 3
     for r, b, part in merged.toLocalIterator():  # blocks of one bounded sketch
         bits[r, b * step:(b + 1) * step] = np.frombuffer(part, np.uint8)
-    return spark.sparkContext.broadcast(bits)
+    return Shared.of(df, bits)
 
 
 def holds(bits: np.ndarray, hashes: np.ndarray, width: int) -> np.ndarray:
@@ -106,7 +132,7 @@ def holds(bits: np.ndarray, hashes: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def count_levels(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], width: int) -> Broadcast:
+def count_levels(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], width: int) -> Shared:
     """Broadcast count-min row of one byte a cell: the floored binary logarithm of the count of hashes in it."""
     block = min(BLOCK, width)
 
@@ -136,4 +162,4 @@ def count_levels(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray],
     levels = np.zeros(1 << width, np.uint8)
     for b, part in merged.toLocalIterator():
         levels[b << block:(b + 1) << block] = np.frombuffer(part, np.uint8)
-    return spark.sparkContext.broadcast(levels)
+    return Shared.of(df, levels)
