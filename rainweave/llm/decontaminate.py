@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from rainweave.llm import sketch
 from rainweave.llm.ngram_join import ngram_sets
-from rainweave.llm.shingles import mix
+from rainweave.llm.shingles import mix, slices
 from rainweave.session import cut_lineage
 
 N = 5
@@ -53,12 +53,12 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
     items = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
     docs = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketches = cut_lineage(_item_sketches(items, n, percent))
-    values = lambda name: lambda b: b.column(name).combine_chunks().flatten().to_numpy().view(np.uint64) if isinstance(b.column(name), pa.ChunkedArray) else b.column(name).flatten().to_numpy().view(np.uint64)
+    values = lambda name: lambda batch: batch.column(name).flatten().to_numpy().view(np.uint64)
     probes = sketch.build(sketches.select("minima"), values("minima"), width, twice=False)
     held = sketch.build(sketches.select("shingles"), values("shingles"), width, twice=False)
 
     def scan(batches):
-        for batch in batches:
+        for batch in slices(batches):
             row, h = ngram_sets(batch.column("text"), n)
             size = np.bincount(row, minlength=batch.num_rows)
             hit = sketch.holds(probes.value, h, width)

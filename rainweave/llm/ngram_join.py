@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rainweave.llm import graph, sketch
-from rainweave.llm.shared_copies import split_copies, text_digest
-from rainweave.llm.shingles import Words, mix
+from rainweave.llm.shared_copies import Originals, split_copies, text_digest
+from rainweave.llm.shingles import Words, mix, slices
 from rainweave.session import cut_lineage
 
 N = 5
@@ -45,7 +45,7 @@ def ngram_sets(column: pa.Array, n: int = N) -> tuple[np.ndarray, np.ndarray]:
     return row[keep], h[keep]
 
 
-def _index(work: DataFrame, n: int, percent: int, width: int, level_width: int) -> DataFrame:
+def _index(work: Originals, n: int, percent: int, width: int, level_width: int) -> DataFrame:
     """doc_id, n, and for documents that can have a partner: first (columns of the first block) and rest (the others)."""
     repeated = sketch.build(work, lambda b: ngram_sets(b.column("text"), n)[1], width)
 
@@ -122,7 +122,7 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     empty = rows.where("doc_id is null or text is null").select("doc_id", "text")
 
     def count(batches):
-        for batch in batches:
+        for batch in slices(batches):
             row, _ = ngram_sets(batch.column("text"), n)
             yield pa.record_batch([batch.column("doc_id"), pa.array(np.bincount(row, minlength=batch.num_rows).astype(np.int64)), batch.column("doc_id")],
                                   ["doc_id", "n_shingles", "component_id"])

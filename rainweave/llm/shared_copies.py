@@ -8,17 +8,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rainweave.llm import sketch
-from rainweave.llm.shingles import mix
+from rainweave.llm.shingles import mix, slices
 from rainweave.session import cut_lineage
 
 WIDTH = 26
 
 
+class Originals:
+    """Frames of (doc_id, text) scanned with a function of record batches, cut to a few megabytes of text each."""
+
+    def __init__(self, parts: list[tuple[DataFrame, object]]):
+        self.parts = parts
+        self.sparkSession = parts[0][0].sparkSession
+
+    def mapInArrow(self, run, schema: str) -> DataFrame:
+        def after(choose):
+            return lambda batches: run(slices(choose(batches) if choose else batches))
+
+        out = None
+        for df, choose in self.parts:
+            part = df.mapInArrow(after(choose), schema)
+            out = part if out is None else out.unionByName(part)
+        return out
+
+
 def text_digest(text: str = "text"):
     return F.md5(F.col(text).cast("binary"))
 
 
-def split_copies(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
+def split_copies(docs: DataFrame, width: int = WIDTH) -> tuple[Originals, DataFrame]:
     """docs (doc_id, text) into the rows with the smallest doc_id of their text, and (doc_id, digest, first) of all other rows.
 
     Rows without doc_id or text are in neither. Only (doc_id, digest) is shuffled. Each scan of the first frame leaves the
@@ -49,5 +67,4 @@ def split_copies(docs: DataFrame, width: int = WIDTH) -> tuple[DataFrame, DataFr
     texts = docs.withColumn("digest", text_digest())
     flagged = texts.select("doc_id", "text", "digest", key).mapInArrow(kept(True), f"doc_id {kind}, text string, digest string")
     extra = cut_lineage(flagged.join(spared, ["doc_id", "digest"], "left_semi").select("doc_id", "text"))
-    most = texts.select("doc_id", "text", key).mapInArrow(kept(False), f"doc_id {kind}, text string")
-    return most.unionByName(extra), later
+    return Originals([(texts.select("doc_id", "text", key), kept(False)), (extra, None)]), later

@@ -52,6 +52,16 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, bounds - bounds[0]
 
 
+def slices(batches, column: str = "text", most: int = 4 * PIECE):
+    """The batches cut to about `most` bytes of text each; a longer text stands alone."""
+    for batch in batches:
+        size = np.diff(text_bytes(batch.column(column))[1])
+        group = np.cumsum(size) // most
+        begins = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else []
+        for at, end in zip(begins, [*begins[1:], batch.num_rows]):
+            yield batch.slice(at, end - at)
+
+
 class Words:
     """Word positions and hashes of a text column."""
 

@@ -50,6 +50,19 @@ class Shared:
         return Shared, (self.broadcast, self.rows)
 
 
+def _gathered(parts, least: int = 4 << 20):
+    """Non-empty arrays joined to at least `least` numbers each but for the last."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += len(part)
+        if size >= least:
+            yield np.concatenate(held)
+            held, size = [], 0
+    if size:
+        yield np.concatenate(held)
+
+
 def _to_bytes(ascending: np.ndarray) -> bytes:
     """Ascending numbers as compressed gaps."""
     if not len(ascending):
@@ -82,19 +95,17 @@ def build(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], width:
     block = min(BLOCK, width)
 
     def local(batches):
-        for batch in batches:
-            h = hashes(batch)
+        for h in _gathered(map(hashes, batches)):
             out = []
-            for r in range(rows) if len(h) else ():
+            for r in range(rows):
                 at = np.sort(cells(h, r, width))
                 first = np.ones(len(at), bool)
                 first[1:] = at[1:] != at[:-1]
                 again = at[:-1][first[:-1] & ~first[1:]] if twice else at[:0]
                 for b, once, more in zip(*_by_block(block, at[first], again)):
                     out.append((r, b, once, more))
-            if out:
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))],
-                                      ["r", "b", "once", "again"])
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))],
+                                  ["r", "b", "once", "again"])
 
     def merge(batches):
         held: dict = {}
@@ -138,13 +149,12 @@ def count_levels(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray],
 
     def local(batches):
         pack = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
-            at, n = np.unique(cells(hashes(batch), 0, width), return_counts=True)
+        for h in _gathered(map(hashes, batches)):
+            at, n = np.unique(cells(h, 0, width), return_counts=True)
             numbers, where = _by_block(block, at)
-            counts = np.split(n.astype(np.uint32), np.searchsorted(at >> np.uint32(block), numbers)[1:]) if numbers else []
-            if numbers:
-                yield pa.record_batch([pa.array(numbers, pa.int32()), pa.array(where, pa.binary()),
-                                       pa.array([pack(c.tobytes()) for c in counts], pa.binary())], ["b", "at", "n"])
+            counts = np.split(n.astype(np.uint32), np.searchsorted(at >> np.uint32(block), numbers)[1:])
+            yield pa.record_batch([pa.array(numbers, pa.int32()), pa.array(where, pa.binary()),
+                                   pa.array([pack(c.tobytes()) for c in counts], pa.binary())], ["b", "at", "n"])
 
     def merge(batches):
         unpack = zstandard.ZstdDecompressor().decompress

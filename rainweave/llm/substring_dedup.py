@@ -100,10 +100,9 @@ def remove_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def cut(batches):
         for batch in batches:
-            texts = [unpack(p) for p in batch.column("packed").to_pylist()]
-            for at in range(0, len(texts), 256):
-                part = texts[at:at + 256]
-                yield _without(batch.slice(at, 256), part, window)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                yield _without(part, [unpack(p) for p in part.column("packed").to_pylist()], window)
 
     return (pack_texts(rows, "doc_id", "text").join(marks, "doc_id", "left")
             .mapInArrow(cut, "doc_id long, text string, n_words long, n_removed long"))
