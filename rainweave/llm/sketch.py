@@ -119,7 +119,7 @@ def build(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], width:
                 seen[new] = True
                 repeated[_from_bytes(again)] = True
         for (r, b), have in held.items():
-            bits = np.packbits(have[int(twice)]).tobytes()
+            bits = zstandard.ZstdCompressor(level=1).compress(np.packbits(have[int(twice)]).tobytes())
             yield pa.record_batch([pa.array([r], pa.int32()), pa.array([b], pa.int32()), pa.array([bits], pa.binary())], ["r", "b", "bits"])
 
     spark = df.sparkSession
@@ -128,8 +128,8 @@ def build(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray], width:
               .mapInArrow(merge, "r int, b int, bits binary"))
     bits = np.zeros((rows, 1 << width >> 3), np.uint8)
     step = 1 << block >> 3
-    for r, b, part in merged.toLocalIterator():  # blocks of one bounded sketch
-        bits[r, b * step:(b + 1) * step] = np.frombuffer(part, np.uint8)
+    for r, b, part in merged.collect():  # blocks of one bounded sketch, compressed
+        bits[r, b * step:(b + 1) * step] = np.frombuffer(zstandard.ZstdDecompressor().decompress(part), np.uint8)
     return Shared.of(df, bits)
 
 
@@ -157,19 +157,19 @@ def count_levels(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray],
                                    pa.array([pack(c.tobytes()) for c in counts], pa.binary())], ["b", "at", "n"])
 
     def merge(batches):
-        unpack = zstandard.ZstdDecompressor().decompress
+        unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
         held: dict = {}
         for batch in batches:
             for b, at, n in zip(*(c.to_pylist() for c in batch.columns)):
                 held.setdefault(b, np.zeros(1 << block, np.int64))[_from_bytes(at)] += np.frombuffer(unpack(n), np.uint32)
         for b, have in held.items():
             levels = np.where(have > 0, np.log2(np.maximum(have, 1)), 0).astype(np.uint8)
-            yield pa.record_batch([pa.array([b], pa.int32()), pa.array([levels.tobytes()], pa.binary())], ["b", "levels"])
+            yield pa.record_batch([pa.array([b], pa.int32()), pa.array([pack(levels.tobytes())], pa.binary())], ["b", "levels"])
 
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     merged = (df.mapInArrow(local, "b int, at binary, n binary").repartition(parts, "b").mapInArrow(merge, "b int, levels binary"))
     levels = np.zeros(1 << width, np.uint8)
-    for b, part in merged.toLocalIterator():
-        levels[b << block:(b + 1) << block] = np.frombuffer(part, np.uint8)
+    for b, part in merged.collect():  # likewise
+        levels[b << block:(b + 1) << block] = np.frombuffer(zstandard.ZstdDecompressor().decompress(part), np.uint8)
     return Shared.of(df, levels)
