@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rainweave.llm.packing import bound_batches
 from rainweave.llm import sketch
 from rainweave.llm.ngram_join import ngram_sets
 from rainweave.llm.shingles import mix, slices
@@ -50,6 +51,7 @@ def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", t
     exactly these words. Items or documents without words or id match nothing. Rows repeating an id are judged each by
     its own text; the pair is reported once with the largest overlap.
     """
+    bound_batches(docs.sparkSession)
     items = items.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
     docs = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sketches = cut_lineage(_item_sketches(items, n, percent))

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rainweave.llm.packing import bound_batches
+
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
@@ -85,6 +87,7 @@ def _buckets(points, owner, orders, buckets):
 def fit(rows: DataFrame, text: str = "text", label: str = "lang", buckets: int = BUCKETS, orders=ORDERS, smoothing: float = SMOOTHING) -> Model:
     """Counts over all rows with a text with letters and a label. More than MAX_LANGUAGES labels is an error."""
     rows = rows.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).alias("lang"))
+    bound_batches(rows.sparkSession)
     per = min(BLOCK, buckets)
 
     def count(batches):

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rainweave.llm import sketch
-from rainweave.llm.packing import pack_texts, unpack
+from rainweave.llm.packing import bound_batches, pack_texts, unpack
 
 WHITE = b" \t\n\r\x0b\x0c"
 WIDTH = 26
@@ -40,6 +40,7 @@ def _digests(text: str | None, least: int) -> set[bytes]:
 def shared_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
                  width: int = WIDTH) -> DataFrame:
     """(doc_id, key) for every line key that the document has to lose. Rows of one doc_id count as one document."""
+    bound_batches(docs.sparkSession)
     rows = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def digests(batch):

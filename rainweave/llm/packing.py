@@ -1,13 +1,21 @@
-"""Texts compressed before a shuffle."""
+"""Texts compressed before a shuffle, and bounded batches."""
 
 from __future__ import annotations
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH_ROWS = 500
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Documents are large rows: tasks hand them to Python BATCH_ROWS at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def pack_texts(docs: DataFrame, doc_id: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, packed (the compressed text; null for a null text) and kept, a struct of the columns in keep."""
     kept = F.struct(*(F.col(c) for c in keep)) if keep else F.struct(F.lit(None).cast("boolean").alias("none"))

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rainweave.llm.packing import bound_batches
+
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 PAIRS = 200_000
@@ -209,6 +211,7 @@ def encode_texts(docs: DataFrame, model: bytes, text: str = "text", keep: tuple[
     to a space there, so its round_trip is false. Names in keep must not be token_ids or round_trip. The model travels as
     its file's bytes, a few hundred kilobytes whatever the data.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [docs.schema[c] for c in keep]
 

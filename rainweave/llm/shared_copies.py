@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rainweave.llm.packing import bound_batches
 from rainweave.llm import sketch
 from rainweave.llm.shingles import mix, slices
 from rainweave.session import cut_lineage
@@ -43,6 +44,7 @@ def split_copies(docs: DataFrame, width: int = WIDTH) -> tuple[Originals, DataFr
     later copies out by a bounded filter; the few other rows which that filter takes along are found exactly, once, and
     added from a written table.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     ids = docs.select("doc_id", text_digest().alias("digest"))

@@ -27,8 +27,8 @@ def cells(hashes: np.ndarray, row: int, width: int) -> np.ndarray:
 class Shared:
     """A sketch sent to the tasks compressed, as most of its bits are alike, and unpacked once a task."""
 
-    def __init__(self, broadcast: Broadcast, rows: int = 0):
-        self.broadcast, self.rows, self._value = broadcast, rows, None
+    def __init__(self, broadcast: Broadcast, size: int, rows: int = 0):
+        self.broadcast, self.size, self.rows, self._value = broadcast, size, rows, None
 
     @classmethod
     def of(cls, df: DataFrame, value: np.ndarray) -> Shared:
@@ -36,18 +36,21 @@ class Shared:
         step = 8 << 20
         press = zstandard.ZstdCompressor(level=1).compress
         packed = [press(flat[k:k + step]) for k in range(0, len(flat), step)]
-        return cls(df.sparkSession.sparkContext.broadcast(packed), len(value) if value.ndim > 1 else 0)
+        return cls(df.sparkSession.sparkContext.broadcast(packed), len(flat), len(value) if value.ndim > 1 else 0)
 
     @property
     def value(self) -> np.ndarray:
         if self._value is None:
             unpack = zstandard.ZstdDecompressor().decompress
-            flat = np.frombuffer(bytearray().join(map(unpack, self.broadcast.value)), np.uint8)
+            flat, at = np.empty(self.size, np.uint8), 0
+            for part in map(unpack, self.broadcast.value):
+                flat[at:at + len(part)] = np.frombuffer(part, np.uint8)
+                at += len(part)
             self._value = flat.reshape(self.rows, -1) if self.rows else flat
         return self._value
 
     def __reduce__(self):
-        return Shared, (self.broadcast, self.rows)
+        return Shared, (self.broadcast, self.size, self.rows)
 
 
 def _gathered(parts, least: int = 4 << 20):

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rainweave.llm.packing import bound_batches
+
 RECORD_END = "\r\n\r\n"
 SEGMENT_BYTES = 64 << 10
 CHUNK_BYTES = 8 << 10
@@ -35,6 +37,7 @@ def classify(pages: DataFrame, page_id: str = "page_id", url: str = "url", body:
     back; the optimizer splits a digest that very many pages share. A null body is an empty payload; a row without
     page_id is always kept in full; rows that repeat the largest page_id are all kept in full.
     """
+    bound_batches(pages.sparkSession)
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"),
                         F.coalesce(F.col(body).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
