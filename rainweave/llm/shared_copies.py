@@ -49,7 +49,7 @@ def split_copies(docs: DataFrame, width: int = WIDTH) -> tuple[Originals, DataFr
     kind = docs.schema["doc_id"].dataType.simpleString()
     ids = docs.select("doc_id", text_digest().alias("digest"))
     first = ids.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    later = cut_lineage(ids.join(first, "digest").where(F.col("doc_id") > F.col("first")).select("doc_id", "digest", "first").distinct())
+    later = cut_lineage(ids.join(first, "digest").where(F.col("doc_id") > F.col("first")).select("doc_id", "digest", "first"))
     key = F.xxhash64("doc_id", "digest").alias("key")
 
     def keys(batch):
