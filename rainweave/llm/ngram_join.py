@@ -28,6 +28,7 @@ N = 5
 PERCENT = 80
 WIDTH = 28
 LEVEL_WIDTH = 26
+COLUMN_PART = 4096
 
 
 def ngram_sets(column: pa.Array, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -152,20 +153,34 @@ def _all_links(able: DataFrame, percent: int) -> DataFrame:
     counts = placed.groupBy("h", "c").agg(F.count("*").alias("k"))
     main = counts.groupBy("h").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("h", "main")
     placed = cut_lineage(placed.join(main, "h"))
-    outer = placed.where("c <> main").select("h", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"))
-    inner = placed.select("h", F.col("doc_id").alias("y"), F.col("n").alias("ny"), F.col("c").alias("cy"), (F.col("c") == F.col("main")).alias("top"))
-    cross = outer.join(inner, (outer["h"] == inner["h"]) & (F.col("cx") != F.col("cy")) & (F.col("top") | (F.col("x") < F.col("y")))
-                       & (F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent))
-    met = cross.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (F.col("nx") + F.col("ny")).alias("both"),
-                        F.greatest("nx", "ny").alias("high")).agg(F.count("*").alias("met"))
+    largest = placed.groupBy("h").count().agg(F.max("count")).first()[0] or 1
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(-(-largest // COLUMN_PART)))  # all of a document's columns lie in one part
+    columns = placed.groupBy("h", part.alias("part")).agg(F.collect_list(F.struct("doc_id", "n", "c")).alias("members"))
+    rows = (placed.where("c <> main").select("h", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"), "main")
+            .join(columns, "h").groupBy("x", "part"))
+    met = (rows.applyInArrow(lambda table: _product(table, percent), "a long, b long, total long, high long, met long")
+           .groupBy("a", "b", "total", "high").agg(F.sum("met").alias("met")))
     return links.unionByName(cut_lineage(_links(_bounded(met, percent), able, percent)))
 
 
+def _product(table: pa.Table, percent: int) -> pa.Table:
+    """One document's row times its columns' members in one part: overlap with each member of another component."""
+    lists = table.column("members").combine_chunks()
+    which = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    y, ny, cy = (lists.flatten().field(k).to_numpy() for k in range(3))
+    x, nx, cx, main = (table.column(k).to_numpy() for k in ("x", "nx", "cx", "main"))
+    x, nx, cx = x[0], nx[0], cx[0]
+    keep = (cy != cx) & ((cy == main[which]) | (x < y)) & (np.minimum(nx, ny) * 100 >= np.maximum(nx, ny) * percent)
+    y, at, met = np.unique(y[keep], return_index=True, return_counts=True)
+    ny = ny[keep][at]
+    return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "total": nx + ny, "high": np.maximum(nx, ny), "met": met.astype(np.int64)})
+
+
 def _bounded(met: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, both: sum of sizes, high: larger size, met: overlap in the first block) that may still reach the least overlap.
+    """Pairs (a, b, total: sum of sizes, high: larger size, met: overlap in the first block) that may still reach the least overlap.
 
     What the first block has not counted lies in the rest of the row whose first block ends earlier in the column order.
     """
-    need = F.ceil(F.col("both") * percent / (100 + percent))
+    need = F.ceil(F.col("total") * percent / (100 + percent))
     rest = F.ceil(F.col("high") * percent / 100) - 1
     return met.where(F.col("met") + rest >= need).select("a", "b")
