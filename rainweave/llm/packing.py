@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 BATCH_ROWS = 500
 
 
-def bound_batches(spark: SparkSession) -> None:
-    """Documents are large rows: tasks hand them to Python BATCH_ROWS at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Documents are large rows: tasks hand them to Python so many at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def pack_texts(docs: DataFrame, doc_id: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -10,8 +10,8 @@ both pieces together gives these two again.
 
 from __future__ import annotations
 
+from array import array
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rainweave.llm.packing import bound_batches
+from rainweave.llm.shingles import slices
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
-PAIRS = 200_000
+PAIRS = 1_000_000
 SPINES = 40_000
-KEPT_WORDS = 300_000
+KEPT_WORDS = 800_000
 NEVER = -1e30
 
 
@@ -53,7 +54,9 @@ class Codec:
         self.lowest = min(self.scores.values(), default=0.0) - 10.0
         self.control = {k for k, p in enumerate(proto.pieces) if p.type == kinds.CONTROL}
         self.spines = lru_cache(SPINES)(self._spines)
-        self.joins = lru_cache(PAIRS)(self._joins)
+        self.pairs: dict[int, bool] = {}
+        self.strange: dict[str, int] = {}
+        self.pieces = list(self.names)
         self.trie: dict = {}
         for piece in normal:
             if self.kind == BPE and len(piece) > 1 and not piece.startswith(MARK + MARK) and self.merged(piece) != [piece]:
@@ -61,14 +64,14 @@ class Codec:
             node = self.trie
             for c in piece:
                 node = node.setdefault(c, {})
-            node[""] = self.scores[piece]
+            node[""] = self.ids[piece]
         self.output = [n.encode() for n in self.names]
         for k, b in self.byte_of.items():
             self.output[k] = bytes([b])
         for k in self.control:
             self.output[k] = b""
         self.output[self.unknown] = " \u2047 ".encode()
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}  # ids of words met, as 4-byte integers
 
     def merged(self, text: str, least: int = 1) -> list[str]:
         """BPE by its definition: merge the best-scoring neighbours, the leftmost of equals, until none is a piece (or `least` are left)."""
@@ -111,27 +114,64 @@ class Codec:
                     return False
         return True
 
-    def _state(self, word: str, end: int, states: list) -> tuple:
-        """(score, start of the last piece, pieces still open as (start, trie node)) of word[:end], out of shorter prefixes' states."""
-        c = word[end - 1]
-        score, start, alive = NEVER, end - 1, []
-        for begin, node in (*states[end - 1][2], (end - 1, self.trie)):
-            node = node.get(c)
-            if node is None:
-                if begin == end - 1 and score == NEVER:  # a character that is no piece
-                    score = states[begin][0] + self.lowest
-                continue
-            alive.append((begin, node))
-            value = node.get("")
-            if value is None:
-                continue
-            total = states[begin][0] + value
-            if self.kind == BPE:
-                if score == NEVER and (begin == 0 or self.joins(word[states[begin][1]:begin], word[begin:end])):
-                    score, start = 0.0, begin
-            elif total > score:
-                score, start = total, begin
-        return score, start, alive
+    def _piece_id(self, c: str) -> int:
+        """A number for a character that is no piece."""
+        k = self.strange.get(c)
+        if k is None:
+            k = self.strange[c] = len(self.pieces)
+            self.pieces.append(c)
+        return k
+
+    def _compatible(self, left: int, right: int) -> bool:
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        known = self.pairs[left << 24 | right] = self._joins(self.pieces[left], self.pieces[right])
+        return known
+
+    def _merge_states(self, word: str, states: list) -> None:
+        """BPE: for each further prefix (start and id of its encoding's last piece, pieces still open as (start, trie node))."""
+        root, pairs = self.trie, self.pairs
+        for end in range(len(states) - 1, len(word)):
+            c, start, last, alive = word[end], -1, -1, []
+            for begin, node in states[end][2]:
+                node = node.get(c)
+                if node is not None:
+                    alive.append((begin, node))
+                    if start < 0:
+                        piece = node.get("")
+                        if piece is not None:
+                            if begin:
+                                left = states[begin][1]
+                                known = pairs.get(left << 24 | piece)
+                                if known is None:
+                                    known = self._compatible(left, piece)
+                                if not known:
+                                    continue
+                            start, last = begin, piece
+            node = root.get(c)
+            if node is not None:
+                alive.append((end, node))
+            if start < 0:
+                piece = node.get("") if node else None
+                start, last = end, self._piece_id(c) if piece is None else piece
+            states.append((start, last, alive))
+
+    def _best_states(self, word: str, states: list) -> None:
+        """Unigram: for each further prefix (start of the best path's last piece, its score, pieces still open)."""
+        for end in range(len(states) - 1, len(word)):
+            c, start, best, alive = word[end], end, NEVER, []
+            for begin, node in (*states[end][2], (end, self.trie)):
+                node = node.get(c)
+                if node is None:
+                    continue
+                alive.append((begin, node))
+                if "" in node:
+                    total = states[begin][1] + self.scores[self.pieces[node[""]]]
+                    if total > best:
+                        start, best = begin, total
+            if best == NEVER:  # a character that is no piece
+                best = states[end][1] + self.lowest
+            states.append((start, best, alive))
 
     def _ids(self, pieces: list[str]) -> list[int]:
         out: list[int] = []
@@ -147,25 +187,35 @@ class Codec:
 
     def encode_words(self, words: list[str]) -> dict[str, list[int]]:
         """Ids of distinct marked words, walked in sorted order along their trie."""
-        out, before, states = {}, "", [(0.0, 0, ())]
+        out, before, states = {}, "", [(0, 0.0 if self.kind == UNIGRAM else -1, ())]
+        strange = len(self.names)
+        walk = self._best_states if self.kind == UNIGRAM else self._merge_states
         for word in sorted(words):
             if self.kind == BPE and word.startswith(MARK + MARK):  # runs of marks tie in score
                 out[word] = self._ids(self.merged(word))
                 continue
-            shared = 0
-            for x, y in zip(before, word):
-                if x != y:
-                    break
+            shared, least = 0, min(len(before), len(word))
+            while shared < least and before[shared] == word[shared]:
                 shared += 1
             del states[shared + 1:]
-            for end in range(shared + 1, len(word) + 1):
-                states.append(self._state(word, end, states))
-            cuts, at = [], len(word)
-            while at:
-                start = states[at][1]
-                cuts.append(word[start:at])
-                at = start
-            out[word] = self._ids(cuts[::-1])
+            walk(word, states)
+            ids, at = [], len(word)
+            if self.kind == BPE:
+                while at:
+                    at, piece, _ = states[at]
+                    if piece < strange:
+                        ids.append(piece)
+                    else:
+                        ids.extend(reversed(self._ids([self.pieces[piece]])))
+                ids.reverse()
+            else:
+                cuts = []
+                while at:
+                    start = states[at][0]
+                    cuts.append(word[start:at])
+                    at = start
+                ids = self._ids(cuts[::-1])
+            out[word] = ids
             before = word
         return out
 
@@ -192,16 +242,17 @@ class Codec:
         if len(self.words) + len(new) > KEPT_WORDS:
             self.words = {}
             new = {w for words in split if words for w in words}
-        self.words.update(self.encode_words(list(new)))
+        for word, ids in self.encode_words(list(new)).items():
+            self.words[word] = array("i", ids).tobytes()
         table = self.words
-        return [None if words is None else np.fromiter(chain.from_iterable(map(table.__getitem__, words)), np.int32) for words in split]
+        return [None if words is None else np.frombuffer(b"".join(map(table.__getitem__, words)), np.int32) for words in split]
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.output.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
-SLICE = 512
+BATCH = 2000
 
 
 def encode_texts(docs: DataFrame, model: bytes, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -211,15 +262,14 @@ def encode_texts(docs: DataFrame, model: bytes, text: str = "text", keep: tuple[
     to a space there, so its round_trip is false. Names in keep must not be token_ids or round_trip. The model travels as
     its file's bytes, a few hundred kilobytes whatever the data.
     """
-    bound_batches(docs.sparkSession)
+    bound_batches(docs.sparkSession, BATCH)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [docs.schema[c] for c in keep]
 
     def run(batches):
         codec = Codec(shared.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for part in slices(batches=[batch], column="_text", most=16 << 20):
                 texts = part.column("_text").to_pylist()
                 ids = codec.encode(texts)
                 same = [None if t is None else codec.decode(i.tolist()) == t for t, i in zip(texts, ids)]
