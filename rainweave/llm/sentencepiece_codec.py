@@ -281,7 +281,7 @@ def encode_texts(docs: DataFrame, model: bytes, text: str = "text", keep: tuple[
 
 
 def decode_tokens(rows: DataFrame, model: bytes, ids: str = "token_ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in keep and text, the decoded ids; null for null ids."""
+    """The columns in keep and text, the decoded ids; null for null ids. Names in keep must not be text."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
     fields = [rows.schema[c] for c in keep]
 
