@@ -17,12 +17,13 @@ from pyspark.sql import functions as F
 
 LINES = 128
 THRESHOLD = 0.6
-VERIFY = 0.2
-VERIFY_LEAST = 300
-BLOCK = 2048
+VERIFY = 0.15
+VERIFY_LEAST = 600
+BLOCK = 8192
 QUERY_BLOCK = 512
 FIRST_WIDTH = 0.3
-GROWTH = 1.08
+GROWTH = 1.04
+START_BACK = 1
 K = 20
 
 
@@ -56,20 +57,21 @@ class Lines:
     def candidates(self, queries: np.ndarray, least: int, threshold: int):
         """For each query, the positions that collide on at least `threshold` lines once `least` of them do."""
         centre = (queries / np.linalg.norm(queries, axis=1, keepdims=True)) @ self.axes[:, :-1].T
-        found: list = [None] * len(queries)
-        open_, half = np.arange(len(queries)), FIRST_WIDTH
-        while len(open_):
-            low = np.stack([np.searchsorted(s, c - half) for s, c in zip(self.sorted, centre[open_].T)]).astype(self.place.dtype)
-            high = np.stack([np.searchsorted(s, c + half, "right") for s, c in zip(self.sorted, centre[open_].T)])
-            width = (high - low).astype(self.place.dtype)
-            for k, q in enumerate(open_):
-                inside = (self.place - low[:, k:k + 1]) < width[:, k:k + 1]  # unsigned: places under low wrap round
+        found, level = [], 0
+        for c in centre:
+            level = max(0, level - START_BACK)  # widening begins a few levels under the one that served the last query
+            while True:
+                half = FIRST_WIDTH * GROWTH ** level
+                low = np.array([s.searchsorted(v) for s, v in zip(self.sorted, c - half)])
+                high = np.array([s.searchsorted(v, "right") for s, v in zip(self.sorted, c + half)])
+                kind = self.place.dtype
+                inside = (self.place - low.astype(kind)[:, None]) < (high - low).astype(kind)[:, None]  # unsigned: places under low wrap round
                 counts = np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8 if len(low) < 256 else np.uint32)
                 here = np.flatnonzero(counts >= threshold)
                 if len(here) >= min(least, self.n):
-                    found[q] = here
-            open_ = np.array([q for q in open_ if found[q] is None], int)
-            half *= GROWTH
+                    found.append(here)
+                    break
+                level += 1
         return found
 
 
@@ -103,6 +105,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embe
         names, q = wanted.column("vec_id").to_numpy(), matrix(wanted)
         for name, vector, found in zip(names, q, Lines(x, longest, lines).candidates(q, least, int(np.ceil(threshold * lines)))):
             found = found[ids[found] != name]
+            rough = x[found] @ vector
+            if len(found) > k:  # all that may be among the nearest k, ties included, are scored again row by row
+                found = found[rough >= np.partition(rough, -k)[-k] - 1e-9 * longest * np.linalg.norm(vector)]
             score = (x[found] * vector).sum(axis=1)
             best = np.lexsort((ids[found], -score))[:k]
             out.append((np.full(len(best), name), ids[found[best]], score[best]))
