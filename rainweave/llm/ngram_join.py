@@ -27,7 +27,7 @@ from rainweave.session import cut_lineage
 N = 5
 PERCENT = 80
 WIDTH = 28
-LEVEL_WIDTH = 26
+LEVEL_WIDTH = 24
 COLUMN_PART = 4096
 
 

@@ -53,7 +53,7 @@ class Shared:
         return Shared, (self.broadcast, self.size, self.rows)
 
 
-def _gathered(parts, least: int = 4 << 20):
+def _gathered(parts, least: int = 2 << 20):
     """Non-empty arrays joined to at least `least` numbers each but for the last."""
     held, size = [], 0
     for part in parts:
