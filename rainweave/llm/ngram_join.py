@@ -156,15 +156,20 @@ def _all_links(able: DataFrame, percent: int) -> DataFrame:
     largest = placed.groupBy("h").count().agg(F.max("count")).first()[0] or 1
     part = F.pmod(F.xxhash64("doc_id"), F.lit(-(-largest // COLUMN_PART)))  # all of a document's columns lie in one part
     columns = placed.groupBy("h", part.alias("part")).agg(F.collect_list(F.struct("doc_id", "n", "c")).alias("members"))
+    inside = placed.groupBy(F.col("doc_id").alias("x")).agg(F.count_if(F.col("c") == F.col("main")).alias("elsewhere"))
     rows = (placed.where("c <> main").select("h", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"), "main")
-            .join(columns, "h").groupBy("x", "part"))
+            .join(inside, "x").join(columns, "h").groupBy("x", "part"))
     met = (rows.applyInArrow(lambda table: _product(table, percent), "a long, b long, total long, high long, met long")
            .groupBy("a", "b", "total", "high").agg(F.sum("met").alias("met")))
     return links.unionByName(cut_lineage(_links(_bounded(met, percent), able, percent)))
 
 
 def _product(table: pa.Table, percent: int) -> pa.Table:
-    """One document's row times its columns' members in one part: overlap with each member of another component."""
+    """One document's row times its columns' members in one part: overlap with each member of another component.
+
+    Pairs that stay under the least overlap even if they share all columns that the other's row accounts for (elsewhere)
+    are discarded here.
+    """
     lists = table.column("members").combine_chunks()
     which = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
     y, ny, cy = (lists.flatten().field(k).to_numpy() for k in range(3))
@@ -173,6 +178,9 @@ def _product(table: pa.Table, percent: int) -> pa.Table:
     keep = (cy != cx) & ((cy == main[which]) | (x < y)) & (np.minimum(nx, ny) * 100 >= np.maximum(nx, ny) * percent)
     y, at, met = np.unique(y[keep], return_index=True, return_counts=True)
     ny = ny[keep][at]
+    most = met + table.column("elsewhere")[0].as_py() + -(-percent * np.maximum(nx, ny) // 100) - 1
+    able = most >= -(-percent * (nx + ny) // (100 + percent))
+    y, ny, met = y[able], ny[able], met[able]
     return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "total": nx + ny, "high": np.maximum(nx, ny), "met": met.astype(np.int64)})
 
 
