@@ -106,12 +106,12 @@ def forecast_rows(df: DataFrame, mode: str, run_id, valid_date, block_id=None, s
 
 
 def classify_duplicates(df: DataFrame, key: list[str], values: list[str], file: str) -> DataFrame:
-    """accepted: the first file of a key; duplicate: same values again; conflict: other values."""
+    """accepted: the first file of a key; duplicate: same values again; conflict: other values, also within that file."""
     rows = df.withColumn("__h", F.sha2(F.to_json(F.struct(*sorted(values))), 256))
     first = rows.groupBy(*key).agg(F.min(F.struct(F.col(file).alias("f"), F.col("__h").alias("h"))).alias("__first"))
     rows = attach(rows, first, key)
-    status = (F.when(F.col(file) == F.col("__first.f"), "accepted")
-              .when(F.col("__h") == F.col("__first.h"), "duplicate").otherwise("conflict"))
+    status = (F.when(F.col("__h") != F.col("__first.h"), "conflict")
+              .when(F.col(file) == F.col("__first.f"), "accepted").otherwise("duplicate"))
     return rows.withColumns({"status": status, "canonical_file": F.col("__first.f")}).drop("__h", "__first")
 
 

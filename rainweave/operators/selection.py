@@ -85,7 +85,7 @@ def extremes(df: DataFrame, value: str, key: str, groups: list[str] = ()) -> Dat
     """Rows with the lowest and highest value (smallest key on ties) and the spread."""
     return df.groupBy(*groups).agg(
         F.min_by(key, F.struct(value, key)).alias("lowest_key"), F.min(value).alias("lowest"),
-        F.max_by(key, F.struct(F.col(value), -F.col(key))).alias("highest_key"), F.max(value).alias("highest"),
+        F.min_by(key, F.when(F.col(value).isNotNull(), F.struct(-F.col(value), F.col(key)))).alias("highest_key"), F.max(value).alias("highest"),
         (F.max(value) - F.min(value)).alias("spread"))
 
 
