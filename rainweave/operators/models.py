@@ -79,9 +79,14 @@ def logo_ridge(df: DataFrame, group: str, x: list[str], y: Column, alpha: float
 
 # --- Spark ML learners ----------------------------------------------------------------------
 
-def assemble(df: DataFrame, x: list[str], out: str = "features") -> DataFrame:
-    """Feature vector in the given order; incomplete rows are left out."""
-    return VectorAssembler(inputCols=list(x), outputCol=out, handleInvalid="skip").transform(df)
+def assemble(df: DataFrame, x: list[str], out: str = "features", invalid: str = "skip") -> DataFrame:
+    """Feature vector in the given order; incomplete rows are left out, or kept with invalid="keep"."""
+    return VectorAssembler(inputCols=list(x), outputCol=out, handleInvalid=invalid).transform(df)
+
+
+def complete(x: list[str]) -> Column:
+    """Whether no feature of a row is missing."""
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in x])
 
 
 def fit_amount(train: DataFrame, x: list[str], y: str, kind: str = "squared", trees: int = 60, depth: int = 4,
@@ -100,8 +105,10 @@ def fit_amount(train: DataFrame, x: list[str], y: str, kind: str = "squared", tr
 
 
 def score_amount(model: Model, df: DataFrame, x: list[str], out: str = "prediction") -> DataFrame:
-    rows = model.transform(assemble(df, x)).drop("features")
-    return rows.withColumn(out, F.greatest(F.lit(0.0), F.col("prediction")))
+    """Every row with its amount, NULL where a feature is missing."""
+    rows = model.transform(assemble(df, x, invalid="keep")).drop("features")
+    rows = rows.withColumn("prediction", F.when(complete(x), F.col("prediction")))
+    return rows.withColumn(out, F.when(F.col("prediction").isNotNull(), F.greatest(F.lit(0.0), F.col("prediction"))))
 
 
 def fit_event(train: DataFrame, x: list[str], event: str, trees: int = 60, depth: int = 4, seed: int = 42) -> Model:
@@ -116,9 +123,9 @@ def fit_logistic(train: DataFrame, x: list[str], event: str) -> Model:
 
 
 def raw_score(model: Model, df: DataFrame, x: list[str], out: str = "raw") -> DataFrame:
-    """The margin of the positive class, before any calibration."""
-    rows = model.transform(assemble(df, x))
-    return rows.withColumn(out, vector_to_array("rawPrediction")[1]).drop("features", "rawPrediction", "probability", "prediction")
+    """The margin of the positive class, before any calibration; NULL where a feature is missing."""
+    rows = model.transform(assemble(df, x, invalid="keep"))
+    return rows.withColumn(out, F.when(complete(x), vector_to_array("rawPrediction")[1])).drop("features", "rawPrediction", "probability", "prediction")
 
 
 def calibrate(scored: DataFrame, raw: str, event: str) -> tuple[float, float]:

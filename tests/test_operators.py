@@ -204,3 +204,13 @@ def test_ridge_matches_normal_equations(spark):
         keep = np.arange(40) % 4 != r.g
         b0, b = fit(x[keep], y[keep])
         assert r.prediction == pytest.approx(b0 + b @ [r.a, r.b, r.c])
+
+
+def test_scoring_keeps_incomplete_rows(spark):
+    from rainweave.operators import models as M
+    train = spark.createDataFrame([(float(i), float(i % 7), float(2 * i), i % 2) for i in range(40)], "a double, b double, y double, e int")
+    rows = spark.createDataFrame([(1.0, 2.0), (None, 2.0), (float("nan"), 1.0)], "a double, b double")
+    amounts = M.score_amount(M.fit_amount(train, ["a", "b"], "y", trees=3), rows, ["a", "b"])
+    raws = M.raw_score(M.fit_logistic(train, ["a", "b"], "e"), rows, ["a", "b"])
+    assert [r.prediction is None for r in amounts.collect()] == [False, True, True]
+    assert [r.raw is None for r in raws.collect()] == [False, True, True]
