@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rainweave.functions.text import utf8
+from rainweave.plans.block_import import classify
 from rainweave.sources import block_tables as B
 
 SOURCE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+STATUS_SCHEMA = "file string, sha256 string, block string, issue_date date, values_sha256 string, status string, canonical_file string, " \
+                "reasons array<string>, warnings array<string>, part string, batch string"
 
 
 def arrivals(spark: SparkSession, path: str) -> DataFrame:
@@ -19,28 +23,66 @@ def arrivals(spark: SparkSession, path: str) -> DataFrame:
                       utf8("content").alias("content"), F.sha2("content", 256).alias("sha256"))
 
 
-def import_stream(files: DataFrame, out: str, checkpoint: str, districts: list[str] = ("Nashik",)) -> StreamingQuery:
+def import_stream(files: DataFrame, out: str, checkpoint: str, index: DataFrame | None = None, districts: list[str] = ("Nashik",),
+                  block_id: str = "block_id", block_name: str = "block_name") -> StreamingQuery:
     """Validate each batch of a (file, content, sha256) stream like the batch import; write below `out`.
 
-    A content hash already imported is skipped, within a batch, across batches and when a batch is
-    replayed after a failure: batches write to their own folder with overwrite.
+    `index` (spelling, block_id, block_name) names the known blocks; without it blocks go by the title's
+    spelling. `files` holds one row per new content with its status: rejected, accepted, duplicate (its
+    block and issue date were imported with the same values) or conflict (with other values), judged
+    against its batch and all earlier ones; `records` holds the accepted days.
+
+    A content hash already imported is skipped, within a batch, across batches and checkpoints and when
+    a batch is replayed after a failure: the folder of a batch is named by its contents and overwritten,
+    so no other batch's records are touched. Files lie in parts by a hash of block and issue date, and
+    a small table of content hashes lies in parts of its own: a batch reads the parts it touches.
     """
     def merge(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        hashes = batch.agg(F.count(F.lit(1)).alias("n"), *[
+            F.sum(F.conv(F.substring("sha256", 1 + 12 * i, 12), 16, 10).cast("decimal(20,0)")).alias(f"p{i}") for i in range(5)])
+        n, *sums = hashes.first()
+        if not n:
+            return
+        name = "b" + "-".join(str(s) for s in (n, *sums))
         fresh = batch.groupBy("sha256").agg(F.min("file").alias("file")).join(batch, ["sha256", "file"]).dropDuplicates(["sha256"])
-        seen = _seen(batch.sparkSession, out, epoch)
-        if seen is not None:
-            fresh = fresh.join(seen, "sha256", "left_anti")
+        fresh = fresh.withColumn("part", _part("sha256"))
+        seen = _earlier(spark, f"{out}/seen", name, _parts(fresh), "sha256 string, part string, batch string")
+        fresh = fresh.join(seen.select("sha256", "part"), ["sha256", "part"], "left_anti").drop("part")
         parsed = B.parse(fresh, districts)
-        parsed.select("file", "sha256", "reasons", "warnings").write.mode("overwrite").parquet(f"{out}/files/epoch={epoch}")
-        B.records(parsed).write.mode("overwrite").parquet(f"{out}/records/epoch={epoch}")
+        if index is not None:
+            parsed = B.resolve_blocks(parsed, index, block_id, block_name).withColumn("block", F.col(block_id).cast("string"))
+        else:
+            parsed = parsed.withColumn("block", B.normal("title_block"))
+        parsed = parsed.withColumn("part", _part("block", F.col("issue_date").cast("string"))).persist(StorageLevel.MEMORY_AND_DISK)
+        known = _earlier(spark, f"{out}/files", name, _parts(parsed), STATUS_SCHEMA).where("status = 'accepted'")
+        rows = classify(parsed, ["part", "block", "issue_date"], known).persist(StorageLevel.MEMORY_AND_DISK)
+        columns = [c.split()[0] for c in STATUS_SCHEMA.split(", ")[:-1]]
+        rows.select(*columns).write.mode("overwrite").partitionBy("part").parquet(f"{out}/files/batch={name}")
+        B.records(rows.where("status = 'accepted'"), *([block_id, block_name] if index is not None else [])).write.mode("overwrite").parquet(
+            f"{out}/records/batch={name}")
+        # Last: only what is written counts as seen.
+        rows.select("sha256", _part("sha256").alias("part")).write.mode("overwrite").partitionBy("part").parquet(f"{out}/seen/batch={name}")
+        rows.unpersist()
+        parsed.unpersist()
 
     return (files.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-def _seen(spark: SparkSession, out: str, epoch: int) -> DataFrame | None:
-    """Hashes imported by earlier batches."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/files")
-    if epoch == 0 or not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-        return None
-    return spark.read.parquet(f"{out}/files").where(F.col("epoch") < epoch).select("sha256").distinct()
+def _part(*columns):
+    """One of 64 parts, as a name no reader takes for a number."""
+    return F.concat(F.lit("p"), F.pmod(F.xxhash64(*columns), F.lit(64)).cast("string"))
+
+
+def _parts(rows: DataFrame) -> list[str]:
+    """The parts that occur: at most 64 names."""
+    return [r.part for r in rows.select("part").distinct().collect()]
+
+
+def _earlier(spark: SparkSession, path: str, batch: str, parts: list[str], schema: str) -> DataFrame:
+    """Rows that other batches wrote to these parts."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).where((F.col("batch") != batch) & F.col("part").isin(parts))

@@ -5,6 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from rainweave.operators import geography as G
+from rainweave.plans import block_import
 from rainweave.session import checkpoint_dir
 from rainweave.sources import block_tables as B, files, grids
 from rainweave.streaming.imports import import_stream
@@ -97,7 +98,7 @@ def daily_grids(spark, sf):
     cell = F.pmod(F.col("user_id") * 7919 + F.length("event_type") * 31, F.lit(100 * 135))
     # At most one row per cell of the fixed grid and day.
     cells = table(spark, sf, "events").groupBy(F.date_trunc("day", "ts").cast("date").alias("date"), cell.alias("cell")).agg(
-        F.least(F.sum("value"), F.lit(5000.0)).alias("v"))
+        F.avg("value").alias("v"))
 
     def pack(pdf):
         import numpy as np
@@ -111,7 +112,7 @@ def daily_grids(spark, sf):
 
 
 GRID_SQL = """
-c AS (SELECT CAST(ts AS DATE) AS date, (user_id * 7919 + length(event_type) * 31) % 13500 AS cell, CAST(least(sum(value), 5000) AS FLOAT) AS v FROM {events} GROUP BY 1, 2)"""
+c AS (SELECT CAST(ts AS DATE) AS date, (user_id * 7919 + length(event_type) * 31) % 13500 AS cell, CAST(avg(value) AS FLOAT) AS v FROM {events} GROUP BY 1, 2)"""
 
 
 @query("src6_daily_grid_decode", f"""WITH {GRID_SQL}
@@ -181,12 +182,49 @@ WITH t AS ({TABLES}) SELECT k, CAST(issue + 1 AS DATE) AS first_day FROM t WHERE
 def stm1(spark, sf):
     """Stream the tables through the import twice; the second arrival repeats the first and adds nothing."""
     base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
-    key = F.concat(F.lit("Nashik_"), F.lpad(F.col("k").cast("string"), 12, "0"))
-    rows = block_files(spark, sf).select(F.regexp_replace("file", r"^Nashik_nation_\d+", key).alias("file"), "content", "sha256")
+    key = F.lpad(F.col("k").cast("string"), 12, "0")
+    # Every customer is a block of its own here, so that no table is another's copy or conflict.
+    rows = block_files(spark, sf).select(F.regexp_replace("file", r"^Nashik_nation_\d+", F.concat(F.lit("Nashik_B"), key)).alias("file"),
+                                         F.regexp_replace("content", "NATION_(?!99 )\\d+", F.concat(F.lit("B"), key)).alias("content"))
+    rows = rows.withColumn("sha256", F.sha2("content", 256))
+    blocks = table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("B"), F.lpad(F.col("c_custkey").cast("string"), 12, "0")).alias("name"))
+    index = G.names_index(blocks, "c_custkey", "name")
     for _ in range(2):
         rows.write.mode("append").parquet(f"{base}/in")
-        import_stream(spark.readStream.schema(rows.schema).parquet(f"{base}/in"), f"{base}/out", f"{base}/checkpoint").awaitTermination()
-    out = spark.read.parquet(f"{base}/out/records")
-    k = F.regexp_extract("file", r"^Nashik_(\d+)_", 1).cast("long")
-    good = out.where(F.contains("source_block_name", F.lit("NATION_99")) == F.lit(False))
-    return good.groupBy(k.alias("k")).agg(F.min("valid_date").alias("first_day"))
+        import_stream(spark.readStream.schema(rows.schema).parquet(f"{base}/in"), f"{base}/out", f"{base}/checkpoint", index,
+                      block_id="c_custkey", block_name="name").awaitTermination()
+    return spark.read.parquet(f"{base}/out/records").groupBy(F.col("c_custkey").alias("k")).agg(F.min("valid_date").alias("first_day"))
+
+
+DAYS_SQL = ", ".join("[" + ", ".join(f"CAST({e.replace('i', str(i))} AS DOUBLE)" for e in VALUES.values()) + "]" for i in range(5))
+STATUS_SQL = f"""
+t AS ({TABLES}), v AS (SELECT t.*, [{DAYS_SQL}] AS days FROM t),
+f AS (SELECT *, first_value(k) OVER w AS first_k, first_value(days) OVER w AS first_days FROM v WHERE kind = 0 WINDOW w AS (PARTITION BY nation, issue ORDER BY k)),
+s AS (SELECT k, nation, issue, CASE WHEN days <> first_days THEN 'conflict' WHEN k = first_k THEN 'accepted' ELSE 'duplicate' END AS status, first_k AS canonical FROM f
+ UNION ALL SELECT k, nation, issue, 'rejected', NULL FROM v WHERE kind <> 0)"""
+
+
+def classified_files(spark, sf):
+    rows = parsed_files(spark, sf)
+    # The customer's number makes file names distinct, in the order of the numbers.
+    rows = rows.withColumn("file", F.lpad(F.col("k").cast("string"), 20, "0"))
+    return block_import.classify(rows, ["n_nationkey", "issue_date"])
+
+
+@query("src3_folder_import_status", f"WITH {STATUS_SQL} SELECT k, status, canonical FROM s")
+def src3_status(spark, sf):
+    return classified_files(spark, sf).select("k", "status", F.col("canonical_file").cast("long").alias("canonical"))
+
+
+@query("src3_folder_import_coverage", f"""WITH {STATUS_SQL}, d AS (SELECT DISTINCT issue FROM s WHERE status = 'accepted')
+SELECT issue AS issue_date, n_nationkey, EXISTS (SELECT 1 FROM s WHERE s.issue = d.issue AND s.nation = n_nationkey AND status = 'accepted') AS available
+FROM d CROSS JOIN {{nation}}""")
+def src3_coverage(spark, sf):
+    return block_import.coverage(classified_files(spark, sf), table(spark, sf, "nation"), "n_nationkey")
+
+
+@query("src3_folder_import_manifest", f"""WITH {STATUS_SQL}
+SELECT CAST(count(*) FILTER (status = 'accepted') AS BIGINT) AS accepted, CAST(count(*) FILTER (status = 'duplicate') AS BIGINT) AS duplicate,
+ CAST(count(*) FILTER (status = 'conflict') AS BIGINT) AS conflict, CAST(count(*) FILTER (status = 'rejected') AS BIGINT) AS rejected, FALSE AS valid FROM s""")
+def src3_manifest(spark, sf):
+    return block_import.manifest(classified_files(spark, sf)).drop("dataset_version")

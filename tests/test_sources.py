@@ -159,3 +159,32 @@ def test_incremental_import_is_idempotent(spark, tmp_path):
     assert run() == 10
     assert B.read(spark, str(folder)).count() == 4
     assert B.parse(B.read(spark, str(folder))).where("size(reasons) = 0").count() == 3
+
+
+def test_incremental_import_judges_like_the_folder_import(spark, tmp_path):
+    from rainweave.operators.geography import names_index
+    from rainweave.streaming.imports import import_stream
+    units = spark.createDataFrame([(1, "Igatpuri"), (2, "Niphad")], "block_id int, block_name string")
+    index, out = names_index(units, "block_id", "block_name"), str(tmp_path / "out")
+    schema = "file string, content string, sha256 string"
+
+    def run(mark, **files):
+        rows = [(n.replace("_x", "").replace("__", "-") + ".csv", c, __import__("hashlib").sha256(c.encode()).hexdigest()) for n, c in files.items()]
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / f"in-{mark}"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / f"in-{mark}"))
+        import_stream(stream, out, str(tmp_path / mark), index).awaitTermination()
+        status = {r.file: r.status for r in spark.read.parquet(f"{out}/files").collect()}
+        return status, spark.read.parquet(f"{out}/records").count()
+
+    good, niphad = text(), text().replace("IGATPURI", "NIPHAD")
+    status, days = run("a", **{"Nashik_Igatpuri_2026__09__10": good, "Nashik_Yeola_2026__09__10": text().replace("IGATPURI", "YEOLA"),
+                               "Nashik_Niphad_2026__09__10": niphad + "\n"})
+    assert status == {"Nashik_Igatpuri_2026-09-10.csv": "accepted", "Nashik_Yeola_2026-09-10.csv": "rejected", "Nashik_Niphad_2026-09-10.csv": "accepted"}
+    assert days == 10
+    # a second checkpoint onto the same output: same values are a duplicate, others a conflict, nothing earlier is lost
+    status, days = run("b", **{"Nashik_Igatpuri_2026__09__10": good + "\n", "Nashik_Niphad_2026__09__10_x": niphad.replace("38.2", "8.2")})
+    rows = spark.read.parquet(f"{out}/files").groupBy("status").count().collect()
+    assert {r.status: r["count"] for r in rows} == {"accepted": 2, "rejected": 1, "duplicate": 1, "conflict": 1} and days == 10
+    # everything again through a third checkpoint adds nothing
+    status, days = run("c", **{"Nashik_Igatpuri_2026__09__10": good, "Nashik_Niphad_2026__09__10": niphad + "\n"})
+    assert days == 10 and spark.read.parquet(f"{out}/files").count() == 5
