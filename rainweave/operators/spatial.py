@@ -7,6 +7,7 @@ of at most LEAF points, and sums over many stations run over blocks of BLOCK sta
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -19,15 +20,16 @@ BLOCK = 512
 
 def knn(targets: DataFrame, refs: DataFrame, k: int, target_id: str, ref_id: str, coords: list[str],
         ref_coords: list[str] | None = None, scale: dict[str, Column] | None = None, exclude_self: bool = False,
-        finest: float = 4.0 ** -6, levels: int = 12) -> DataFrame:
+        finest: float = 4.0 ** -6) -> DataFrame:
     """Exact k nearest references per target: target_id, ref_id, rank, d2 (squared distance).
 
     Ties go to the smaller ref_id. `scale` multiplies the difference along a coordinate by a
-    factor in (0, 1] of the target, e.g. cos(lat) for longitudes. Coordinates must lie inside
-    +-finest * 4**(levels-1) / 2.
+    factor in (0, 1] of the target, e.g. cos(lat) for longitudes. Points without finite coordinates
+    have no neighbours and are none. The extent of the grid is read from both tables once, while the
+    plan is built.
 
     A pyramid of cell counts gives every target a cell with k references, hence a search radius;
-    leaf cells reaching into it are pruned by their bounding boxes, and only the remaining leaves'
+    leaf cells (cut into parts where even the finest holds too many) reaching into it are pruned by their bounding boxes, and only the remaining leaves'
     points are compared. References that share a spot are first cut to the k smallest ids there,
     which cannot change the answer.
     """
@@ -35,19 +37,26 @@ def knn(targets: DataFrame, refs: DataFrame, k: int, target_id: str, ref_id: str
     scale = scale or {}
     dims = range(len(coords))
     need = k + 1 if exclude_self else k
-    half = finest * 4.0 ** (levels - 1) / 2
     x = [f"__x{j}" for j in dims]
     s = [f"__s{j}" for j in dims]
     g = [f"__g{j}" for j in dims]
 
+    def inside(df):
+        return df.where(reduce(lambda a, b: a & b, [F.abs(F.col(c)) < float("inf") for c in x]))
+
+    named = inside(targets.select(F.col(target_id).alias("__tid"), *[F.col(c).cast("double").alias(x[j]) for j, c in enumerate(coords)],
+                                  *[scale.get(c, F.lit(1.0)).cast("double").alias(s[j]) for j, c in enumerate(coords)]))
+    pts = inside(refs.select(F.col(ref_id).alias("__rid"), *[F.col(c).cast("double").alias(x[j]) for j, c in enumerate(ref_coords)]))
+    reach_of = [df.agg(F.max(F.greatest(*[F.abs(c) for c in x], F.lit(1.0)))).first()[0] or 1.0 for df in (named, pts)]
+    levels = max(12, math.ceil(math.log(2.1 * max(reach_of) / finest, 4)) + 1)
+    half = finest * 4.0 ** (levels - 1) / 2
+
     def base(c):
         return F.floor((F.col(c) + half) / finest)
 
     def up(c, steps):
         return F.floor(c / F.pow(F.lit(4.0), steps)).cast("long")
 
-    pts = refs.select(F.col(ref_id).alias("__rid"), *[F.col(c).cast("double").alias(x[j])
-                                                      for j, c in enumerate(ref_coords)])
     spot = Window.partitionBy(*x).orderBy("__rid")
     pts = pts.withColumn("__rn", F.row_number().over(spot)).where(F.col("__rn") <= need).drop("__rn")
     tall = pts.select("__rid", *x, F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("__l"))
@@ -59,25 +68,27 @@ def knn(targets: DataFrame, refs: DataFrame, k: int, target_id: str, ref_id: str
     kids = pyramid.withColumns({f"__p{j}": up(F.col(g[j]), F.lit(1)) for j in dims})
     kids = kids.join(parents, ["__l", *[f"__p{j}" for j in dims]], "left")
     is_leaf = (F.col("__pn").isNull() | (F.col("__pn") > LEAF)) & ((F.col("__n") <= LEAF) | (F.col("__l") == 0))
-    leaf_cells = kids.where(is_leaf).select("__l", *g)
-    leaves = tall.join(leaf_cells, ["__l", *g]).groupBy("__l", *g).agg(
+    leaf_cells = kids.where(is_leaf).select("__l", *g, F.ceil(F.col("__n") / LEAF).alias("__parts"))
+    leaves = tall.join(leaf_cells, ["__l", *g]).withColumn("__part", F.pmod(F.xxhash64(*x, "__rid"), F.col("__parts"))).groupBy(
+        "__l", *g, "__part").agg(
         F.collect_list(F.struct(*x, "__rid")).alias("__pts"), F.count(F.lit(1)).alias("__n"),
         *[F.min(x[j]).alias(f"__lo{j}") for j in dims], *[F.max(x[j]).alias(f"__hi{j}") for j in dims])
     boxes = leaves.drop("__pts")
-    leaf_key = [F.col("__l").alias("__ll"), *[F.col(g[j]).alias(f"__lg{j}") for j in dims]]
+    leaf_key = [F.col("__l").alias("__ll"), "__part", *[F.col(g[j]).alias(f"__lg{j}") for j in dims]]
     registry = boxes.select(*leaf_key, "__n", *[f"__lo{j}" for j in dims], *[f"__hi{j}" for j in dims],
                             F.explode(F.sequence(F.col("__l").cast("int"), F.lit(levels - 1))).alias("__l"))
     registry = registry.withColumns({**{g[j]: up(F.col(f"__lg{j}"), F.col("__l") - F.col("__ll")) for j in dims},
                                      "__own": F.col("__l") == F.col("__ll")})
 
-    named = targets.select(F.col(target_id).alias("__tid"), *[F.col(c).cast("double").alias(x[j])
-                                                              for j, c in enumerate(coords)],
-                           *[scale.get(c, F.lit(1.0)).cast("double").alias(s[j]) for j, c in enumerate(coords)])
     spots = named.select(*x, *s).distinct()
     probe = spots.select(*x, *s, F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("__l"))
     probe = probe.withColumns({g[j]: up(base(x[j]), F.col("__l")) for j in dims})
     start = probe.join(pyramid, ["__l", *g], "left").groupBy(*x, *s).agg(
         F.coalesce(F.min(F.when(F.col("__n") >= need, F.col("__l"))), F.lit(levels - 1)).alias("__start"))
+    # A factor this small stretches the search to the whole extent: start from the cell that holds everything.
+    narrow = reduce(lambda a, b: a | b, [F.col(c) < 1e-3 for c in s])
+    start = start.withColumn("__start", F.when(narrow, levels - 1).otherwise(F.col("__start")))
+
     def size(level):
         return F.lit(finest) * F.pow(F.lit(4.0), F.col(level))
 
@@ -87,12 +98,14 @@ def knn(targets: DataFrame, refs: DataFrame, k: int, target_id: str, ref_id: str
                                 "__l": F.explode(F.sequence(F.col("__start").cast("int"), F.lit(levels - 1)))})
     for j in dims:
         reach = F.col("__r") / F.greatest(F.col(s[j]), F.lit(1e-3))
+        last = F.pow(F.lit(4.0), F.lit(levels - 1) - F.col("__l")) - 1
+        low, high = ((F.col(x[j]) + sign * reach + half) / size("__l") for sign in (-1, 1))
         wanted = wanted.withColumn(g[j], F.explode(F.sequence(
-            F.floor((F.col(x[j]) - reach + half) / size("__l")), F.floor((F.col(x[j]) + reach + half) / size("__l")))))
+            F.greatest(F.floor(low), F.lit(0)).cast("long"), F.least(F.floor(high), last).cast("long"))))
     kinds = F.when(F.col("__l") == F.col("__start"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))
     wanted = wanted.withColumn("__own", F.explode(kinds)).drop("__start")
     pairs = wanted.join(registry.withColumn("__l", F.col("__l").cast("int")), ["__l", *g, "__own"]).select(
-        *x, *s, "__r", "__ll", *[f"__lg{j}" for j in dims], "__n", *[f"__lo{j}" for j in dims],
+        *x, *s, "__r", "__ll", "__part", *[f"__lg{j}" for j in dims], "__n", *[f"__lo{j}" for j in dims],
         *[f"__hi{j}" for j in dims])
 
     def box_distance(far: bool):
@@ -105,11 +118,12 @@ def knn(targets: DataFrame, refs: DataFrame, k: int, target_id: str, ref_id: str
         return total
 
     pairs = pairs.withColumns({"__near": box_distance(False), "__far": F.when(F.col("__n") >= need, box_distance(True))})
-    bound = F.least(F.pow("__r", F.lit(2)), F.min("__far").over(Window.partitionBy(*x, *s)))
+    radius = F.when(~narrow, F.pow("__r", F.lit(2)))
+    bound = F.least(radius, F.min("__far").over(Window.partitionBy(*x, *s)), F.lit(float("inf")))
     # A little slack keeps leaves that rounding puts just outside.
     pairs = pairs.withColumn("__bound", bound).where(F.col("__near") <= F.col("__bound") * (1 + 1e-9) + 1e-18)
-    lists = pairs.select(*x, *s, "__bound", "__ll", *[f"__lg{j}" for j in dims]).join(
-        leaves.select(*leaf_key, "__pts"), ["__ll", *[f"__lg{j}" for j in dims]])
+    leaf = ["__ll", "__part", *[f"__lg{j}" for j in dims]]
+    lists = pairs.select(*x, *s, "__bound", *leaf).join(leaves.select(*leaf_key, "__pts"), leaf)
 
     def squared(p):
         total = F.lit(0.0)
@@ -201,9 +215,10 @@ def _cells(low: Column, high: Column, cell: float) -> Column:
 
 
 def points_in_polygons(points: DataFrame, edges: DataFrame, point_id: str, polygon: str, x: str, y: str,
-                       cell: float = 0.25, tolerance: float = 1e-12) -> DataFrame:
+                       cell: float = 0.25, tolerance: float = 1e-12, carry: str | None = None) -> DataFrame:
     """(point, polygon) pairs where the polygon covers the point; its boundary counts as inside.
 
+    `carry` names one more column of the points to return, the same in all rows of a point.
     Bounding-box cells find candidate polygons, and each candidate tests only the edges of its
     own latitude strip, packed in blocks: crossings to the right add up over the blocks.
     """
@@ -213,13 +228,13 @@ def points_in_polygons(points: DataFrame, edges: DataFrame, point_id: str, polyg
     covered = box.withColumn("__gx", _cells(F.col("__lx"), F.col("__hx"), cell))
     covered = covered.withColumn("__gy", _cells(F.col("__ly"), F.col("__hy"), cell))
     px, py = F.col(x).cast("double"), F.col(y).cast("double")
-    pts = points.select(point_id, px.alias("__x"), py.alias("__y"), F.floor(px / cell).alias("__gx"),
-                        F.floor(py / cell).alias("__gy"))
+    more = [carry] if carry else []
+    pts = points.select(point_id, *more, px.alias("__x"), py.alias("__y"), F.floor(px / cell).alias("__gx"), F.floor(py / cell).alias("__gy"))
     hit = pts.join(covered, ["__gx", "__gy"]).where(
         F.col("__x").between(F.col("__lx"), F.col("__hx")) & F.col("__y").between(F.col("__ly"), F.col("__hy")))
     strips = edges.withColumn("__gy", _cells(F.least("y1", "y2"), F.greatest("y1", "y2"), cell))
     packed = blocks(strips, [polygon, "__gy"], ["x1", "y1", "x2", "y2"])
-    rows = hit.select(point_id, polygon, "__x", "__y", "__gy").join(packed, [polygon, "__gy"])
+    rows = hit.select(point_id, *more, polygon, "__x", "__y", "__gy").join(packed, [polygon, "__gy"])
     qx, qy = F.col("__x"), F.col("__y")
 
     def crosses(e):
@@ -231,10 +246,10 @@ def points_in_polygons(points: DataFrame, edges: DataFrame, point_id: str, polyg
         return ((F.abs(area) <= tolerance) & qx.between(F.least(e["x1"], e["x2"]), F.greatest(e["x1"], e["x2"]))
                 & qy.between(F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"])))
 
-    rows = rows.select(point_id, polygon, F.size(F.filter("__items", crosses)).alias("__c"),
+    rows = rows.select(point_id, *more, polygon, F.size(F.filter("__items", crosses)).alias("__c"),
                        F.exists("__items", on_edge).alias("__on"))
-    inside = rows.groupBy(point_id, polygon).agg(F.sum("__c").alias("__c"), F.bool_or("__on").alias("__on"))
-    return inside.where((F.col("__c") % 2 == 1) | F.col("__on")).select(point_id, polygon)
+    inside = rows.groupBy(point_id, polygon).agg(F.sum("__c").alias("__c"), F.bool_or("__on").alias("__on"), *[F.max(c).alias(c) for c in more])
+    return inside.where((F.col("__c") % 2 == 1) | F.col("__on")).select(point_id, polygon, *more)
 
 
 def within_halo(points: DataFrame, edges: DataFrame, point_id: str, polygon: str, x: str, y: str, radius: float,
@@ -263,8 +278,8 @@ def zonal(pixels: DataFrame, edges: DataFrame, pixel_id: str, polygon: str, x: s
     """Mean and count of the valid pixel values each polygon covers."""
     v = F.col(value)
     good = pixels.where(v.isNotNull() & ~F.isnan(v.cast("double")) & (v > valid[0]) & (v < valid[1]))
-    inside = points_in_polygons(good, edges, pixel_id, polygon, x, y, cell)
-    return inside.join(good.select(pixel_id, value), pixel_id).groupBy(polygon).agg(
+    inside = points_in_polygons(good, edges, pixel_id, polygon, x, y, cell, carry=value)
+    return inside.groupBy(polygon).agg(
         F.avg(value).alias("mean"), F.count(F.lit(1)).alias("pixels"))
 
 
