@@ -7,6 +7,18 @@ from pyspark.sql import Column, functions as F
 BITS = 4096
 
 
+def order_image(c: Column, kind: str) -> Column:
+    """A number whose order follows that of a column of the simple type `kind`; equal for values that are close."""
+    if kind == "date":
+        return F.unix_date(c).cast("double")
+    if kind.startswith("timestamp"):
+        return F.unix_micros(c.cast("timestamp")).cast("double")
+    if kind.startswith(("string", "varchar", "char", "binary")):
+        head = F.rpad(F.hex(F.substring(c.cast("binary"), 1, 6)), 12, "0")
+        return F.conv(head, 16, 10).cast("double")
+    return c.cast("double")
+
+
 def order_buckets(c: Column) -> list[Column]:
     """Two integers whose lexicographic order follows the number's order.
 

@@ -25,7 +25,9 @@ def label(c) -> Column:
 
 
 def title_name(c) -> Column:
-    return F.initcap(F.trim(_c(c)))
+    """Every letter that follows no letter is raised, so also those after a hyphen or an apostrophe."""
+    words = F.regexp_extract_all(F.lower(F.trim(_c(c))), F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
+    return F.array_join(F.transform(words, F.initcap), "")
 
 
 def unescape(c) -> Column:

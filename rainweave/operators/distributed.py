@@ -10,7 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from rainweave.functions.order import order_buckets
+from rainweave.functions.order import order_buckets, order_image
 
 
 def attach(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
@@ -42,15 +42,18 @@ def running_sums(df: DataFrame, groups: list[str], order: Column, sums: dict[str
     """Inclusive running sums per distinct value in ascending order within each group.
 
     Returns groups, `name`, each sum for that value, `cum_<sum>`, and `total_<sum>` on request.
+    Missing values, NaN and infinities have no place in the order and are left out. Numbers, dates,
+    timestamps and text are ordered by themselves; only the buckets come from a number beside them.
     Totals run bottom-up over two bucket levels; every window sees one bucket's children, never
     the whole group. Both levels read the shuffled distinct values, not the input again.
     """
     # One struct key: NULL group values match, and the window's partitioning serves the join.
     key = F.struct(*groups) if groups else F.lit(0)
     at = ["__key", "__b0", "__b1"]
-    counts = (df.select(key.alias("__key"), order.alias(name), *[c.alias(s) for s, c in sums.items()])
-              .where(F.col(name).isNotNull()).groupBy("__key", name).agg(*[F.sum(s).alias(s) for s in sums]))
-    counts = counts.withColumns(dict(zip(at[1:], order_buckets(F.col(name)))))
+    rows = df.select(key.alias("__key"), order.alias(name), *[c.alias(s) for s, c in sums.items()])
+    image = order_image(F.col(name), rows.schema[name].dataType.simpleString())
+    counts = rows.where(F.abs(image) < float("inf")).groupBy("__key", name).agg(*[F.sum(s).alias(s) for s in sums])
+    counts = counts.withColumns(dict(zip(at[1:], order_buckets(image))))
     fine = counts.groupBy(*at).agg(*[F.sum(s).alias(s) for s in sums])
     coarse = fine.groupBy(*at[:2]).agg(*[F.sum(s).alias(s) for s in sums])
 

@@ -64,8 +64,8 @@ def bootstrap_counts(counts: DataFrame, unit: str, fields: list[str], reps: int
     once, since numbering, drawing and summing all read them.
     """
     counts = cut_lineage(counts.select(unit, *fields))
-    place = ordinal(counts, F.col(unit).cast("double"), "__idx")
-    rows = counts.withColumn("value", F.col(unit).cast("double")).join(place, "value").drop("value")
+    place = ordinal(counts, F.col(unit), "__idx")
+    rows = counts.withColumn("value", F.col(unit)).join(place, "value").drop("value")
     rows = attach(rows, rows.agg(F.count(F.lit(1)).alias("__size")), [])
     draws = rows.where(F.col("__idx") < F.ceil(F.col("__size") / block)).select(
         F.col("__idx").alias("draw"), "__size", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))

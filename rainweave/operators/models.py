@@ -226,11 +226,10 @@ def residual_field(targets: DataFrame, stations: DataFrame, group: str, target_i
     if method:
         rule = rule.withColumn("method", F.lit(method))
     st = attach(stations, rule, [group])
-    sparse = idw(targets, st.where("method = 'idw'"), [group], target_id, [lon, lat], value, [station_lon, station_lat])
-    weights = kriging_weights(st.where("method <> 'idw'"), group, station_lon, station_lat, value)
-    dense = kriging_field(targets, weights, group, target_id, lon, lat)
-    found = sparse.select(target_id, "residual") if method == "idw" else sparse.select(target_id, "residual").unionByName(
-        dense.select(target_id, "residual"))
+    found = idw(targets, st.where("method = 'idw'"), [group], target_id, [lon, lat], value, [station_lon, station_lat]).select(target_id, "residual")
+    if method != "idw":
+        weights = kriging_weights(st.where("method <> 'idw'"), group, station_lon, station_lat, value)
+        found = found.unionByName(kriging_field(targets, weights, group, target_id, lon, lat).select(target_id, "residual"))
     return targets.select(target_id).join(found, target_id, "left").fillna(0.0, ["residual"])
 
 

@@ -139,11 +139,11 @@ def canonical_json(columns: list[str]) -> Column:
 def digest(df: DataFrame, groups: list[str], row: Column) -> DataFrame:
     """Order-free content digest of each group's rows (multiset): `rows` and `digest`.
 
-    Four 52-bit parts of every row's SHA-256 are summed, so rows combine before the shuffle and
+    Five parts of every row's SHA-256, all its bits, are summed, so rows combine before the shuffle and
     no task ever holds a whole group.
     """
     sha = F.sha2(row, 256)
-    parts = {f"p{i}": F.conv(F.substring("__sha", 1 + 13 * i, 13), 16, 10).cast("decimal(20,0)") for i in range(4)}
+    parts = {f"p{i}": F.conv(F.substring("__sha", 1 + 13 * i, 13), 16, 10).cast("decimal(20,0)") for i in range(5)}
     rows = df.withColumn("__sha", sha).select(*groups, *[c.alias(n) for n, c in parts.items()])
     sums = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("rows"), *[F.sum(n).alias(n) for n in parts])
     text = F.concat_ws(":", F.col("rows").cast("string"), *[F.col(n).cast("string") for n in parts])

@@ -90,7 +90,7 @@ def growth_stage(crop, month) -> Column:
 def alert_level(rain, crop, rh) -> Column:
     r, c, h = _c(rain), _c(crop), _c(rh)
     return (F.when(r >= 64.5, "WARNING")
-            .when((r >= 20) | ((c == "Grape") & (h >= 85)) | ((c == "Sugarcane") & (r >= 35)), "ADVISORY").otherwise("NORMAL"))
+            .when((r >= 20) | ((c == "Grape") & (h >= 85)), "ADVISORY").otherwise("NORMAL"))
 
 
 def branch(crop, rain, rh) -> Column:

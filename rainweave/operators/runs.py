@@ -66,18 +66,28 @@ def map_features(geometry: DataFrame, forecast: DataFrame, key: str, fields: lis
 
 
 def bulletin_table(df: DataFrame, key: list[str], date: str, fields: list[str], days: int = 5) -> DataFrame:
-    """Variable x day table, source beside local: columns d0_source, d0_local, ... and the local total.
+    """Variable x day table, source beside local: columns d0_source, d0_local, ... and the sums source_total, local_total.
 
-    Day columns are offsets from the key's first date, so no distinct dates are collected first.
+    Every date is shown: a key whose dates span more than `days` has one table per span of that
+    length, counted from its first date; first_date is the first day of the span. Day columns are
+    offsets, so no distinct dates are collected first. Totals leave missing days out.
     """
     from rainweave.operators.distributed import attach
-    rows = attach(df, df.groupBy(*key).agg(F.min(date).alias("first_date")), key)
-    rows = rows.withColumn("__day", F.datediff(F.col(date), F.col("first_date")))
+    rows = attach(df, df.groupBy(*key).agg(F.min(date).alias("__start")), key)
+    offset = F.datediff(F.col(date), F.col("__start"))
+    rows = rows.withColumn("__day", offset % days).withColumn("first_date", F.date_sub(F.col(date), F.col("__day")))
     long = rows.select(*key, "first_date", "__day", F.inline(F.array(*[F.struct(
         F.lit(f).alias("variable"), F.col(f"source_{f}").cast("double").alias("source"),
         F.col(f"local_{f}").cast("double").alias("local")) for f in fields])))
-    return long.groupBy(*key, "first_date", "variable").pivot("__day", list(range(days))).agg(
-        F.first("source", True).alias("source"), F.first("local", True).alias("local"))
+    table = long.groupBy(*key, "first_date", "variable").pivot("__day", list(range(days))).agg(
+        F.max("source").alias("source"), F.max("local").alias("local"))
+    names = {f"{i}_{s}": F.col(f"{i}_{s}").alias(f"d{i}_{s}") for i in range(days) for s in ("source", "local")}
+
+    def total(side):
+        known = F.array_compact(F.array(*[f"{i}_{side}" for i in range(days)]))
+        return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, v: a + v)).alias(f"{side}_total")
+
+    return table.select(*key, "first_date", "variable", *names.values(), total("source"), total("local"))
 
 
 def cell_value(c: str) -> Column:

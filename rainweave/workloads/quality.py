@@ -138,7 +138,7 @@ DIGEST_ROW = "l_orderkey || '|' || l_linenumber || '|' || l_partkey || '|' || l_
 
 
 def digest_sql(source, group, row):
-    parts = ", ".join(f"sum(('0x' || substr(h, {1 + 13 * i}, 13))::BIGINT)" for i in range(4))
+    parts = ", ".join(f"sum(('0x' || substr(h, {1 + 13 * i}, 13))::BIGINT)" for i in range(5))
     return f"""SELECT {group}, count(*) AS "rows", sha256(concat_ws(':', count(*), {parts})) AS digest
 FROM (SELECT {group}, sha256({row}) AS h FROM {source}) GROUP BY {group}"""
 

@@ -40,9 +40,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a scan with fewer partitions than cores to all cores, ahead of heavy per-row text work."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Deal the narrow rows of a scan evenly over the session's shuffle partitions, ahead of heavy per-row text work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def spark_view(spark: SparkSession, sf: str, text: str) -> DataFrame:

@@ -64,11 +64,11 @@ def prj2(spark, sf):
 @query("agg25_bulletin_table", f"""
 WITH d AS (SELECT c_nationkey AS block_id, CAST(o_orderdate AS DATE) AS d, round(avg(o_totalprice) / 9973e0, 6) AS r, round(max(o_totalprice) / 49999e0, 6) AS t
  FROM {{orders}} JOIN {{customer}} ON o_custkey = c_custkey GROUP BY 1, 2),
-f AS (SELECT block_id, min(d) AS first_date FROM d GROUP BY 1),
-x AS (SELECT d.*, first_date, datediff('day', first_date, d) AS k FROM d JOIN f USING (block_id)),
+f AS (SELECT block_id, min(d) AS start FROM d GROUP BY 1),
+x AS (SELECT d.*, CAST(d - CAST(datediff('day', start, d) % 5 AS INTEGER) AS DATE) AS first_date, datediff('day', start, d) % 5 AS k FROM d JOIN f USING (block_id)),
 u AS (SELECT block_id, first_date, k, 'rainfall_mm' AS variable, r AS source, r * 2 AS local FROM x UNION ALL SELECT block_id, first_date, k, 'temp_max_c', t, t * 2 FROM x)
-SELECT block_id, first_date, variable, {', '.join(f"max(source) FILTER (k = {i}) AS d{i}_source, max(local) FILTER (k = {i}) AS d{i}_local" for i in range(5))}
-FROM u GROUP BY 1, 2, 3""")
+SELECT block_id, first_date, variable, {', '.join(f"max(source) FILTER (k = {i}) AS d{i}_source, max(local) FILTER (k = {i}) AS d{i}_local" for i in range(5))},
+ round(sum(source), 6) AS source_total, round(sum(local), 6) AS local_total FROM u GROUP BY 1, 2, 3""")
 def agg25(spark, sf):
     rows = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     g = rows.groupBy(F.col("c_nationkey").alias("block_id"), F.col("o_orderdate").cast("date").alias("d")).agg(
@@ -76,7 +76,7 @@ def agg25(spark, sf):
         F.round(F.max("o_totalprice") / 49999, 6).alias("source_temp_max_c"))
     g = g.withColumns({"local_rainfall_mm": F.col("source_rainfall_mm") * 2, "local_temp_max_c": F.col("source_temp_max_c") * 2})
     out = R.bulletin_table(g, ["block_id"], "d", ["rainfall_mm", "temp_max_c"])
-    return out.select("block_id", "first_date", "variable", *[F.col(f"{i}_{s}").alias(f"d{i}_{s}") for i in range(5) for s in ("source", "local")])
+    return out.withColumns({c: F.round(c, 6) for c in ("source_total", "local_total")})
 
 
 @query("jn15_resolve_names", """
