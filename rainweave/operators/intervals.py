@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, functions as F
 
 from rainweave.functions.numeric import finite
-from rainweave.operators.distributed import attach, require_empty
+from rainweave.operators.distributed import attach, duplicate_keys, require_empty
 
 KEY = ["location_id", "support_id", "valid_start", "valid_end"]
 TARGET_KINDS = ("independent_gauge", "gauge_based_gridded_analysis")
@@ -26,14 +26,15 @@ def _with_reasons(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
 
 
 def _copies(df: DataFrame, key: list[str]) -> DataFrame:
-    return attach(df, df.groupBy(*key).agg(F.count(F.lit(1)).alias("__copies")), key)
+    """`__copies` on rows whose key repeats, NULL on all others, so that only repeated keys are joined back."""
+    return attach(df, duplicate_keys(df, key).withColumnRenamed("copies", "__copies"), key)
 
 
 def check_observations(obs: DataFrame, target_kinds=TARGET_KINDS) -> DataFrame:
     rows = _with_reasons(_copies(obs, KEY), {
         "unverified target kind": ~F.col("target_kind").isin(list(target_kinds)),
         "invalid observation interval": F.col("valid_end") <= F.col("valid_start"),
-        "duplicate observation interval": F.col("__copies") > 1,
+        "duplicate observation interval": F.col("__copies").isNotNull(),
         "source hash required": F.length("source_sha256") != 64,
         "invalid observed rain": ~finite("rainfall_mm") | (F.col("rainfall_mm") < 0)})
     return rows.drop("__copies")
@@ -48,7 +49,7 @@ def check_forecasts(fc: DataFrame, features: str | None = None) -> DataFrame:
         "availability predates issue": F.col("available_at") < F.col("issued_at"),
         "source hash required": F.length("source_sha256") != 64,
         "invalid forecast rain": ~finite("rainfall_mm") | (F.col("rainfall_mm") < 0),
-        "duplicate forecast": F.col("__copies") > 1}
+        "duplicate forecast": F.col("__copies").isNotNull()}
     if features:
         rules["future feature leakage"] = F.coalesce(
             F.exists(features, lambda f: f["available_at"] > F.col("available_at")), F.lit(False))
