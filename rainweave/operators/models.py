@@ -14,7 +14,8 @@ from pyspark.sql.functions import pandas_udf
 
 from rainweave.functions.numeric import clamp
 from rainweave.operators.distributed import attach
-from rainweave.operators.spatial import blocks, idw
+from rainweave.operators.kriging import kriging_weights
+from rainweave.operators.spatial import blocks, idw, meet
 
 # Order of the twelve and nineteen features of a feature vector.
 LAG_FEATURES = ["rain_last", "rain_previous", "rain_two_before", "rain_six_before", "rain_thirteen_before", "mean3", "mean7",
@@ -144,66 +145,19 @@ def importances(model: Model, x: list[str], df: DataFrame) -> DataFrame:
 
 # --- residual interpolation -----------------------------------------------------------------
 
-MAX_STATIONS = 8000
-
-
 def density_rule(stations: DataFrame, groups: list[str]) -> DataFrame:
     """Method per group: universal kriging from 10 stations, ordinary from 5, else inverse distance."""
     n = stations.groupBy(*groups).agg(F.count(F.lit(1)).alias("stations"))
     return n.withColumn("method", F.when(F.col("stations") >= 10, "universal").when(F.col("stations") >= 5, "ordinary").otherwise("idw"))
 
 
-def kriging_weights(stations: DataFrame, group: str, lon: str, lat: str, value: str, nugget: float = 0.0) -> DataFrame:
-    """Dual weights of each group's kriging system: one row per station, plus drift and variogram.
-
-    Only the stations of a group meet in one task, tens in practice; a group beyond MAX_STATIONS is
-    an error, since its dense system has no place in one task. Targets are never grouped.
-    """
-    schema = f"{group} {stations.schema[group].dataType.simpleString()}, lon double, lat double, w double, drift array<double>, vario array<double>"
-    limit = MAX_STATIONS
-
-    def solve(pdf):
-        import numpy as np
-        import pandas as pd
-        n = len(pdf)
-        if n > limit:
-            raise ValueError(f"Too many stations in one kriging group: {n}")
-        xy = pdf[["lon", "lat"]].to_numpy(float)
-        z = pdf["v"].to_numpy(float)
-        h = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(-1))
-        far, var = max(float(h.max()), 1e-9), max(float(z.var()), 1e-9)
-        universal = n >= 10
-        if universal:  # linear variogram
-            gamma, vario = nugget + var / far * h, [var / far, 0.0, nugget]
-            drift = np.column_stack([np.ones(n), xy])
-        else:  # spherical variogram
-            r = far / 2
-            t = np.minimum(h / r, 1.0)
-            gamma, vario = nugget + var * (1.5 * t - 0.5 * t ** 3), [var, r, nugget]
-            drift = np.ones((n, 1))
-        np.fill_diagonal(gamma, 0.0)
-        k = drift.shape[1]
-        system = np.block([[gamma, drift], [drift.T, np.zeros((k, k))]])
-        wanted = np.concatenate([z, np.zeros(k)])
-        try:
-            answer = np.linalg.solve(system, wanted)
-        except np.linalg.LinAlgError:  # stations sharing a spot
-            answer = np.linalg.lstsq(system, wanted, rcond=None)[0]
-        d = [float(a) for a in answer[n:]] + [0.0] * (3 - k)
-        return pd.DataFrame({group: pdf[group], "lon": xy[:, 0], "lat": xy[:, 1], "w": answer[:n], "drift": [d] * n, "vario": [vario] * n})
-
-    rows = stations.select(group, F.col(lon).cast("double").alias("lon"), F.col(lat).cast("double").alias("lat"),
-                           F.col(value).cast("double").alias("v"))
-    return rows.groupBy(group).applyInPandas(solve, schema)
-
-
 def kriging_field(targets: DataFrame, weights: DataFrame, group: str, target_id: str, lon: str, lat: str,
                   limit: float = 15.0) -> DataFrame:
     """Kriged residual per target: a sum over the group's stations, block by block, clipped."""
     packed = blocks(weights.select(group, "lon", "lat", "w"), [group], ["lon", "lat", "w"])
     params = weights.groupBy(group).agg(F.first("drift").alias("__d"), F.first("vario").alias("__g"))
-    rows = attach(targets.select(group, target_id, F.col(lon).cast("double").alias("__x"), F.col(lat).cast("double").alias("__y")).join(
-        packed, group), params, [group])
+    places = targets.select(group, target_id, F.col(lon).cast("double").alias("__x"), F.col(lat).cast("double").alias("__y"))
+    rows = attach(meet(places, packed, [group]), params, [group])
     slope, reach, nugget = (F.col("__g")[i] for i in range(3))
 
     def gamma(p):

@@ -170,7 +170,14 @@ def blocks(df: DataFrame, groups: list[str], fields: list[str], size: int = BLOC
     counts = df.groupBy(*groups).agg(F.ceil(F.count(F.lit(1)) / size).alias("__parts"))
     rows = attach(df, counts, groups)
     rows = rows.withColumn("__block", F.pmod(F.xxhash64(*fields), F.col("__parts")))
-    return rows.groupBy(*groups, "__block").agg(F.collect_list(F.struct(*fields)).alias("__items")).drop("__block")
+    return rows.groupBy(*groups, "__block").agg(F.collect_list(F.struct(*fields)).alias("__items"))
+
+
+def meet(rows: DataFrame, packed: DataFrame, groups: list[str]) -> DataFrame:
+    """Every row with every block of its group, dealt by group and block, so that a hot group is many tasks."""
+    last = packed.groupBy(*groups).agg(F.max("__block").alias("__last"))
+    rows = rows.join(last, groups).withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__last")))).drop("__last")
+    return rows.join(packed, [*groups, "__block"]).drop("__block")
 
 
 def idw(targets: DataFrame, stations: DataFrame, groups: list[str], target_id: str, coords: list[str], value: str,
@@ -180,7 +187,7 @@ def idw(targets: DataFrame, stations: DataFrame, groups: list[str], target_id: s
     st = stations.select(*groups, *[F.col(c).cast("double").alias(f"__p{j}") for j, c in enumerate(station_coords)],
                          F.col(value).cast("double").alias("__v"))
     packed = blocks(st, groups, [*[f"__p{j}" for j in range(len(coords))], "__v"])
-    rows = targets.select(*groups, target_id, *coords).join(packed, groups)
+    rows = meet(targets.select(*groups, target_id, *coords), packed, groups)
 
     def weight(p):
         return 1.0 / (sum((F.pow(F.col(c) - p[f"__p{j}"], 2) for j, c in enumerate(coords)), F.lit(0.0)) + eps)

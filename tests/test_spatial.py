@@ -91,3 +91,20 @@ def test_residual_field_follows_density_and_honours_stations(spark, n, method):
     assert np.std([got[i] for i in range(n)]) > 0.1
     if method != "idw":  # kriging reproduces its stations
         np.testing.assert_allclose([got[i] for i in range(n)], z, atol=1e-6)
+
+
+def test_kriging_over_blocks_equals_the_direct_solve(spark):
+    from rainweave.operators.kriging import kriging_weights
+    rng = np.random.default_rng(8)
+    xy, z = rng.uniform(73, 75, (14, 2)), rng.normal(0, 3, 14)
+    rows = [("a", *map(float, p), float(v)) for p, v in zip(xy, z)] + [("a", *map(float, xy[0]), 5.0), ("a", None, 18.0, 1.0)]
+    rows += [("line", 73.0 + k, 18.0, float(k * k)) for k in range(12)]  # every spot on one line
+    st = spark.createDataFrame(rows, "g string, x double, y double, r double")
+    places = [(g, i, float(a), float(b)) for g in ("a", "line") for i, (a, b) in enumerate(rng.uniform(73, 75, (6, 2)))]
+    tg = spark.createDataFrame([(g, f"{g}{i}", a, b if g == "a" else 18.0) for g, i, a, b in places], "g string, id string, x double, y double")
+    fields = []
+    for direct in (2000, 10):
+        w = kriging_weights(st, "g", "x", "y", "r", 0.25, direct)
+        fields.append({r.id: r.residual for r in M.kriging_field(tg, w, "g", "id", "x", "y").collect()})
+    assert len(fields[0]) == 12 and np.std(list(fields[0].values())) > 0.1
+    assert fields[1] == pytest.approx(fields[0], abs=1e-6)
