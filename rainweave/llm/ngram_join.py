@@ -119,7 +119,9 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     own = index.select("doc_id", "n").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     copies = rows.where("doc_id is not null").select("doc_id", text_digest().alias("digest")).join(later.distinct(), ["doc_id", "digest"]).select("doc_id", "first")
-    firsts = own.withColumnRenamed("doc_id", "first").groupBy("first").agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id"))
+    # written, so that a large group of copies can be split between tasks
+    firsts = cut_lineage(own.join(later.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("first"))
+                         .agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id")))
     empty = rows.where("doc_id is null or text is null").select("doc_id", "text")
 
     def count(batches):

@@ -48,7 +48,8 @@ def split_copies(docs: DataFrame, width: int = WIDTH) -> tuple[Originals, DataFr
     docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     ids = docs.select("doc_id", text_digest().alias("digest"))
-    first = ids.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    # written, so that the join meets two plain exchanges and a large group of copies can be split between tasks
+    first = cut_lineage(ids.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"))
     later = cut_lineage(ids.join(first, "digest").where(F.col("doc_id") > F.col("first")).select("doc_id", "digest", "first"))
     key = F.xxhash64("doc_id", "digest").alias("key")
 
