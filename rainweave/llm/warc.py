@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rainweave.llm.packing import bound_batches
+from rainweave.session import cut_lineage
 
 RECORD_END = "\r\n\r\n"
 SEGMENT_BYTES = 64 << 10
@@ -33,16 +34,16 @@ RECORD = ("record_id string, record_type string, page_id long, url string, origi
 def classify(pages: DataFrame, page_id: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
     """page_id, url, payload, digest, and for revisits the page whose payload is referred to.
 
-    Of equal payloads of at least REVISIT_BYTES the largest page_id is kept in full. Only the digests' maxima are joined
-    back; the optimizer splits a digest that very many pages share. A null body is an empty payload; a row without
+    Of equal payloads of at least REVISIT_BYTES the largest page_id is kept in full. Only the maxima of repeated
+    digests are joined back, from a written table, so the optimizer can split a digest that very many pages share. A null body is an empty payload; a row without
     page_id is always kept in full; rows that repeat the largest page_id are all kept in full.
     """
     bound_batches(pages.sparkSession)
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"),
                         F.coalesce(F.col(body).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    newest = (rows.where((F.length("payload") >= REVISIT_BYTES) & F.col("page_id").isNotNull())
-              .groupBy("digest").agg(F.max("page_id").alias("newest")))
+    newest = cut_lineage(rows.where((F.length("payload") >= REVISIT_BYTES) & F.col("page_id").isNotNull()).groupBy("digest")
+                         .agg(F.min("page_id").alias("oldest"), F.max("page_id").alias("newest")).where("oldest < newest").drop("oldest"))
     return rows.join(newest, "digest", "left").select(
         "page_id", "url", "payload", "digest", F.when(F.col("newest") > F.col("page_id"), F.col("newest")).alias("refers_to"))
 
@@ -220,9 +221,12 @@ def reassemble(records: DataFrame) -> DataFrame:
 
 def resolve_revisits(rows: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, problem: a revisit takes its size from its response."""
-    rows = rows.select("page_id", "record_type", "refers_to", "payload_digest", F.length("payload").cast("long").alias("payload_bytes"), "problem")
-    sizes = (rows.where("record_type = 'response'").groupBy(F.col("page_id").alias("refers_to"), "payload_digest")
-             .agg(F.max("payload_bytes").alias("kept_bytes")))
+    rows = cut_lineage(rows.select("page_id", "record_type", "refers_to", "payload_digest",
+                                   F.length("payload").cast("long").alias("payload_bytes"), "problem"))
+    wanted = rows.where("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), "payload_digest").distinct()
+    # written, so that the many revisits of one response can be split between tasks
+    sizes = cut_lineage(rows.where("record_type = 'response'").join(wanted, ["page_id", "payload_digest"], "left_semi")
+                        .groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("kept_bytes")))
     return rows.join(sizes, ["refers_to", "payload_digest"], "left").select(
         "page_id", F.when(F.col("record_type") == "revisit", F.col("kept_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
         "payload_digest", "record_type", "refers_to", "problem")
