@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from rainweave.llm import sketch
 from rainweave.llm.packing import bound_batches, pack_texts, unpack
+from rainweave.session import cut_lineage
 
 WHITE = b" \t\n\r\x0b\x0c"
 WIDTH = 26
@@ -63,9 +64,10 @@ def shared_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
                                   ["doc_id", "key"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    found = rows.mapInArrow(suspects, f"doc_id {kind}, key binary").distinct()
-    confirmed = (found.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
-                 .where(F.col("n") >= min_docs).select("key", "keeper"))
+    found = cut_lineage(rows.mapInArrow(suspects, f"doc_id {kind}, key binary").distinct())
+    # written, so that the documents of a very common line can be split between tasks
+    confirmed = cut_lineage(found.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
+                            .where(F.col("n") >= min_docs).select("key", "keeper"))
     return found.join(confirmed, "key").where(F.col("doc_id") != F.col("keeper")).select("doc_id", "key")
 
 
