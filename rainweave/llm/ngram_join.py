@@ -169,19 +169,22 @@ def _all_links(able: DataFrame, percent: int) -> DataFrame:
 def _product(table: pa.Table, percent: int) -> pa.Table:
     """One document's row times its columns' members in one part: overlap with each member of another component.
 
-    Pairs that stay under the least overlap even if they share all columns that the other's row accounts for (elsewhere)
-    are discarded here.
+    A column with both outside the main component is emitted by the row of the smaller id only, but counts in the bounds of
+    both rows: what a row has not counted are columns with x in the main component (elsewhere). Pairs that stay under the
+    least overlap even if they share all of these are discarded here.
     """
     lists = table.column("members").combine_chunks()
     which = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
     y, ny, cy = (lists.flatten().field(k).to_numpy() for k in range(3))
     x, nx, cx, main = (table.column(k).to_numpy() for k in ("x", "nx", "cx", "main"))
     x, nx, cx = x[0], nx[0], cx[0]
-    keep = (cy != cx) & ((cy == main[which]) | (x < y)) & (np.minimum(nx, ny) * 100 >= np.maximum(nx, ny) * percent)
-    y, at, met = np.unique(y[keep], return_index=True, return_counts=True)
+    keep = (cy != cx) & (np.minimum(nx, ny) * 100 >= np.maximum(nx, ny) * percent)
+    mine = ((cy == main[which]) | (x < y))[keep]
+    y, at, back, shared = np.unique(y[keep], return_index=True, return_inverse=True, return_counts=True)
     ny = ny[keep][at]
-    most = met + table.column("elsewhere")[0].as_py() + -(-percent * np.maximum(nx, ny) // 100) - 1
-    able = most >= -(-percent * (nx + ny) // (100 + percent))
+    met = np.bincount(back[mine], minlength=len(y))
+    most = shared + table.column("elsewhere")[0].as_py() + -(-percent * np.maximum(nx, ny) // 100) - 1
+    able = (met > 0) & (most >= -(-percent * (nx + ny) // (100 + percent)))
     y, ny, met = y[able], ny[able], met[able]
     return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y), "total": nx + ny, "high": np.maximum(nx, ny), "met": met.astype(np.int64)})
 

@@ -4,7 +4,7 @@ import hashlib
 import random
 
 from conftest_llm import EDGE, lower, split_words
-from rainweave.llm import line_dedup, ngram_join, substring_dedup
+from rainweave.llm import graph, line_dedup, ngram_join, substring_dedup
 
 
 def corpus(seed, n=60):
@@ -104,3 +104,49 @@ def test_components(documents):
     got = ngram_join.similar_components(documents(rows, extra=True), width=18, level_width=16)
     assert sorted(map(tuple, got.collect())) == sorted((i, len(sets[i]), root(i)) for i in sets)
     assert len({root(i) for i in sets}) < len(sets) - 10
+
+
+def overlapping_families(seed, groups=12):
+    """{doc_id: columns}, columns ordered by number: per group two near documents x > y, whose hubs are near y or neither.
+
+    Half of the first-block columns of x and y lie with y's family f, half with a family g of other documents.
+    """
+    rng = random.Random(seed)
+    ids = [rng.sample(range(100 * k, 100 * k + 50), 6) + rng.sample(range(100 * k + 50, 100 * k + 100), 2) for k in range(1, groups + 1)]
+    out = {}
+    for k in range(groups):
+        at = iter(range(k * 10**6, (k + 1) * 10**6))
+        take = lambda n: [next(at) for _ in range(n)]
+        own = [take(9) for _ in range(3)]
+        ux, uy, ug, a, b, r, rx, ry, rg = (take(n) for n in (3, 3, 12, 9, 9, 75, 4, 4, 79))
+        y, x = sorted(ids[k][6:])
+        out[x], out[y] = ux + a + b + r + rx, uy + a + b + r + ry
+        for i, mine in enumerate(own):
+            out[ids[k][i]] = mine + uy + a + r + ry
+            out[ids[k][3 + i]] = ug + b + rg
+    return out
+
+
+def test_links_between_overlapping_families(spark):
+    sets = {i: set(c) for i, c in overlapping_families(6).items()}
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                low, high = sorted((root(i), root(j)))
+                parent[high] = low
+    rows = []
+    for i, c in sets.items():
+        c, cut = sorted(c), len(c) - -(-80 * len(c) // 100) + 1
+        rows.append((i, len(c), c[:cut], c[cut:]))
+    able = spark.createDataFrame(rows, "doc_id long, n long, first array<long>, rest array<long>")
+    links = ngram_join._all_links(able, 80).collect()
+    assert all(100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) for a, b in links)
+    found = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert {i: found.get(i, i) for i in sets} == {i: root(i) for i in sets}
