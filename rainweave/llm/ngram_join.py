@@ -112,11 +112,13 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     one doc_id count as linked to each other.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    work, later = split_copies(rows)
+    wordy = F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    work, later = split_copies(rows.where(wordy))
     index = _index(work, n, percent, width, level_width)
     found = graph.components(_all_links(index.where("first is not null"), percent))
 
-    own = index.select("doc_id", "n").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+    wordless = rows.where(F.col("doc_id").isNotNull() & ~wordy).select("doc_id", F.lit(0).cast("long").alias("n"))  # copies, too, link with nothing
+    own = index.select("doc_id", "n").unionByName(wordless).join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     copies = rows.where("doc_id is not null").select("doc_id", text_digest().alias("digest")).join(later.distinct(), ["doc_id", "digest"]).select("doc_id", "first")
     # written, so that a large group of copies can be split between tasks

@@ -150,3 +150,10 @@ def test_links_between_overlapping_families(spark):
     assert all(100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) for a, b in links)
     found = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert {i: found.get(i, i) for i in sets} == {i: root(i) for i in sets}
+
+
+def test_repeated_texts_without_words_link_with_nothing(documents):
+    rows = [(1, ""), (2, ""), (3, " \t\n"), (4, " \t\n"), (5, ""), (6, None), (7, None), (8, "one two"), (9, "one two"), (10, "\x0b\r"), (11, "\x0b\r"), (12, "\xa0"), (13, "\xa0")]
+    got = ngram_join.similar_components(documents(rows), width=16, level_width=16)
+    linked = {9: 8, 13: 12}
+    assert sorted(map(tuple, got.collect())) == [(i, int(i in (8, 9, 12, 13)), linked.get(i, i)) for i, _ in rows]
