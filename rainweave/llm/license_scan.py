@@ -4,7 +4,7 @@ Built-in functions only. Units are the lines of every file and the whole text of
 whose cosine to a template reaches the threshold holds one of the template's anchors: words are left out of the anchors
 only while their share of the template's squared norm stays under the squared threshold. So only lines with an anchor are
 scored, and none is lost. Template words (at most MAX_VOCABULARY) and their document frequencies are the only data
-gathered; frequencies count all files.
+gathered; the frequencies of all words, over all files, are a written table that the words of the scored units join.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rainweave.session import cut_lineage
+
 THRESHOLD = 0.6
 MAX_VOCABULARY = 5000
 LICENCE_NAME = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
@@ -37,11 +39,10 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def _frequencies(files: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
-    known = F.array(*map(F.lit, vocabulary))
-    rows = files.select(F.explode(F.concat(F.array(F.lit("")), F.array_intersect(words(F.col("text")), known))).alias("word")).groupBy("word").count().collect()
-    found = {r["word"]: r["count"] for r in rows}  # at most one row a word of the vocabulary
-    return found.pop("", 0), found
+def _frequencies(files: DataFrame) -> DataFrame:
+    """word, files: in how many files each word is; the word '' counts all files."""
+    return cut_lineage(files.select(F.explode(F.concat(F.array(F.lit("")), F.array_distinct(words(F.col("text"))))).alias("word"))
+                       .groupBy("word").agg(F.count("*").alias("files")))
 
 
 def _anchors(weights: dict[str, float], threshold: float) -> list[str]:
@@ -58,17 +59,17 @@ def own_licences(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     """file_id, license, score for the files (file_id, path, text) with a unit of cosine >= threshold to a template.
 
     The best unit and template count; ties go to the licence first in the alphabet. Weights are term count times
-    ln((1 + files) / (1 + files with the word)) + 1; words of no template count as met in no file. Null or empty texts have
-    no licence; of rows repeating a file_id the best counts.
+    ln((1 + files) / (1 + files with the word)) + 1, for words of no template too. Null or empty texts have no licence; of rows repeating a file_id the best counts.
     """
     files = files.where(F.col("file_id").isNotNull() & F.col("text").isNotNull())
     counted = [(name, Counter(w for w in _split(text))) for name, text in templates]
     vocabulary = sorted({w for _, c in counted for w in c})
     if len(vocabulary) > MAX_VOCABULARY:
         raise ValueError(f"more than {MAX_VOCABULARY} template words")
-    n, seen = _frequencies(files, vocabulary)
+    frequencies = _frequencies(files)
+    seen = {r["word"]: r["files"] for r in frequencies.where(F.col("word").isin("", *vocabulary)).collect()}  # at most one row a word of the vocabulary
+    n = seen.pop("", 0)
     idf = {w: math.log((1 + n) / (1 + seen.get(w, 0))) + 1 for w in vocabulary}
-    foreign = math.log(1 + n) + 1
     rows, anchors = [], set()
     for k, (name, count) in enumerate(counted):
         weights = {w: c * idf[w] for w, c in count.items()}
@@ -83,10 +84,14 @@ def own_licences(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     whole = files.where(F.col("path").rlike(LICENCE_NAME)).select("file_id", F.lit(-1).alias("unit"), F.col("text").alias("body"))
     pattern = "(?<![a-z0-9])(?:" + "|".join(sorted(anchors)) + ")(?![a-z0-9])"
     units = lines.unionByName(whole).where(F.lower("body").rlike(pattern))
-    counts = (units.select("file_id", "unit", F.explode(words(F.col("body"))).alias("word")).groupBy("file_id", "unit", "word").agg(F.count("*").alias("tf")))
-    weighed = counts.join(F.broadcast(scale), "word", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(foreign))).drop("idf")
+    # written, so that the join with the frequencies meets two plain exchanges and a common word can be split between tasks
+    counts = cut_lineage(units.select("file_id", "unit", F.explode(words(F.col("body"))).alias("word")).groupBy("file_id", "unit", "word").agg(F.count("*").alias("tf")))
+    known = counts.join(F.broadcast(scale), "word")
+    others = counts.join(F.broadcast(scale), "word", "left_anti").join(
+        frequencies.select("word", (F.log((1 + n) / (1 + F.col("files"))) + 1).alias("idf")), "word")
+    weighed = known.unionByName(others).withColumn("w", F.col("tf") * F.col("idf")).drop("idf")
     norms = weighed.groupBy("file_id", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = (weighed.join(F.broadcast(matrix.drop("idf")), "word").groupBy("file_id", "unit", "template", "license")
+    dots = (counts.join(F.broadcast(matrix), "word").withColumn("w", F.col("tf") * F.col("idf")).groupBy("file_id", "unit", "template", "license")
             .agg(F.sum(F.col("w") * F.col("share")).alias("dot")))
     scored = dots.join(norms, ["file_id", "unit"]).select("file_id", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("score"))
     best = scored.where(F.col("score") >= threshold).groupBy("file_id", "license").agg(F.max("score").alias("score"))

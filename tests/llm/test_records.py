@@ -82,6 +82,20 @@ def test_licences(spark):
     assert own == pytest.approx({i: s for i, s in best.items() if s >= license_scan.THRESHOLD}, abs=1e-6)
 
 
+def test_licence_scores_use_the_frequencies_of_all_words(spark):
+    notice = "This project is released under the MIT License"
+    rows = [(i, f"/a/f{i}", f"this project is ordinary{i % 7}") for i in range(300)] + [(900, "/a/n", notice), (901, "/a/m", notice + " rareword"), (902, "/a/e", "")]
+    files = spark.createDataFrame(rows, "file_id long, path string, text string")
+    tokens = lambda t: [w for w in re.split("[^a-z0-9]+", t.lower()) if w]
+    df = Counter(w for _, _, t in rows for w in set(tokens(t)))
+    vector = lambda t: {w: c * (math.log((1 + len(rows)) / (1 + df[w])) + 1) for w, c in Counter(tokens(t)).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    cosine = lambda a, b: sum(a[w] * b.get(w, 0) for w in a) / norm(a) / norm(b)
+    want = {i: max(cosine(vector(t), vector(x)) for _, x in license_scan.TEMPLATES) for i, _, t in rows if i >= 900 and t}
+    got = {r.file_id: (r.license, r.score) for r in license_scan.own_licences(files).collect()}
+    assert want[900] > 0.9 and got == {i: ("MIT", pytest.approx(s, abs=1e-8)) for i, s in want.items()}
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(3)
     rows = [(i, rng.standard_normal(16).tolist()) for i in range(700)]
