@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rainweave.llm import (chat_format, decontaminate, language_id, license_scan, line_dedup, neighbours, ngram_join, sentencepiece_codec,
-                           substring_dedup, warc)
+                           spelling, substring_dedup, warc)
 from rainweave.session import checkpoint_dir
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -132,3 +132,28 @@ def op9_sentencepiece(spark, sf):
 def op10_nearest_neighbours(spark, sf):
     vectors = read(spark, sf, "embeddings")
     return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@query("op13_spelling_variants", r"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce([CAST(i AS UBIGINT), 0, 0, 0, 0, 0, 0, 0, 0],
+                              lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps),
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]{7,}')) AS run
+         FROM documents),
+own AS (SELECT doc_id, run, count(*) AS n, hex(encode(CAST(doc_id AS VARCHAR) || ':' || run)) AS digits FROM runs GROUP BY doc_id, run),
+hashed AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS UBIGINT),
+                  list_transform(range(len(digits) // 2), lambda k: CAST('0x' || digits[2 * k + 1:2 * k + 2] AS UBIGINT))),
+                  lambda c, b: xor(c >> 8, steps[CAST(xor(c, b) & 255 AS BIGINT) + 1]))) AS h FROM own, crc),
+w AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+        SELECT n, CASE WHEN h % 31 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word FROM hashed)
+      WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+cut AS (SELECT word, n, pos, left(word, pos - 1) AS head, substr(word, pos + 1) AS tail FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS pos FROM w)),
+pairs AS (SELECT x.word AS a, y.word AS b FROM cut x JOIN cut y ON x.pos = y.pos AND x.head = y.head AND x.tail = y.tail AND x.word <> y.word
+          UNION SELECT cut.word, w.word FROM cut JOIN w ON w.word = head || tail UNION SELECT w.word, cut.word FROM cut JOIN w ON w.word = head || tail),
+best AS (SELECT a AS word, count(*) AS n_near, arg_min(b, {'less': -w.n, 'word': encode(b)}) AS top, max(w.n) AS top_n FROM pairs JOIN w ON w.word = b GROUP BY a),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top_n >= 10 * w.n THEN top END AS form, CASE WHEN top_n >= 10 * w.n THEN top_n END AS form_n
+          FROM w LEFT JOIN best ON best.word = w.word),
+walk AS (SELECT word, word AS root FROM forms UNION ALL SELECT walk.word, forms.form FROM walk JOIN forms ON forms.word = walk.root WHERE forms.form IS NOT NULL)
+SELECT forms.word, form, walk.root, n, n_near, form_n FROM forms JOIN walk ON walk.word = forms.word
+WHERE walk.root NOT IN (SELECT word FROM forms WHERE form IS NOT NULL)""")
+def op13_spelling_variants(spark, sf):
+    return spelling.spelling_variants(spelling.word_counts(read(spark, sf, "documents"), damage_every=31))
