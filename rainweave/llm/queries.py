@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rainweave.llm import (chat_format, decontaminate, language_id, license_scan, line_dedup, neighbours, ngram_join, sentencepiece_codec,
+from rainweave.llm import (chat_format, decontaminate, language_id, lexical_search, license_scan, line_dedup, neighbours, ngram_join, sentencepiece_codec,
                            spelling, substring_dedup, warc)
 from rainweave.session import checkpoint_dir
 
@@ -134,6 +134,25 @@ def op10_nearest_neighbours(spark, sf):
     return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+@query("op12_lexical_search", r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+size AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+whole AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS length FROM size),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM b) GROUP BY doc_id, term),
+weight AS (SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+           FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), whole),
+impact AS (SELECT tf.doc_id, tf.term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // length)))) AS value
+           FROM tf JOIN size ON size.doc_id = tf.doc_id JOIN weight ON weight.term = tf.term, whole),
+scored AS (SELECT item_id, doc_id, CAST(sum(value) AS BIGINT) AS score FROM b JOIN impact ON impact.term = b.term GROUP BY item_id, doc_id HAVING sum(value) > 0)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50""")
+def op12_lexical_search(spark, sf):
+    return lexical_search.rank_documents(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
+
+
 @query("op13_spelling_variants", r"""
 WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce([CAST(i AS UBIGINT), 0, 0, 0, 0, 0, 0, 0, 0],
                               lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps),

@@ -65,6 +65,9 @@ def slices(batches, column: str = "text", most: int = 4 * PIECE):
 class Words:
     """Word positions and hashes of a text column."""
 
+    #: which bytes part words
+    breaks = staticmethod(separators)
+
     def __init__(self, column: pa.Array, lower: bool = False, seeds: tuple[int, ...] = (1,)):
         self.raw, self.bounds = text_bytes(column)
         self.n_texts = len(column)
@@ -79,7 +82,7 @@ class Words:
             if len(s):
                 length = (e - s).astype(np.int32)
                 piece = self.raw[at:stop]
-                values = piece[~separators(piece)]
+                values = piece[~self.breaks(piece)]
                 before = np.cumsum(length, dtype=np.int32) - length
                 place = np.arange(len(values), dtype=np.int32) - np.repeat(before, length)
                 for k, (seed, table) in enumerate(zip(seeds, tables)):
@@ -103,14 +106,14 @@ class Words:
         k = np.searchsorted(self.bounds, stop, "left")
         limit = int(self.bounds[k])
         while stop < limit:
-            piece = separators(self.raw[stop:min(stop + 65536, limit)])
+            piece = self.breaks(self.raw[stop:min(stop + 65536, limit)])
             if piece.any():
                 return stop + int(piece.argmax())
             stop += len(piece)
         return limit
 
     def _spans(self, at: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
-        inside = ~separators(self.raw[at:stop])
+        inside = ~self.breaks(self.raw[at:stop])
         begins = inside.copy()
         begins[1:] &= ~inside[:-1]
         # a text's first byte begins a word even if the text before it ended with one
@@ -139,3 +142,12 @@ class Words:
         power = _powers(2000 + seed, int(self.counts.max(initial=1)))
         sums = np.add.reduceat(self.hashes[seed] * power[place], self.first[texts]) if len(texts) else np.zeros(0, np.uint64)
         return mix(sums + self.counts[texts].astype(np.uint64) * np.uint64(31)), texts
+
+
+_PUNCTUATION = np.array([c < 0x80 and not chr(c).isalnum() for c in range(256)])
+
+
+class Terms(Words):
+    """The same for maximal runs of ASCII letters, digits and all code points above 0x7F."""
+
+    breaks = staticmethod(lambda raw: _PUNCTUATION[raw])
