@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rainweave.llm import (chat_format, decontaminate, language_id, lexical_search, license_scan, line_dedup, neighbours, ngram_join, sentencepiece_codec,
-                           spelling, substring_dedup, warc)
+                           spelling, substring_dedup, toxicity, warc)
 from rainweave.session import checkpoint_dir
 
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -134,6 +134,15 @@ def op10_nearest_neighbours(spark, sf):
     return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"))
 
 
+@query("op11_toxicity")
+def op11_toxicity(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", "text", held_out().alias("held_out"))
+    labels = read(spark, sf, "labels").where("toxic is not null").select("doc_id", "toxic")
+    model = toxicity.fit(docs.where("not held_out").join(labels, "doc_id"))
+    rows = toxicity.predict(docs, model, keep=("doc_id", "held_out")).select("kept.*", "score")
+    return rows.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 @query("op12_lexical_search", r"""
 WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                   '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
