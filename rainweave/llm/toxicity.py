@@ -30,7 +30,7 @@ ROUNDS = 10
 BATCH = 32
 ALPHA, BETA, L1, L2 = 8.0, 1.0, 6.0, 0.001
 GAPS = (1, 2)       # distances of the words of a pair: next to each other, and with one word between
-BLOCK = 14
+BLOCK = 16
 
 
 @dataclass(frozen=True)
@@ -122,10 +122,10 @@ def _shards(batches) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]
 
 def one_round(rows: DataFrame, z: np.ndarray, n: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """The mean of the states that the shards reach from (z, n)."""
-    shared = rows.sparkSession.sparkContext.broadcast((z, n))
     size, block = 1 << width, min(BLOCK, width)
     pack = lambda a: zstandard.ZstdCompressor(level=1).compress(a.astype(np.float32).tobytes())
     unpack = lambda b: np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.float32).astype(np.float64)
+    shared = rows.sparkSession.sparkContext.broadcast((pack(z), pack(n)))
 
     def blocks(shard, z, n):
         for b in range(0, len(z), 1 << block):
@@ -138,7 +138,7 @@ def one_round(rows: DataFrame, z: np.ndarray, n: np.ndarray, width: int) -> tupl
             if shard != last:
                 if state:
                     yield from blocks(last, *state)
-                last, state = shard, [a.copy() for a in shared.value]
+                last, state = shard, [unpack(a) for a in shared.value]
             learn(*state, y, (features >> np.uint32(32 - width)).astype(np.int64), bounds)
         if state:
             yield from blocks(last, *state)
@@ -165,6 +165,7 @@ def one_round(rows: DataFrame, z: np.ndarray, n: np.ndarray, width: int) -> tupl
     z, n = np.zeros(size + 1), np.zeros(size + 1)
     for b, _, z_b, n_b in merged.collect():  # 2**width buckets
         z[b << block:(b + 1) << block], n[b << block:(b + 1) << block] = unpack(z_b), unpack(n_b)
+    shared.destroy()
     return z, n
 
 
