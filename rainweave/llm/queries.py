@@ -55,7 +55,7 @@ s AS (SELECT doc_id, unnest(range(1, len(words) - 11)) AS pos, words FROM w WHER
 k AS (SELECT doc_id, pos, md5(array_to_string(words[pos:pos + 12], ' ')) AS h FROM s),
 low AS (SELECT h, min(doc_id) AS low FROM k GROUP BY h),
 gone AS (SELECT DISTINCT doc_id, pos + j AS pos FROM k JOIN low USING (h), range(13) AS r(j) WHERE doc_id > low),
-kept AS (SELECT w.doc_id, i AS pos, w.words[i] AS word FROM w, range(1, 30000) AS q(i) WHERE i <= len(w.words)),
+kept AS (SELECT doc_id, pos, words[pos] AS word FROM (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS pos FROM w)),
 left_over AS (SELECT kept.doc_id, string_agg(word, ' ' ORDER BY kept.pos) AS text, count(*) AS n FROM kept
               LEFT JOIN gone ON gone.doc_id = kept.doc_id AND gone.pos = kept.pos WHERE gone.pos IS NULL GROUP BY kept.doc_id)
 SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, CAST(len(w.words) - coalesce(n, 0) AS BIGINT) AS n_removed,
@@ -137,8 +137,7 @@ def op10_nearest_neighbours(spark, sf):
 @query("op11_toxicity")
 def op11_toxicity(spark, sf):
     docs = read(spark, sf, "documents").select("doc_id", "text", held_out().alias("held_out"))
-    labels = read(spark, sf, "labels").where("toxic is not null").select("doc_id", "toxic")
-    model = toxicity.fit(docs.where("not held_out").join(labels, "doc_id"))
+    model = toxicity.fit(docs, read(spark, sf, "labels").where(~held_out()))
     rows = toxicity.predict(docs, model, keep=("doc_id", "held_out")).select("kept.*", "score")
     return rows.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 

@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rainweave.llm.shingles import Terms, mix, slices
-from rainweave.session import checkpoint_dir
+from rainweave.session import checkpoint_dir, cut_lineage
 
-MOST_EXAMPLES = 200_000
+MOST_EXAMPLES = 40_000
 SHARD_ROWS = 20_000
 WIDTH = 20          # 2**WIDTH buckets
 ROUNDS = 10
@@ -87,14 +87,17 @@ def learn(z: np.ndarray, n: np.ndarray, labels: np.ndarray, buckets: np.ndarray,
         n[touched] = after
 
 
-def examples(rows: DataFrame, key: str, text: str, label: str, most: int, shard_rows: int) -> DataFrame:
-    """shard, place, y, features of a bounded hash sample of the rows with a label, written once."""
-    rows = rows.where(F.col(label).isNotNull()).select(F.xxhash64(F.col(key).cast("string")).alias("place"), F.col(text).alias("text"),
-                                                       (F.col(label) > 0).cast("int").alias("y"))
+def examples(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, most: int, shard_rows: int) -> DataFrame:
+    """shard, place, y, features of the documents of a bounded hash sample of the labels, written once."""
+    rows = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(
+        F.col(key).alias("key"), F.xxhash64(F.col(key).cast("string")).alias("place"), (F.col(label) > 0).cast("int").alias("y"))
     count = rows.count()
     share = min(1.0, most / max(count, 1))
     shards = max(1, -(-min(count, most) // shard_rows))
-    taken = rows.where(F.col("place") < int(-(1 << 63) + share * ((1 << 64) - 1))) if share < 1 else rows
+    taken = cut_lineage(rows.where(F.col("place") < int(-(1 << 63) + share * ((1 << 64) - 1))) if share < 1 else rows)
+    if taken.count() <= 2 * most:  # narrow rows, so few that no text has to be dealt for the join; one label's very many copies would not be
+        taken = F.broadcast(taken)
+    taken = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(taken, "key").select("place", "text", "y")
 
     def read(batches):
         for batch in slices(batches):
@@ -103,10 +106,10 @@ def examples(rows: DataFrame, key: str, text: str, label: str, most: int, shard_
                                   ["place", "y", "features"])
 
     dealt = taken.mapInArrow(read, "place long, y int, features array<int>").withColumn("shard", F.pmod("place", F.lit(shards)).cast("int"))
-    path = f"{checkpoint_dir(rows.sparkSession)}/examples-{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(docs.sparkSession)}/examples-{uuid.uuid4().hex}"
     # one row group a file, so that a shard is always read by one task and no round has to deal the rows again
     dealt.repartitionById(shards, "shard").sortWithinPartitions("shard", "place", "y", "features").write.option("parquet.block.size", str(1 << 30)).parquet(path)
-    return rows.sparkSession.read.parquet(path)
+    return docs.sparkSession.read.parquet(path)
 
 
 def _shards(batches) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -169,14 +172,14 @@ def one_round(rows: DataFrame, z: np.ndarray, n: np.ndarray, width: int) -> tupl
     return z, n
 
 
-def fit(rows: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MOST_EXAMPLES, shard_rows: int = SHARD_ROWS, width: int = WIDTH,
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MOST_EXAMPLES, shard_rows: int = SHARD_ROWS, width: int = WIDTH,
         rounds: int = ROUNDS) -> Model:
-    """Learns from at most about `most` rows with a label (over 0: toxic), chosen by a hash of key; all of their text counts.
+    """Learns from the documents of at most about `most` labels (over 0: toxic), chosen by a hash of key; all of their text counts.
 
-    A null text is an empty one. Rows that repeat a key are examples of their own. Without labelled rows the model has no
-    features and scores 0.5.
+    A null text is an empty one; a null label or key is none. Rows that repeat a key are examples of their own. Without
+    labelled documents the model has no features and scores 0.5.
     """
-    dealt = examples(rows, key, text, label, most, shard_rows)
+    dealt = examples(docs, labels, key, text, label, most, shard_rows)
     z, n = np.zeros((1 << width) + 1), np.zeros((1 << width) + 1)
     for _ in range(rounds):
         z, n = one_round(dealt, z, n, width)

@@ -75,24 +75,25 @@ def labelled(spark, n=600):
 
 def test_any_order_and_dealing_gives_one_model(spark):
     rows = labelled(spark)
-    models = [toxicity.fit(df, shard_rows=200, width=16, rounds=6) for df in (rows, rows.repartition(7).orderBy("text"))]
+    models = [toxicity.fit(df.drop("toxic"), df.drop("text"), shard_rows=200, width=16, rounds=6) for df in (rows, rows.repartition(7).orderBy("text"))]
     assert models[0].bias == models[1].bias and (models[0].features == models[1].features).all() and (models[0].weights == models[1].weights).all()
     own = toxicity.distinct_features(pa.array(["horrid"]))[0]
     assert models[0].features[models[0].weights.argmax()] == own[0]
-    few = toxicity.fit(rows, most=100, width=12, rounds=1)
+    few = toxicity.fit(rows, rows, most=100, width=12, rounds=1)
     assert len(few.features) <= 1 << 12
 
 
 def test_edges(spark, documents):
-    model = toxicity.fit(labelled(spark), shard_rows=1000, width=16)
+    model = toxicity.fit(labelled(spark), labelled(spark), shard_rows=1000, width=16)
     long = "w1 w2 w3 " * 60_000
     docs = documents(EDGE + [(20, long), (21, long + "horrid"), (22, "horrid")], extra=True).withColumnRenamed("h1", "score").withColumnRenamed("low", "kept")
     got = {r.kept.doc_id: r.score for r in toxicity.predict(docs, model, keep=("doc_id", "score")).collect()}
     assert len(got) == len(EDGE) + 3 and got[1] == got[2] == got[3] < 0.5
     assert got[22] >= 0.7 and got[21] > got[20]
-    empty = toxicity.fit(labelled(spark).where("doc_id < 0"), width=12, rounds=2)
+    empty = toxicity.fit(labelled(spark), labelled(spark).where("doc_id < 0"), width=12, rounds=2)
     assert not len(empty.features)
     assert {r.score for r in toxicity.predict(docs, empty).collect()} == {0.5}
-    unlabelled = toxicity.fit(labelled(spark).selectExpr("doc_id", "text", "cast(null as int) AS toxic"), width=12, rounds=1)
+    assert not len(toxicity.fit(labelled(spark).where("doc_id < 0"), labelled(spark), width=12, rounds=1).features)
+    unlabelled = toxicity.fit(labelled(spark), labelled(spark).selectExpr("doc_id", "text", "cast(null as int) AS toxic"), width=12, rounds=1)
     assert not len(unlabelled.features)
     assert toxicity.predict(docs.where("doc_id < 0"), model).count() == 0
