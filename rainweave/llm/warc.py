@@ -1,9 +1,9 @@
 """WARC archives: write pages as records, read the archives back, put segmented records together again.
 
 A record longer than one segment is written as a first record and continuation records, which name the first record's
-id, their segment number and, in the last, the total length. Archives are plain record files, gzip compressed, written by
-Spark's text writer with the record end as line separator, so a lost executor costs a task attempt and nothing else.
-Segments and chunks are cut between UTF-8 characters, so an archive is valid text.
+id, their segment number and, in the last, the total length. Archives are plain record files, each one gzip member, written
+by Spark's text writer with the record end as line separator, so a lost executor costs a task attempt and nothing else.
+The writer passes bytes on as they are, so payloads need not be text. Files with a member per record are read as well.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rainweave.llm.packing import bound_batches
+from rainweave.llm.shingles import slices
 from rainweave.session import cut_lineage
 
 RECORD_END = "\r\n\r\n"
@@ -28,7 +28,8 @@ RECORDS_PER_FILE = 1024
 REVISIT_BYTES = 1000
 
 RECORD = ("record_id string, record_type string, page_id long, url string, origin_id string, segment int, total_length long, "
-          "refers_to long, payload_digest string, block binary")
+          "refers_to long, payload_digest string, block binary, problem string")
+PAGE_TYPES = ("response", "revisit", "continuation")
 
 
 def classify(pages: DataFrame, page_id: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
@@ -38,7 +39,6 @@ def classify(pages: DataFrame, page_id: str = "page_id", url: str = "url", body:
     digests are joined back, from a written table, so the optimizer can split a digest that very many pages share. A null body is an empty payload; a row without
     page_id is always kept in full; rows that repeat the largest page_id are all kept in full.
     """
-    bound_batches(pages.sparkSession)
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"),
                         F.coalesce(F.col(body).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
@@ -109,52 +109,104 @@ def write_archives(classified: DataFrame, path: str, segment_bytes: int = SEGMEN
     """Writes the rows of classify() as archives. No file holds more than records_per_file * (segment_bytes + header)."""
 
     def build(batches):
-        for batch in batches:
+        for batch in slices(batches, "payload"):
             out, held = [], 0
             for row in zip(*(batch.column(n).to_pylist() for n in ("page_id", "url", "payload", "digest", "refers_to"))):
                 for record in _records(*row, segment_bytes):
                     out.append(record)
                     held += len(record)
                 if held > 8 << 20:
-                    yield pa.record_batch([pa.array(out, pa.binary()).cast(pa.string())], ["value"])
+                    yield pa.record_batch([pa.array(out, pa.binary())], ["value"])
                     out, held = [], 0
-            yield pa.record_batch([pa.array(out, pa.binary()).cast(pa.string())], ["value"])
+            yield pa.record_batch([pa.array(out, pa.binary())], ["value"])
 
-    (classified.mapInArrow(build, "value string").write.mode("overwrite").option("lineSep", RECORD_END)
+    (classified.mapInArrow(build, "value binary").select(F.col("value").cast("string").alias("value")).write.mode("overwrite").option("lineSep", RECORD_END)
      .option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path))
 
 
-def parse_archive(data: bytes) -> Iterator[dict]:
-    """The records of one archive, compressed or not."""
-    if data[:2] == b"\x1f\x8b":
-        parts = []
-        while data:
-            member = zlib.decompressobj(31)
+def inflate(data: bytes) -> tuple[bytes, str | None]:
+    """The bytes of all gzip members (or the data itself, if not compressed), and what is wrong where they end too early."""
+    if data[:2] != b"\x1f\x8b":
+        return data, None
+    parts = []
+    while data:
+        member = zlib.decompressobj(31)
+        try:
             parts.append(member.decompress(data))
-            data = member.unused_data
-        data = b"".join(parts)
+        except zlib.error as error:
+            return b"".join(parts), f"broken compression: {error}"
+        if not member.eof:
+            return b"".join(parts), "archive cut short"
+        data = member.unused_data
+    return b"".join(parts), None
+
+
+def _fields(header: bytes) -> dict[str, str]:
+    first, *lines = header.decode("utf-8", "replace").split("\r\n")
+    if not first.startswith("WARC/"):
+        raise ValueError("no record begins here")
+    out, name = {}, None
+    for line in lines:
+        if line[:1] in (" ", "\t") and name:  # a folded line
+            out[name] += " " + line.strip()
+            continue
+        name, colon, value = line.partition(":")
+        if not colon:
+            raise ValueError("a header line without a name")
+        name = name.strip().lower()
+        out[name] = value.strip()
+    return out
+
+
+def _record(data: bytes, at: int) -> tuple[dict, int]:
+    """The record that begins at a place, and where the next one does."""
+    end = data.find(b"\r\n\r\n", at)
+    if end < 0:
+        raise ValueError("a header without an end")
+    fields = _fields(data[at:end])
+    missing = [k for k in ("warc-type", "warc-record-id", "content-length") if not fields.get(k)]
+    if missing:
+        raise ValueError(f"a header without {missing[0]}")
+    whole = lambda key: int(fields[key]) if fields.get(key) else None
+    size = whole("content-length")
+    block = data[end + 4:end + 4 + size]
+    if size < 0 or len(block) != size or data[end + 4 + size:end + 8 + size] != b"\r\n\r\n":
+        raise ValueError("a record is shorter than its header says")
+    return {"record_id": fields["warc-record-id"], "record_type": fields["warc-type"].lower(), "page_id": whole("warc-page-id"),
+            "url": fields.get("warc-target-uri"), "origin_id": fields.get("warc-segment-origin-id"),
+            "segment": whole("warc-segment-number"), "total_length": whole("warc-segment-total-length"),
+            "refers_to": whole("warc-refers-to-page-id"),
+            "payload_digest": fields.get("warc-payload-digest", "").removeprefix("sha1:") or None, "block": block}, end + 8 + size
+
+
+def parse_archive(data: bytes) -> Iterator[dict]:
+    """The records of one archive, compressed or not; whatever cannot be read is a record with nothing but a problem.
+
+    After a broken record, reading goes on at the next line that begins one. Names of header fields are not case sensitive.
+    """
+    data, wrong = inflate(data)
     at = 0
     while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        fields = dict(line.split(": ", 1) for line in data[at:end].decode().split("\r\n")[1:])
-        size = int(fields["Content-Length"])
-        block = data[end + 4:end + 4 + size]
-        if len(block) != size or data[end + 4 + size:end + 8 + size] != b"\r\n\r\n":
-            raise ValueError("a record is shorter than its header says")
-        at = end + 8 + size
-        whole = lambda key: int(fields[key]) if fields.get(key) else None
-        yield {"record_id": fields["WARC-Record-ID"], "record_type": fields["WARC-Type"], "page_id": whole("WARC-Page-ID"),
-               "url": fields.get("WARC-Target-URI"), "origin_id": fields.get("WARC-Segment-Origin-ID"),
-               "segment": whole("WARC-Segment-Number"), "total_length": whole("WARC-Segment-Total-Length"),
-               "refers_to": whole("WARC-Refers-To-Page-ID"),
-               "payload_digest": fields.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None, "block": block}
+        try:
+            record, at = _record(data, at)
+        except ValueError as error:
+            after = data.find(b"\r\n\r\nWARC/", at)
+            if after >= 0 or not wrong:
+                yield {"block": b"", "problem": f"broken record: {error}"}
+            if after < 0:
+                break
+            at = after + 4
+            continue
+        yield record
+    if wrong:
+        yield {"block": b"", "problem": wrong}
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """All records of the archives in a folder, continuations still apart (columns of RECORD)."""
     schema = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("page_id", pa.int64()), ("url", pa.string()),
                         ("origin_id", pa.string()), ("segment", pa.int32()), ("total_length", pa.int64()), ("refers_to", pa.int64()),
-                        ("payload_digest", pa.string()), ("block", pa.binary())])
+                        ("payload_digest", pa.string()), ("block", pa.binary()), ("problem", pa.string())])
 
     def parse(batches):
         for batch in batches:
@@ -172,14 +224,16 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reassemble(records: DataFrame) -> DataFrame:
-    """One row per response or revisit: page_id, url, record_type, refers_to, payload_digest (as written), payload, problem.
+    """One row per response or revisit, and one per unreadable part of an archive: page_id, url, record_type, refers_to, payload_digest (as written), payload, problem.
 
     Continuations are grouped by their origin, ordered by segment number and checked against the total length; a record
     in one piece is not shuffled. A group holds one record, so its size is that record's. problem names a missing or
     repeated segment, a wrong length, broken framing or a digest that does not match, and is null for a sound record;
-    payload is null for a revisit and where there is a problem.
+    payload is null for a revisit and where there is a problem. Other types of record are left out.
     """
     names = ("page_id", "url", "record_type", "refers_to", "payload_digest")
+    unread = records.where(F.col("problem").isNotNull()).select(*names, F.lit(None).cast("binary").alias("payload"), "problem")
+    records = records.where(F.col("problem").isNull() & F.col("record_type").isin(*PAGE_TYPES))
     single = records.where(F.col("segment").isNull())
     pieces = records.where(F.col("segment").isNotNull()).select(
         F.coalesce("origin_id", "record_id").alias("origin"), *names, "segment", "total_length", "block")
@@ -215,8 +269,9 @@ def reassemble(records: DataFrame) -> DataFrame:
             yield pa.record_batch([*(batch.column(n) for n in names), pa.array(payloads, pa.binary()), pa.array(problems, pa.string())],
                                   [*names, "payload", "problem"])
 
-    return rows.mapInArrow(decode, "page_id long, url string, record_type string, refers_to long, payload_digest string, "
-                                   "payload binary, problem string")
+    sound = rows.mapInArrow(decode, "page_id long, url string, record_type string, refers_to long, payload_digest string, "
+                                    "payload binary, problem string")
+    return sound.unionByName(unread)
 
 
 def resolve_revisits(rows: DataFrame) -> DataFrame:
