@@ -61,13 +61,14 @@ def with_substitute_reply(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Chosen is the conversation as it is. Rejected has, from its last trained turn on, that turn alone with the text of the
     last trained turn of the conversation numbered next to it (2k and 2k + 1 lend each other theirs; empty without one).
-    A conversation without a trained turn is the same on both sides.
+    A conversation without a trained turn is the same on both sides. Turns without a number stand first, stay on both
+    sides and are not taken for a last turn.
     """
     turns = turns.where(F.col("conv_id").isNotNull()).select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
-    last = (turns.where(F.col("role") == TRAINED_ROLE).groupBy("pair_id")
+    last = (turns.where((F.col("role") == TRAINED_ROLE) & F.col("turn").isNotNull()).groupBy("pair_id")
             .agg(F.max(F.struct(F.col("turn"), F.coalesce("text", F.lit("")).alias("text"))).alias("last")))
     lent = last.select(F.col("pair_id").bitwiseXOR(F.lit(1).cast("long")).alias("pair_id"), F.col("last.text").alias("lent"))
     ends = last.select("pair_id", F.col("last.turn").alias("end")).join(lent, "pair_id", "left")
     swapped = ends.select("pair_id", F.col("end").alias("turn"), F.lit(TRAINED_ROLE).alias("role"), F.coalesce("lent", F.lit("")).alias("text"))
-    kept = turns.join(ends.select("pair_id", "end"), "pair_id", "left").where(F.col("end").isNull() | (F.col("turn") < F.col("end"))).drop("end")
+    kept = turns.join(ends.select("pair_id", "end"), "pair_id", "left").where(F.col("end").isNull() | F.col("turn").isNull() | (F.col("turn") < F.col("end"))).drop("end")
     return turns, kept.unionByName(swapped)
