@@ -3,7 +3,7 @@
 Built-in functions only. Units are the lines of every file and the whole text of files named like licence files. A unit
 whose cosine to a template reaches the threshold holds one of the template's anchors: words are left out of the anchors
 only while their share of the template's squared norm stays under the squared threshold. So only lines with an anchor are
-scored, and none is lost. Template words (at most MAX_VOCABULARY) and their document frequencies are the only data
+scored, and none is lost. The file counts of the given templates' own words are the only data
 gathered; the frequencies of all words, over all files, are a written table that the words of the scored units join.
 """
 
@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from rainweave.session import cut_lineage
 
 THRESHOLD = 0.6
-MAX_VOCABULARY = 5000
 LICENCE_NAME = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
 
 # fixed values: short public notices
@@ -64,8 +63,6 @@ def own_licences(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     files = files.where(F.col("file_id").isNotNull() & F.col("text").isNotNull())
     counted = [(name, Counter(w for w in _split(text))) for name, text in templates]
     vocabulary = sorted({w for _, c in counted for w in c})
-    if len(vocabulary) > MAX_VOCABULARY:
-        raise ValueError(f"more than {MAX_VOCABULARY} template words")
     frequencies = _frequencies(files)
     seen = {r["word"]: r["files"] for r in frequencies.where(F.col("word").isin("", *vocabulary)).collect()}  # at most one row a word of the vocabulary
     n = seen.pop("", 0)
@@ -86,12 +83,12 @@ def own_licences(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     units = lines.unionByName(whole).where(F.lower("body").rlike(pattern))
     # written, so that the join with the frequencies meets two plain exchanges and a common word can be split between tasks
     counts = cut_lineage(units.select("file_id", "unit", F.explode(words(F.col("body"))).alias("word")).groupBy("file_id", "unit", "word").agg(F.count("*").alias("tf")))
-    known = counts.join(F.broadcast(scale), "word")
-    others = counts.join(F.broadcast(scale), "word", "left_anti").join(
+    known = counts.join(scale, "word")
+    others = counts.join(scale, "word", "left_anti").join(
         frequencies.select("word", (F.log((1 + n) / (1 + F.col("files"))) + 1).alias("idf")), "word")
     weighed = known.unionByName(others).withColumn("w", F.col("tf") * F.col("idf")).drop("idf")
     norms = weighed.groupBy("file_id", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = (counts.join(F.broadcast(matrix), "word").withColumn("w", F.col("tf") * F.col("idf")).groupBy("file_id", "unit", "template", "license")
+    dots = (counts.join(matrix, "word").withColumn("w", F.col("tf") * F.col("idf")).groupBy("file_id", "unit", "template", "license")
             .agg(F.sum(F.col("w") * F.col("share")).alias("dot")))
     scored = dots.join(norms, ["file_id", "unit"]).select("file_id", "license", F.round(F.col("dot") / F.col("norm"), 9).alias("score"))
     best = scored.where(F.col("score") >= threshold).groupBy("file_id", "license").agg(F.max("score").alias("score"))
