@@ -23,7 +23,6 @@ BLOCK = 8192
 QUERY_BLOCK = 512
 FIRST_WIDTH = 0.3
 GROWTH = 1.04
-START_BACK = 1
 K = 20
 
 
@@ -55,24 +54,34 @@ class Lines:
         np.put_along_axis(self.place, order, np.arange(self.n, dtype=self.place.dtype)[None, :], axis=1)
 
     def candidates(self, queries: np.ndarray, least: int, threshold: int):
-        """For each query, the positions that collide on at least `threshold` lines once `least` of them do."""
+        """For each query, the positions that collide on at least `threshold` lines at the first level where `least` of them do.
+
+        Windows only grow with the level, so that level is the same wherever the search for it begins: it begins at the
+        level of the query before and goes down or up.
+        """
         centre = (queries / np.linalg.norm(queries, axis=1, keepdims=True)) @ self.axes[:, :-1].T
-        found, level = [], 0
+        out, level, enough = [], 0, min(least, self.n)
         for c in centre:
-            level = max(0, level - START_BACK)  # widening begins a few levels under the one that served the last query
-            while True:
-                half = FIRST_WIDTH * GROWTH ** level
-                low = np.array([s.searchsorted(v) for s, v in zip(self.sorted, c - half)])
-                high = np.array([s.searchsorted(v, "right") for s, v in zip(self.sorted, c + half)])
-                kind = self.place.dtype
-                inside = (self.place - low.astype(kind)[:, None]) < (high - low).astype(kind)[:, None]  # unsigned: places under low wrap round
-                counts = np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8 if len(low) < 256 else np.uint32)
-                here = np.flatnonzero(counts >= threshold)
-                if len(here) >= min(least, self.n):
-                    found.append(here)
+            here = self._colliding(c, level, threshold)
+            while len(here) >= enough and level:
+                below = self._colliding(c, level - 1, threshold)
+                if len(below) < enough:
                     break
+                here, level = below, level - 1
+            while len(here) < enough:
                 level += 1
-        return found
+                here = self._colliding(c, level, threshold)
+            out.append(here)
+        return out
+
+    def _colliding(self, centre: np.ndarray, level: int, threshold: int) -> np.ndarray:
+        half = FIRST_WIDTH * GROWTH ** level
+        low = np.array([s.searchsorted(v) for s, v in zip(self.sorted, centre - half)])
+        high = np.array([s.searchsorted(v, "right") for s, v in zip(self.sorted, centre + half)])
+        kind = self.place.dtype
+        inside = (self.place - low.astype(kind)[:, None]) < (high - low).astype(kind)[:, None]  # unsigned: places under low wrap round
+        counts = np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8 if len(low) < 256 else np.uint32)
+        return np.flatnonzero(counts >= threshold)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", k: int = K, lines: int = LINES,
