@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rainweave.llm import graph, sketch
-from rainweave.llm.shared_copies import Originals, split_copies, text_digest
+from rainweave.llm.shared_copies import Originals, row_key, split_copies, text_digest
 from rainweave.llm.shingles import Words, mix, slices
 from rainweave.session import cut_lineage
 
@@ -47,7 +47,7 @@ def ngram_sets(column: pa.Array, n: int = N) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _index(work: Originals, n: int, percent: int, width: int, level_width: int) -> DataFrame:
-    """doc_id, n, and for documents that can have a partner: first (columns of the first block) and rest (the others)."""
+    """doc_id, key, n, and for documents that can have a partner: first (columns of the first block) and rest (the others)."""
     repeated = sketch.build(work, lambda b: ngram_sets(b.column("text"), n)[1], width)
 
     def common(batch):
@@ -80,10 +80,10 @@ def _index(work: Originals, n: int, percent: int, width: int, level_width: int)
                 first.append(h[begin[k]:cut])
                 rest.append(h[cut:begin[k + 1]])
             kind = pa.list_(pa.int64())
-            yield pa.record_batch([batch.column("doc_id"), pa.array(size.astype(np.int64)), pa.array(first, kind), pa.array(rest, kind)],
-                                  ["doc_id", "n", "first", "rest"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("key"), pa.array(size.astype(np.int64)), pa.array(first, kind), pa.array(rest, kind)],
+                                  ["doc_id", "key", "n", "first", "rest"])
 
-    return cut_lineage(work.mapInArrow(rows, "doc_id long, n long, first array<long>, rest array<long>"))
+    return cut_lineage(work.mapInArrow(rows, "doc_id long, key long, n long, first array<long>, rest array<long>"))
 
 
 def _links(pairs: DataFrame, index: DataFrame, percent: int) -> DataFrame:
@@ -112,19 +112,23 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     one doc_id count as linked to each other.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    wordy = F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    wordy = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     work, later = split_copies(rows.where(wordy))
     index = _index(work, n, percent, width, level_width)
-    found = graph.components(_all_links(index.where("first is not null"), percent))
-
-    wordless = rows.where(F.col("doc_id").isNotNull() & ~wordy).select("doc_id", F.lit(0).cast("long").alias("n"))  # copies, too, link with nothing
-    own = index.select("doc_id", "n").unionByName(wordless).join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
-    copies = rows.where("doc_id is not null").select("doc_id", text_digest().alias("digest")).join(later.distinct(), ["doc_id", "digest"]).select("doc_id", "first")
+    wordless = rows.where(F.col("doc_id").isNotNull() & ~wordy).select("doc_id", F.lit(None).cast("long").alias("key"), F.lit(0).cast("long").alias("n"))  # copies, too, link with nothing
+    # a copy has its first's component; where its doc_id stands in other rows as well, that is a link between the two
+    elsewhere = (index.select("doc_id").unionByName(wordless.select("doc_id"))
+                 .unionByName(later.groupBy("doc_id").agg(F.min("first").alias("low"), F.max("first").alias("high")).where("low < high").select("doc_id")))
+    twice = later.join(elsewhere, "doc_id", "left_semi").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    found = graph.components(_all_links(index.where("first is not null"), percent).unionByName(twice))
+
+    own = index.select("doc_id", "key", "n").unionByName(wordless).join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
+        "doc_id", "key", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    copies = rows.where("doc_id is not null").select("doc_id", text_digest().alias("digest")).join(later.distinct(), ["doc_id", "digest"]).select("doc_id", "first", row_key("first"))
     # written, so that a large group of copies can be split between tasks
-    firsts = cut_lineage(own.join(later.select(F.col("first").alias("doc_id")).distinct(), "doc_id", "left_semi").groupBy(F.col("doc_id").alias("first"))
+    firsts = cut_lineage(own.join(later.select(F.col("first").alias("doc_id"), row_key("first")).distinct(), ["doc_id", "key"], "left_semi").groupBy(F.col("doc_id").alias("first"), "key")
                          .agg(F.max("n_shingles").alias("n_shingles"), F.min("component_id").alias("component_id")))
-    empty = rows.where("doc_id is null or text is null").select("doc_id", "text")
+    nameless = rows.where("doc_id is null").select("doc_id", "text")
 
     def count(batches):
         for batch in slices(batches):
@@ -133,8 +137,8 @@ def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
                                   ["doc_id", "n_shingles", "component_id"])
 
     columns = ["doc_id", "n_shingles", "component_id"]
-    return (own.unionByName(copies.join(firsts, "first").select(*columns))
-            .unionByName(empty.mapInArrow(count, "doc_id long, n_shingles long, component_id long")))
+    return (own.select(*columns).unionByName(copies.join(firsts, ["first", "key"]).select(*columns))
+            .unionByName(nameless.mapInArrow(count, "doc_id long, n_shingles long, component_id long")))
 
 
 def _all_links(able: DataFrame, percent: int) -> DataFrame:
@@ -162,7 +166,7 @@ def _all_links(able: DataFrame, percent: int) -> DataFrame:
     columns = placed.groupBy("h", part.alias("part")).agg(F.collect_list(F.struct("doc_id", "n", "c")).alias("members"))
     inside = placed.groupBy(F.col("doc_id").alias("x")).agg(F.count_if(F.col("c") == F.col("main")).alias("elsewhere"))
     rows = (placed.where("c <> main").select("h", F.col("doc_id").alias("x"), F.col("n").alias("nx"), F.col("c").alias("cx"), "main")
-            .join(inside, "x").join(columns, "h").groupBy("x", "part"))
+            .join(inside, "x").join(columns, "h").groupBy("x", "nx", "part"))  # rows of one doc_id differ in size, or count together
     met = (rows.applyInArrow(lambda table: _product(table, percent), "a long, b long, total long, high long, met long")
            .groupBy("a", "b", "total", "high").agg(F.sum("met").alias("met")))
     return links.unionByName(cut_lineage(_links(_bounded(met, percent), able, percent)))
@@ -182,8 +186,10 @@ def _product(table: pa.Table, percent: int) -> pa.Table:
     x, nx, cx = x[0], nx[0], cx[0]
     keep = (cy != cx) & (np.minimum(nx, ny) * 100 >= np.maximum(nx, ny) * percent)
     mine = ((cy == main[which]) | (x < y))[keep]
-    y, at, back, shared = np.unique(y[keep], return_index=True, return_inverse=True, return_counts=True)
-    ny = ny[keep][at]
+    y, ny = y[keep], ny[keep]
+    number = np.unique(y, return_inverse=True)[1] * (int(ny.max(initial=0)) + 1) + ny  # a member is a doc_id and a size
+    _, at, back, shared = np.unique(number, return_index=True, return_inverse=True, return_counts=True)
+    y, ny = y[at], ny[at]
     met = np.bincount(back[mine], minlength=len(y))
     most = shared + table.column("elsewhere")[0].as_py() + -(-percent * np.maximum(nx, ny) // 100) - 1
     able = (met > 0) & (most >= -(-percent * (nx + ny) // (100 + percent)))

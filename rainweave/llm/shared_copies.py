@@ -7,7 +7,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rainweave.llm.packing import bound_batches
 from rainweave.llm import sketch
 from rainweave.llm.shingles import mix, slices
 from rainweave.session import cut_lineage
@@ -16,7 +15,7 @@ WIDTH = 26
 
 
 class Originals:
-    """Frames of (doc_id, text) scanned with a function of record batches, cut to a few megabytes of text each."""
+    """Frames of (doc_id, text, key) scanned with a function of record batches, cut to a few megabytes of text each."""
 
     def __init__(self, parts: list[tuple[DataFrame, object]]):
         self.parts = parts
@@ -37,21 +36,25 @@ def text_digest(text: str = "text"):
     return F.md5(F.col(text).cast("binary"))
 
 
+def row_key(doc_id: str = "doc_id", digest: str = "digest"):
+    """Tells apart the rows of one doc_id that have different texts."""
+    return F.xxhash64(doc_id, digest).alias("key")
+
+
 def split_copies(docs: DataFrame, width: int = WIDTH) -> tuple[Originals, DataFrame]:
-    """docs (doc_id, text) into the rows with the smallest doc_id of their text, and (doc_id, digest, first) of all other rows.
+    """docs (doc_id, text) into the rows (doc_id, text, key) with the smallest doc_id of their text, and (doc_id, digest, first) of all other rows.
 
     Rows without doc_id or text are in neither. Only (doc_id, digest) is shuffled. Each scan of the first frame leaves the
     later copies out by a bounded filter; the few other rows which that filter takes along are found exactly, once, and
     added from a written table.
     """
-    bound_batches(docs.sparkSession)
     docs = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     ids = docs.select("doc_id", text_digest().alias("digest"))
     # written, so that the join meets two plain exchanges and a large group of copies can be split between tasks
     first = cut_lineage(ids.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"))
     later = cut_lineage(ids.join(first, "digest").where(F.col("doc_id") > F.col("first")).select("doc_id", "digest", "first"))
-    key = F.xxhash64("doc_id", "digest").alias("key")
+    key = row_key()
 
     def keys(batch):
         return mix(batch.column("key").to_numpy().astype(np.uint64))
@@ -61,13 +64,12 @@ def split_copies(docs: DataFrame, width: int = WIDTH) -> tuple[Originals, DataFr
     def kept(wanted: bool):
         def run(batches):
             for batch in batches:
-                rows = batch.filter(pa.array(sketch.holds(bits.value, keys(batch), width) == wanted))
-                yield rows.select([n for n in rows.schema.names if n != "key"])
+                yield batch.filter(pa.array(sketch.holds(bits.value, keys(batch), width) == wanted))
         return run
 
-    doubtful = ids.select("doc_id", "digest", key).mapInArrow(kept(True), f"doc_id {kind}, digest string").distinct()
+    doubtful = ids.select("doc_id", "digest", key).mapInArrow(kept(True), f"doc_id {kind}, digest string, key long").drop("key").distinct()
     spared = cut_lineage(doubtful.join(later, ["doc_id", "digest"], "left_anti"))
     texts = docs.withColumn("digest", text_digest())
-    flagged = texts.select("doc_id", "text", "digest", key).mapInArrow(kept(True), f"doc_id {kind}, text string, digest string")
-    extra = cut_lineage(flagged.join(spared, ["doc_id", "digest"], "left_semi").select("doc_id", "text"))
+    flagged = texts.select("doc_id", "text", "digest", key).mapInArrow(kept(True), f"doc_id {kind}, text string, digest string, key long")
+    extra = cut_lineage(flagged.join(spared, ["doc_id", "digest"], "left_semi").select("doc_id", "text", "key"))
     return Originals([(texts.select("doc_id", "text", key), kept(False)), (extra, None)]), later
