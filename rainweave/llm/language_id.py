@@ -1,8 +1,9 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Fitting sums n-gram counts per language inside each task and sends blocks of BLOCK buckets on, so what is shuffled
-depends on tasks, languages and buckets, not on text. The matrix of log probabilities (languages x buckets, at most
-MAX_LANGUAGES of them) is broadcast; scoring gathers and sums its rows for a batch of texts at once.
+depends on tasks, languages and buckets, not on text. Languages are learned LABELS at a time, each lot in its own pass. The
+matrix of log probabilities (languages x buckets) is broadcast by lots; scoring gathers and sums its rows for a batch of
+texts at once.
 """
 
 from __future__ import annotations
@@ -15,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rainweave.llm.packing import bound_batches
+from rainweave.llm.shingles import slices
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
-MAX_LANGUAGES = 512
+LABELS = 256
+HELD_LABELS = 64
 PIECE = 1 << 20
 BLOCK = 1 << 12
 UNKNOWN = "und"
@@ -29,8 +31,8 @@ UNKNOWN = "und"
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
-    prior: np.ndarray     # (languages,)
-    weights: np.ndarray   # (buckets, languages), logs
+    prior: np.ndarray                 # (languages,)
+    weights: tuple[np.ndarray, ...]   # lots of languages in order, each (buckets, languages of the lot), logs
 
 
 def has_letter(text: str | None) -> bool:
@@ -85,30 +87,45 @@ def _buckets(points, owner, orders, buckets):
 
 
 def fit(rows: DataFrame, text: str = "text", label: str = "lang", buckets: int = BUCKETS, orders=ORDERS, smoothing: float = SMOOTHING) -> Model:
-    """Counts over all rows with a text with letters and a label. More than MAX_LANGUAGES labels is an error."""
-    rows = rows.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).alias("lang"))
-    bound_batches(rows.sparkSession)
+    """Counts over all rows with a text with letters and a label, for any number of labels (they make up the model's size)."""
+    rows = rows.where(F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).alias("lang"))
+    labels = sorted(r.lang for r in rows.select("lang").distinct().collect())
+    parts = [_fit_lot(rows.where(F.col("lang").isin(labels[k:k + LABELS])) if len(labels) > LABELS else rows, buckets, orders, smoothing)
+             for k in range(0, len(labels), LABELS)]
+    parts = [p for p in parts if p[0]]
+    texts = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0)
+    return Model(tuple(name for p in parts for name in p[0]), np.log(texts / max(texts.sum(), 1)), tuple(p[2] for p in parts))
+
+
+def _fit_lot(rows: DataFrame, buckets: int, orders, smoothing: float) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Languages of the rows, in order, the texts of each, and their log probabilities."""
+    rows = rows.where("text is not null")
     per = min(BLOCK, buckets)
 
     def count(batches):
         sums: dict[str, np.ndarray] = {}
         texts: dict[str, int] = {}
-        for batch in batches:
+
+        def out():
+            for lang, total in sums.items():
+                n = buckets // per
+                yield pa.record_batch([pa.array([lang] * n), pa.array(range(n), pa.int32()), pa.array(total.reshape(n, per).tolist(), pa.list_(pa.int64())),
+                                       pa.array([texts[lang]] + [0] * (n - 1), pa.int64())], ["lang", "block", "counts", "texts"])
+
+        for batch in slices(batches):
             by: dict[str, list[str]] = {}
             for t, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
                 if has_letter(t):
                     by.setdefault(lang, []).append(t)
             for lang, own in by.items():
-                if lang not in sums and len(sums) >= MAX_LANGUAGES:
-                    raise ValueError(f"more than {MAX_LANGUAGES} languages")
+                if lang not in sums and len(sums) >= HELD_LABELS:
+                    yield from out()
+                    sums, texts = {}, {}
                 total = sums.setdefault(lang, np.zeros(buckets, np.int64))
                 texts[lang] = texts.get(lang, 0) + len(own)
                 for b, _ in ngram_buckets(own, orders, buckets):
                     total += np.bincount(b, minlength=buckets)
-        for lang, total in sums.items():
-            n = buckets // per
-            yield pa.record_batch([pa.array([lang] * n), pa.array(range(n), pa.int32()), pa.array(total.reshape(n, per).tolist(), pa.list_(pa.int64())),
-                                   pa.array([texts[lang]] + [0] * (n - 1), pa.int64())], ["lang", "block", "counts", "texts"])
+        yield from out()
 
     def add(batches):
         held: dict = {}
@@ -125,16 +142,15 @@ def fit(rows: DataFrame, text: str = "text", label: str = "lang", buckets: int =
     schema = "lang string, block int, counts array<long>, texts long"
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     merged = rows.mapInArrow(count, schema).repartition(parts, "lang", "block").mapInArrow(add, schema).toPandas()  # languages x buckets
-    languages = tuple(sorted(set(merged["lang"])))
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    languages = sorted(set(merged["lang"]))
+    at = {lang: k for k, lang in enumerate(languages)}
     counts, texts = np.zeros((buckets, len(languages))), np.zeros(len(languages))
     for lang, block, part, n in zip(merged["lang"], merged["block"], merged["counts"], merged["texts"]):
-        k = languages.index(lang)
+        k = at[lang]
         counts[block * per:(block + 1) * per, k] = part
         texts[k] += n
     weights = np.log(counts + smoothing) - np.log(counts.sum(axis=0) + smoothing * buckets)
-    return Model(languages, np.log(texts / max(texts.sum(), 1)), weights.astype(np.float32))
+    return languages, texts, weights.astype(np.float32)
 
 
 def score(texts: list[str | None], model: Model, orders=ORDERS) -> tuple[list[str], np.ndarray]:
@@ -144,10 +160,12 @@ def score(texts: list[str | None], model: Model, orders=ORDERS) -> tuple[list[st
     if not known:
         return langs, scores
     sums = np.tile(model.prior.astype(np.float64), (len(known), 1))
-    for b, owner in ngram_buckets([texts[k] for k in known], orders, len(model.weights)):
+    ends = np.cumsum([w.shape[1] for w in model.weights])
+    for b, owner in ngram_buckets([texts[k] for k in known], orders, len(model.weights[0])):
         cuts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else []
         if len(cuts):
-            sums[owner[cuts]] += np.add.reduceat(model.weights[b], cuts, axis=0, dtype=np.float64)
+            for lot, end in zip(model.weights, ends):
+                sums[owner[cuts], end - lot.shape[1]:end] += np.add.reduceat(lot[b], cuts, axis=0, dtype=np.float64)
     sums -= sums.max(axis=1, keepdims=True)
     odds = np.exp(sums)
     odds /= odds.sum(axis=1, keepdims=True)
@@ -157,19 +175,25 @@ def score(texts: list[str | None], model: Model, orders=ORDERS) -> tuple[list[st
     return langs, scores
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """The columns in keep, lang_pred and score, for every row. Only text decides.
+def judge(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """kept (a struct of the columns in keep, whatever their names), lang_pred and score, for every row. Only text decides.
 
-    A null, empty or letterless text is `und` with score 0. Names in keep must not be lang_pred or score.
+    A null, empty or letterless text is `und` with score 0.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.prior, model.weights))
-    fields = [docs.schema[c] for c in keep]
+    context = docs.sparkSession.sparkContext
+    shared, lots = context.broadcast((model.languages, model.prior)), [context.broadcast(w) for w in model.weights]
+    kept = F.struct(*(F.col(c) for c in keep)) if keep else F.struct(F.lit(None).cast("boolean").alias("none"))
+    rows = docs.select(kept.alias("kept"), F.col(text).alias("text"))
 
     def run(batches):
-        learned = Model(*shared.value)
-        for batch in batches:
-            langs, scores = score(batch.column("_text").to_pylist(), learned)
-            yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores)], [*keep, "lang_pred", "score"])
+        learned = Model(*shared.value, tuple(lot.value for lot in lots))
+        for batch in slices(batches):
+            langs, scores = score(batch.column("text").to_pylist(), learned)
+            yield pa.record_batch([batch.column("kept"), pa.array(langs, pa.string()), pa.array(scores)], ["kept", "lang_pred", "score"])
+
+    return rows.mapInArrow(run, f"kept {rows.schema['kept'].dataType.simpleString()}, lang_pred string, score double")
 
-    columns = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["lang_pred string", "score double"])
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, columns)
+
+def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The columns in keep, lang_pred and score, for every row, as judge() tells them. Names in keep must not be lang_pred or score."""
+    return judge(docs, model, text, keep).select(*(F.col("kept")[c].alias(c) for c in keep), "lang_pred", "score")

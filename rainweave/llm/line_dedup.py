@@ -16,7 +16,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rainweave.llm import sketch
-from rainweave.llm.packing import bound_batches, pack_texts, unpack
+from rainweave.llm.packing import PACKED_BYTES, pack_texts, unpack
+from rainweave.llm.shared_copies import Originals
+from rainweave.llm.shingles import slices
 from rainweave.session import cut_lineage
 
 WHITE = b" \t\n\r\x0b\x0c"
@@ -41,7 +43,6 @@ def _digests(text: str | None, least: int) -> set[bytes]:
 def shared_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
                  width: int = WIDTH) -> DataFrame:
     """(doc_id, key) for every line key that the document has to lose. Rows of one doc_id count as one document."""
-    bound_batches(docs.sparkSession)
     rows = docs.where(F.col(doc_id).isNotNull() & F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
     def digests(batch):
@@ -52,7 +53,8 @@ def shared_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     def hashes(batch):
         return digests(batch)[1]
 
-    twice = sketch.build(rows, hashes, width)
+    work = Originals([(rows, None)])
+    twice = sketch.build(work, hashes, width)
 
     def suspects(batches):
         for batch in batches:
@@ -64,7 +66,7 @@ def shared_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
                                   ["doc_id", "key"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    found = cut_lineage(rows.mapInArrow(suspects, f"doc_id {kind}, key binary").distinct())
+    found = cut_lineage(work.mapInArrow(suspects, f"doc_id {kind}, key binary").distinct())
     # written, so that the documents of a very common line can be split between tasks
     confirmed = cut_lineage(found.groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
                             .where(F.col("n") >= min_docs).select("key", "keeper"))
@@ -84,7 +86,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     rows = pack_texts(docs, doc_id, text, keep).join(drops, "doc_id", "left")
 
     def rewrite(batches):
-        for batch in batches:
+        for batch in slices(batches, "packed", PACKED_BYTES):
             texts, before, dropped = [], [], []
             for packed, drop in zip(batch.column("packed"), batch.column("drops")):
                 body = unpack(packed.as_py())

@@ -1,19 +1,15 @@
-"""Texts compressed before a shuffle, and bounded batches."""
+"""Texts compressed before a shuffle."""
 
 from __future__ import annotations
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rainweave.llm.shingles import slices
 
-BATCH_ROWS = 500
-
-
-def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Documents are large rows: tasks hand them to Python so many at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+PACKED_BYTES = 1 << 20  # of packed texts unpacked at a time
 
 
 def pack_texts(docs: DataFrame, doc_id: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -23,7 +19,7 @@ def pack_texts(docs: DataFrame, doc_id: str, text: str, keep: tuple[str, ...] =
 
     def pack(batches):
         press = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
+        for batch in slices(batches):
             packed = [None if t is None else press(t.encode()) for t in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), pa.array(packed, pa.binary()), batch.column("kept")], ["doc_id", "packed", "kept"])
 

@@ -12,13 +12,13 @@ from __future__ import annotations
 
 from array import array
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rainweave.llm.packing import bound_batches
 from rainweave.llm.shingles import slices
 
 MARK = "▁"
@@ -26,6 +26,7 @@ UNIGRAM, BPE = 1, 2
 PAIRS = 1_000_000
 SPINES = 40_000
 KEPT_WORDS = 800_000
+KEPT_LENGTH = 64      # longer words are encoded anew in every batch
 NEVER = -1e30
 
 
@@ -92,6 +93,25 @@ class Codec:
                 scores[at] = self.scores.get(parts[at] + parts[at + 1])
         return parts
 
+    def _merged_run(self, text: str) -> list[str]:
+        """merged() for texts of any length: a heap of neighbours, best score first, then the leftmost."""
+        parts: list[str | None] = list(text)
+        left, right = list(range(-1, len(parts) - 1)), list(range(1, len(parts) + 1))
+        heap = [(-score, k, a + b) for k, (a, b) in enumerate(zip(parts, parts[1:])) if (score := self.scores.get(a + b)) is not None]
+        heapify(heap)
+        while heap:
+            _, k, whole = heappop(heap)
+            after = right[k]
+            if parts[k] is None or after >= len(parts) or parts[k] + parts[after] != whole:
+                continue  # one of the two has merged otherwise since
+            parts[k], parts[after], right[k] = whole, None, right[after]
+            if right[k] < len(parts):
+                left[right[k]] = k
+            for a, b in ((left[k], k), (k, right[k])):
+                if a >= 0 and b < len(parts) and (score := self.scores.get(parts[a] + parts[b])) is not None:
+                    heappush(heap, (-score, a, parts[a] + parts[b]))
+        return [p for p in parts if p is not None]
+
     def _spines(self, piece: str) -> tuple[list, list]:
         """The parts at a piece's left and right edge while it is merged, each with the score at which it goes up in the next."""
         edges = []
@@ -192,7 +212,7 @@ class Codec:
         walk = self._best_states if self.kind == UNIGRAM else self._merge_states
         for word in sorted(words):
             if self.kind == BPE and word.startswith(MARK + MARK):  # runs of marks tie in score
-                out[word] = self._ids(self.merged(word))
+                out[word] = self._ids(self._merged_run(word))
                 continue
             shared, least = 0, min(len(before), len(word))
             while shared < least and before[shared] == word[shared]:
@@ -245,51 +265,56 @@ class Codec:
         for word, ids in self.encode_words(list(new)).items():
             self.words[word] = array("i", ids).tobytes()
         table = self.words
-        return [None if words is None else np.frombuffer(b"".join(map(table.__getitem__, words)), np.int32) for words in split]
+        out = [None if words is None else np.frombuffer(b"".join(map(table.__getitem__, words)), np.int32) for words in split]
+        for word in new:
+            if len(word) > KEPT_LENGTH:
+                del table[word]
+        return out
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.output.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
-BATCH = 2000
+def _kept(rows: DataFrame, keep: tuple[str, ...], value: str, name: str) -> DataFrame:
+    """kept, a struct of the columns in keep, whatever their names, and the value."""
+    kept = F.struct(*(F.col(c) for c in keep)) if keep else F.struct(F.lit(None).cast("boolean").alias("none"))
+    return rows.select(kept.alias("kept"), F.col(value).alias(name))
 
 
 def encode_texts(docs: DataFrame, model: bytes, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in keep, token_ids (array<int>) and round_trip: whether decoding gives the text again.
 
     A null text has null ids and a null round_trip, an empty one no ids. A text holding the mark character itself decodes
-    to a space there, so its round_trip is false. Names in keep must not be token_ids or round_trip. The model travels as
-    its file's bytes, a few hundred kilobytes whatever the data.
+    to a space there, so its round_trip is false. Names in keep must not be token_ids or round_trip; any other may stand in
+    docs. The model travels as its file's bytes, a few hundred kilobytes whatever the data.
     """
-    bound_batches(docs.sparkSession, BATCH)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [docs.schema[c] for c in keep]
+    rows = _kept(docs, keep, text, "text")
 
     def run(batches):
         codec = Codec(shared.value)
         for batch in batches:
-            for part in slices(batches=[batch], column="_text", most=16 << 20):
-                texts = part.column("_text").to_pylist()
+            for part in slices(batches=[batch], most=16 << 20):
+                texts = part.column("text").to_pylist()
                 ids = codec.encode(texts)
                 same = [None if t is None else codec.decode(i.tolist()) == t for t, i in zip(texts, ids)]
-                yield pa.record_batch([*(part.column(c) for c in keep), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())],
-                                      [*keep, "token_ids", "round_trip"])
+                yield pa.record_batch([part.column("kept"), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], ["kept", "token_ids", "round_trip"])
 
-    columns = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["token_ids array<int>", "round_trip boolean"])
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, columns)
+    encoded = rows.mapInArrow(run, f"kept {rows.schema['kept'].dataType.simpleString()}, token_ids array<int>, round_trip boolean")
+    return encoded.select(*(F.col("kept")[c].alias(c) for c in keep), "token_ids", "round_trip")
 
 
 def decode_tokens(rows: DataFrame, model: bytes, ids: str = "token_ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in keep and text, the decoded ids; null for null ids. Names in keep must not be text."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
-    fields = [rows.schema[c] for c in keep]
+    rows = _kept(rows, keep, ids, "ids")
 
     def run(batches):
         codec = Codec(shared.value)
         for batch in batches:
-            texts = [None if i is None else codec.decode(i) for i in batch.column("_ids").to_pylist()]
-            yield pa.record_batch([*(batch.column(c) for c in keep), pa.array(texts, pa.string())], [*keep, "text"])
+            texts = [None if i is None else codec.decode(i) for i in batch.column("ids").to_pylist()]
+            yield pa.record_batch([batch.column("kept"), pa.array(texts, pa.string())], ["kept", "text"])
 
-    columns = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["text string"])
-    return rows.select(*keep, F.col(ids).alias("_ids")).mapInArrow(run, columns)
+    decoded = rows.mapInArrow(run, f"kept {rows.schema['kept'].dataType.simpleString()}, text string")
+    return decoded.select(*(F.col("kept")[c].alias(c) for c in keep), "text")

@@ -18,9 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rainweave.llm import sketch
-from rainweave.llm.packing import pack_texts, unpack
+from rainweave.llm.packing import PACKED_BYTES, pack_texts, unpack
 from rainweave.llm.shared_copies import split_copies
-from rainweave.llm.shingles import Words
+from rainweave.llm.shingles import Words, slices
 from rainweave.session import cut_lineage
 
 WINDOW = 13
@@ -99,10 +99,8 @@ def remove_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
              .groupBy("doc_id").agg(F.collect_list("h1").alias("gone"), F.collect_list("digest").alias("copies")))
 
     def cut(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                yield _without(part, [unpack(p) for p in part.column("packed").to_pylist()], window)
+        for batch in slices(batches, "packed", PACKED_BYTES):
+            yield _without(batch, [unpack(p) for p in batch.column("packed").to_pylist()], window)
 
     return (pack_texts(rows, "doc_id", "text").join(marks, "doc_id", "left")
             .mapInArrow(cut, "doc_id long, text string, n_words long, n_removed long"))

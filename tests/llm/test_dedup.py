@@ -157,3 +157,58 @@ def test_repeated_texts_without_words_link_with_nothing(documents):
     got = ngram_join.similar_components(documents(rows), width=16, level_width=16)
     linked = {9: 8, 13: 12}
     assert sorted(map(tuple, got.collect())) == [(i, int(i in (8, 9, 12, 13)), linked.get(i, i)) for i, _ in rows]
+
+
+def linked(rows):
+    """Components of rows (doc_id, text) by brute force: {row number: (size, component)}; rows of one doc_id are linked."""
+    sets = []
+    for _, t in rows:
+        w = split_words(lower(t))
+        sets.append({tuple(w[k:k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = rows[a][0] is not None and rows[b][0] is not None
+            if both and (rows[a][0] == rows[b][0] or sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])):
+                parent[root(a)] = root(b)
+    low = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            low[root(k)] = min(low.get(root(k), i), i)
+    return [(i, len(sets[k]), low.get(root(k)) if i is not None else None) for k, (i, _) in enumerate(rows)]
+
+
+def test_components_with_repeated_and_null_ids(documents):
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(60)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(0, 40)))) for i in range(120)]
+    for i in range(120, 150):  # families of near copies
+        copy = rows[i % 12 + 20][1].split()
+        copy[-1:] = [rng.choice(words)]
+        rows.append((i, " ".join(copy)))
+    for _ in range(40):  # ids again, with the text of an earlier document, another one, none, or the same
+        i = rng.randrange(150)
+        rows.append((i, rng.choice([rows[rng.randrange(i + 1)][1], " ".join(rng.choices(words, k=30)), "", None, rows[i][1]])))
+    rows += [(None, rows[3][1]), (None, None), (None, ""), (7, None), (8, " ")]
+    got = ngram_join.similar_components(documents(rows, extra=True), width=18, level_width=16)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(linked(rows), key=repr)
+
+
+def test_no_setting_is_changed(documents, spark):
+    from rainweave.llm import decontaminate, language_id, sentencepiece_codec, warc
+    from rainweave.llm.queries import piece_model
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs = documents(EDGE)
+    items = spark.createDataFrame([(1, "one two")], "item_id long, text string")
+    for build in (lambda: substring_dedup.remove_repeated(docs, width=12), lambda: line_dedup.dedup_lines(docs, width=12), lambda: ngram_join.similar_components(docs, width=12, level_width=12),
+                  lambda: decontaminate.contained_items(docs, items, width=12), lambda: language_id.predict(docs, language_id.fit(docs)),
+                  lambda: sentencepiece_codec.encode_texts(docs, piece_model()), lambda: warc.classify(docs, "doc_id", "lang", "text")):
+        build()
+        assert spark.conf.get(name) == before
