@@ -15,8 +15,9 @@ LEAST_SCORE = 0.5
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters and those whose likeliest language has a posterior under LEAST_SCORE."""
     model = language_id.fit(docs.where(~held_out()))
-    kept = language_id.predict(docs, model, keep=tuple(docs.columns))
-    return kept.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    judged = language_id.judge(docs, model, keep=tuple(docs.columns))
+    kept = judged.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return kept.select(*(F.col("kept")[c].alias(c) for c in docs.columns))
 
 
 def unshared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
