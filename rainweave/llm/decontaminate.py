@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rainweave.llm import sketch
+from rainweave.llm.packing import in_small_batches
 from rainweave.llm.ngram_join import ngram_sets
 from rainweave.llm.shingles import mix, slices
 from rainweave.session import cut_lineage
@@ -42,6 +43,7 @@ def _item_sketches(items: DataFrame, n: int, percent: int) -> DataFrame:
     return items.mapInArrow(run, "item_id long, n_item long, minima array<long>, shingles array<long>")
 
 
+@in_small_batches
 def contained_items(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
                     item_text: str = "text", n: int = N, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
     """doc_id, item_id, n_shared, n_item, containment for each item of which a document holds at least percent.

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rainweave.llm.packing import in_small_batches
 from rainweave.llm.shingles import slices
 
 BUCKETS = 1 << 16
@@ -86,6 +87,7 @@ def _buckets(points, owner, orders, buckets):
             yield ((h[inside] * np.uint64(0xD6E8FEB86659FD93)) >> shift).astype(np.int64), owner[:m][inside]
 
 
+@in_small_batches
 def fit(rows: DataFrame, text: str = "text", label: str = "lang", buckets: int = BUCKETS, orders=ORDERS, smoothing: float = SMOOTHING) -> Model:
     """Counts over all rows with a text with letters and a label, for any number of labels (they make up the model's size)."""
     rows = rows.where(F.col(label).isNotNull()).select(F.col(text).alias("text"), F.col(label).alias("lang"))

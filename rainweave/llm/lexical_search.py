@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rainweave.llm.packing import in_small_batches
 from rainweave.llm.shingles import Terms, slices
 from rainweave.session import cut_lineage
 
@@ -230,6 +231,7 @@ def top(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
+@in_small_batches
 def rank_documents(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
                    k: int = K) -> DataFrame:
     """item_id, rank, doc_id, score: for each item the k documents of largest score above 0, equal scores by ascending doc_id.

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rainweave.llm import sketch
-from rainweave.llm.packing import PACKED_BYTES, pack_texts, unpack
+from rainweave.llm.packing import PACKED_BYTES, in_small_batches, pack_texts, unpack
 from rainweave.llm.shared_copies import Originals
 from rainweave.llm.shingles import slices
 from rainweave.session import cut_lineage
@@ -40,6 +40,7 @@ def _digests(text: str | None, least: int) -> set[bytes]:
     return {hashlib.blake2b(k, digest_size=16).digest() for _, k in line_keys(text) if _long(k, least)}
 
 
+@in_small_batches
 def shared_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS,
                  width: int = WIDTH) -> DataFrame:
     """(doc_id, key) for every line key that the document has to lose. Rows of one doc_id count as one document."""

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rainweave.llm import graph, sketch
+from rainweave.llm.packing import in_small_batches
 from rainweave.llm.shared_copies import Originals, row_key, split_copies, text_digest
 from rainweave.llm.shingles import Words, mix, slices
 from rainweave.session import cut_lineage
@@ -102,6 +103,7 @@ def _links(pairs: DataFrame, index: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "na", "nb", "xa", "xb").mapInArrow(multiply, "a long, b long")
 
 
+@in_small_batches
 def similar_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT, width: int = WIDTH,
                        level_width: int = LEVEL_WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id: one row per row of docs.

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rainweave.llm import sketch
+from rainweave.llm.packing import in_small_batches
 from rainweave.llm.shingles import mix, slices
 from rainweave.session import cut_lineage
 
@@ -41,6 +42,7 @@ def row_key(doc_id: str = "doc_id", digest: str = "digest"):
     return F.xxhash64(doc_id, digest).alias("key")
 
 
+@in_small_batches
 def split_copies(docs: DataFrame, width: int = WIDTH) -> tuple[Originals, DataFrame]:
     """docs (doc_id, text) into the rows (doc_id, text, key) with the smallest doc_id of their text, and (doc_id, digest, first) of all other rows.
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rainweave.llm import sketch
-from rainweave.llm.packing import PACKED_BYTES, pack_texts, unpack
+from rainweave.llm.packing import PACKED_BYTES, in_small_batches, pack_texts, unpack
 from rainweave.llm.shared_copies import split_copies
 from rainweave.llm.shingles import Words, slices
 from rainweave.session import cut_lineage
@@ -37,6 +37,7 @@ def _per_document(ids: np.ndarray, h1: np.ndarray, *others: np.ndarray) -> list[
     return [ids[keep], h1[keep], *(x[order][keep] for x in others)]
 
 
+@in_small_batches
 def earlier_windows(docs: DataFrame, window: int = WINDOW, width: int = WIDTH) -> tuple[DataFrame, DataFrame]:
     """(doc_id, h1) of every window to remove, and (doc_id, first) of rows that copy a whole earlier text."""
     work, later = split_copies(docs)

@@ -20,6 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rainweave.llm.packing import in_small_batches
 from rainweave.llm.shingles import Terms, mix, slices
 from rainweave.session import checkpoint_dir, cut_lineage
 
@@ -172,6 +173,7 @@ def one_round(rows: DataFrame, z: np.ndarray, n: np.ndarray, width: int) -> tupl
     return z, n
 
 
+@in_small_batches
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", most: int = MOST_EXAMPLES, shard_rows: int = SHARD_ROWS, width: int = WIDTH,
         rounds: int = ROUNDS) -> Model:
     """Learns from the documents of at most about `most` labels (over 0: toxic), chosen by a hash of key; all of their text counts.
