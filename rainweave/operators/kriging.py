@@ -1,4 +1,9 @@
-"""Dual kriging weights: small groups by a direct solve, groups of any size by conjugate gradients over blocks."""
+"""Kriging: variograms fitted to the stations, and dual weights.
+
+The experimental semivariogram counts pairs of stations in bins of distance, block by block, and combines them before the
+shuffle. What is fitted are its few bins per group. Weights of small groups come from a direct solve, those of groups of
+any size from conjugate gradients over blocks.
+"""
 
 from __future__ import annotations
 
@@ -9,49 +14,136 @@ from rainweave.operators.spatial import blocks, meet
 from rainweave.session import cut_lineage
 
 DIRECT_SPOTS = 2000
+LINEAR_STATIONS = 10
+LAGS = 6
+RANGES = 200
+FIT_STEPS = 60
 
 
-def kriging_weights(stations: DataFrame, group: str, lon: str, lat: str, value: str, nugget: float = 0.0,
-                    direct: int = DIRECT_SPOTS) -> DataFrame:
-    """Dual weights of each group's kriging system: one row per spot, plus drift and variogram.
+def station_spots(stations: DataFrame, group: str, lon: str, lat: str, value: str, key: str) -> DataFrame:
+    """key, lon, lat, v, stations: stations that share a spot count as one with their mean value.
 
-    Stations that share a spot count as one with their mean value; the variogram follows from all stations. Stations
-    without a position or value take no part. A group of at most `direct` spots (10 or more) is solved in one task, a
-    larger one over blocks of its spots, in as many jobs as the solution takes steps.
+    Stations without a position or value take no part.
     """
-    if direct < 10:
-        raise ValueError("direct has to be 10 or more")
-    key = "__group"  # no name of a column used below
     rows = stations.select(F.col(group).alias(key), F.col(lon).cast("double").alias("lon"), F.col(lat).cast("double").alias("lat"), F.col(value).cast("double").alias("v"))
     for name in ("lon", "lat", "v"):
         rows = rows.where(F.abs(name) < float("inf"))  # neither NULL, NaN nor infinite
-    stats = rows.groupBy(key).agg(F.count(F.lit(1)).alias("stations"), F.greatest(F.var_pop("v"), F.lit(1e-9)).alias("spread"))
-    spots = rows.groupBy(key, "lon", "lat").agg(F.avg("v").alias("v"))
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("stations"))
+    return attach(rows.groupBy(key, "lon", "lat").agg(F.avg("v").alias("v")), counts, [key])
+
+
+def _pairs(spots: DataFrame, key: str) -> DataFrame:
+    """h and g (half the squared difference) of all ordered pairs of a group's spots; they meet block by block."""
+    packed = blocks(spots.select(key, "lon", "lat", "v"), [key], ["lon", "lat", "v"])
+    other = F.col("__o")
+    return (meet(spots.select(key, "lon", "lat", "v"), packed, [key]).select(key, "lon", "lat", "v", F.explode("__items").alias("__o"))
+            .select(key, F.sqrt(F.pow(F.col("lon") - other["lon"], 2) + F.pow(F.col("lat") - other["lat"], 2)).alias("h"),
+                    (F.pow(F.col("v") - other["v"], 2) / 2).alias("g")).where("h > 0"))
+
+
+def semivariogram(spots: DataFrame, key: str, lags: int = LAGS) -> DataFrame:
+    """key, bin, pairs, lag, semivariance: mean distance and mean half squared difference in equal bins of distance.
+
+    The bins span the group's smallest to largest distance between two spots. A group of one spot has none. Every pair of a
+    group is met once each way: that is its definition; no more than a bin's sums leaves a task.
+    """
+    pairs = _pairs(spots, key)
+    ends = cut_lineage(pairs.groupBy(key).agg(F.min("h").alias("__low"), F.max("h").alias("__high")))
+    width = (F.col("__high") - F.col("__low")) / lags
+    at = F.when(width > 0, F.least(F.floor((F.col("h") - F.col("__low")) / width), F.lit(lags - 1))).otherwise(0).cast("int")
+    return (attach(pairs, ends, [key]).groupBy(key, at.alias("bin"))
+            .agg((F.count(F.lit(1)) / 2).cast("long").alias("pairs"), F.avg("h").alias("lag"), F.avg("g").alias("semivariance")))
+
+
+def fit_bins(lag, semivariance, model: str, ranges: int = RANGES, steps: int = FIT_STEPS) -> tuple[float, float, float, float]:
+    """(scale, range, nugget, loss) of the model nearest to the bins in soft L1 loss, the sum of 2 (sqrt(1 + e^2) - 1).
+
+    Linear: nugget + scale h, range 0. Spherical: nugget + scale (1.5 t - 0.5 t^3) with t = min(h / range, 1), where range
+    is one of `ranges` equal steps up to the largest lag, the smallest of equally good ones. Scale is not negative, nugget
+    neither, and at most the largest semivariance. For a given range both come from reweighted least squares.
+    """
+    import numpy as np
+    h, g = np.asarray(lag, float), np.asarray(semivariance, float)
+    if model == "linear":
+        reach, f = np.zeros(1), h[None, :]
+    else:
+        reach = h.max() * np.arange(1, ranges + 1) / ranges
+        t = np.minimum(h[None, :] / reach[:, None], 1.0)
+        f = 1.5 * t - 0.5 * t ** 3
+    top, w = g.max(), np.ones_like(f)
+    for _ in range(steps):
+        sw, sf, sg, sff, sfg = w.sum(1), (w * f).sum(1), (w * g).sum(1), (w * f * f).sum(1), (w * f * g).sum(1)
+        det = sw * sff - sf * sf
+        flat = det <= 1e-12 * sw * sff
+        scale = np.where(flat, 0.0, (sw * sfg - sf * sg) / np.where(flat, 1.0, det))
+        nugget = np.where(flat | (scale < 0), sg / sw, (sg - scale * sf) / sw)
+        scale = np.where(scale < 0, 0.0, scale)
+        capped = np.clip(nugget, 0.0, top)
+        scale = np.where(capped != nugget, np.maximum(0.0, (sfg - capped * sf) / np.where(sff > 0, sff, 1.0)), scale)
+        error = scale[:, None] * f + capped[:, None] - g
+        w = 1 / np.sqrt(1 + error * error)
+    loss = (2 * (np.sqrt(1 + error * error) - 1)).sum(1)
+    best = int(np.flatnonzero(loss <= loss.min() * (1 + 1e-9) + 1e-12)[0])
+    return float(scale[best]), float(reach[best]), float(capped[best]), float(loss[best])
+
+
+def fitted_variograms(spots: DataFrame, key: str, lags: int = LAGS) -> DataFrame:
+    """key, model, scale, range, nugget, loss for every group of two spots or more; linear from LINEAR_STATIONS stations on."""
+    models = spots.groupBy(key).agg(F.when(F.first("stations") >= LINEAR_STATIONS, "linear").otherwise("spherical").alias("model"))
+    rows = attach(semivariogram(spots, key, lags), models, [key])
+
+    def fit(pdf):
+        import pandas as pd
+        pdf = pdf.sort_values("bin")
+        model = pdf["model"].iloc[0]
+        scale, reach, nugget, loss = fit_bins(pdf["lag"], pdf["semivariance"], model)
+        return pd.DataFrame({key: pdf[key].iloc[:1], "model": [model], "scale": [scale], "range": [reach], "nugget": [nugget], "loss": [loss]})
+
+    kind = spots.schema[key].dataType.simpleString()
+    return rows.groupBy(key).applyInPandas(fit, f"{key} {kind}, model string, scale double, range double, nugget double, loss double")
+
+
+def kriging_weights(stations: DataFrame, group: str, lon: str, lat: str, value: str, direct: int = DIRECT_SPOTS,
+                    nugget: float | None = None, most_steps: int = 1000) -> DataFrame:
+    """Dual weights of each group's kriging system: one row per spot, plus drift and variogram.
+
+    The variogram is fitted to the group's spots, its nugget too unless one is given; a flat fit counts as a scale of 1e-9. A
+    group of at most `direct` spots (10 or more) is solved in one task, a larger one over blocks of its spots, in as many
+    jobs as the solution takes steps; a group not solved after most_steps is an error.
+    """
+    if direct < LINEAR_STATIONS:
+        raise ValueError(f"direct has to be {LINEAR_STATIONS} or more")
+    key = "__group"  # no name of a column used below
+    spots = cut_lineage(station_spots(stations, group, lon, lat, value, key))
     sizes = spots.groupBy(key).agg(F.count(F.lit(1)).alias("spots"))
-    spots = cut_lineage(attach(attach(spots, stats, [key]), sizes, [key]))
+    shape = fitted_variograms(spots, key).select(key, "model", "scale", "range", "nugget")
+    spots = attach(attach(spots, sizes, [key]), shape, [key]).withColumns({
+        "scale": F.greatest(F.coalesce("scale", F.lit(0.0)), F.lit(1e-9)), "range": F.greatest(F.coalesce("range", F.lit(0.0)), F.lit(1e-9)),
+        "nugget": F.coalesce("nugget", F.lit(0.0)) if nugget is None else F.lit(nugget)})
+    spots = cut_lineage(spots)
     few, many = spots.where(F.col("spots") <= direct), spots.where(F.col("spots") > direct)
-    weights = _direct(few, key, nugget)
+    weights = _direct(few, key)
     if not many.isEmpty():
-        weights = weights.unionByName(_by_steps(many, key, nugget))
+        weights = weights.unionByName(_by_steps(many, key, most_steps))
     return weights.withColumnRenamed(key, group)
 
 
-def _direct(spots: DataFrame, group: str, nugget: float) -> DataFrame:
+def _direct(spots: DataFrame, group: str) -> DataFrame:
     schema = f"{group} {spots.schema[group].dataType.simpleString()}, lon double, lat double, w double, drift array<double>, vario array<double>"
 
     def solve(pdf):
         import numpy as np
         import pandas as pd
-        n, var = len(pdf), float(pdf["spread"].iloc[0])
+        n = len(pdf)
+        scale, reach, nugget = (float(pdf[c].iloc[0]) for c in ("scale", "range", "nugget"))
         xy, z = pdf[["lon", "lat"]].to_numpy(float), pdf["v"].to_numpy(float)
         h = np.hypot(xy[:, :1] - xy[:, 0], xy[:, 1:] - xy[:, 1])
-        far = max(float(h.max()), 1e-9)
-        if pdf["stations"].iloc[0] >= 10:  # linear variogram
-            gamma, vario = nugget + var / far * h, [var / far, 0.0, nugget]
+        if pdf["stations"].iloc[0] >= LINEAR_STATIONS:
+            gamma, vario = nugget + scale * h, [scale, 0.0, nugget]
             drift = np.column_stack([np.ones(n), xy])
         else:  # spherical variogram
-            t = np.minimum(h / (far / 2), 1.0)
-            gamma, vario = nugget + var * (1.5 * t - 0.5 * t ** 3), [var, far / 2, nugget]
+            t = np.minimum(h / reach, 1.0)
+            gamma, vario = nugget + scale * (1.5 * t - 0.5 * t ** 3), [scale, reach, nugget]
             drift = np.ones((n, 1))
         np.fill_diagonal(gamma, 0.0)
         k = drift.shape[1]
@@ -71,13 +163,13 @@ def _distance(p):
     return F.sqrt(F.pow(F.col("lon") - p["lon"], 2) + F.pow(F.col("lat") - p["lat"], 2))
 
 
-def _times_variogram(rows: DataFrame, group: str, vector: str, nugget: float) -> DataFrame:
+def _times_variogram(rows: DataFrame, group: str, vector: str) -> DataFrame:
     """rows with q: minus the linear variogram's matrix times a vector that sums to zero."""
     packed = blocks(rows.select(group, "lon", "lat", vector), [group], ["lon", "lat", vector])
     part = F.aggregate("__items", F.lit(0.0), lambda a, p: a + p[vector] * _distance(p))
     sums = meet(rows.select(group, "lon", "lat"), packed, [group]).select(group, "lon", "lat", part.alias("q"))
     sums = sums.groupBy(group, "lon", "lat").agg(F.sum("q").alias("q"))
-    return rows.join(sums, [group, "lon", "lat"]).withColumn("q", nugget * F.col(vector) - F.col("slope") * F.col("q"))
+    return rows.join(sums, [group, "lon", "lat"]).withColumn("q", F.col("nugget") * F.col(vector) - F.col("slope") * F.col("q"))
 
 
 def _on_drift(column) -> list:
@@ -89,7 +181,7 @@ def _drift_part():
     return sum((F.col("e")[k] * F.col(f"c{k}") for k in range(1, 3)), F.col("e")[0] * F.col("c0"))
 
 
-def _by_steps(spots: DataFrame, group: str, nugget: float, tolerance: float = 1e-10) -> DataFrame:
+def _by_steps(spots: DataFrame, group: str, most_steps: int, tolerance: float = 1e-10) -> DataFrame:
     """The same weights for groups with the linear variogram, without a matrix.
 
     On vectors without drift, minus the variogram is positive definite, so conjugate gradients find the weights there; the
@@ -98,36 +190,34 @@ def _by_steps(spots: DataFrame, group: str, nugget: float, tolerance: float = 1e
     tolerance times the first.
     """
     key = [group]
-    packed = blocks(spots.select(group, "lon", "lat"), key, ["lon", "lat"])
-    far = meet(spots.select(group, "lon", "lat"), packed, key).select(
-        group, F.aggregate("__items", F.lit(0.0), lambda a, p: F.greatest(a, _distance(p))).alias("h"))
     shape = spots.groupBy(group).agg(F.avg("lon").alias("mx"), F.avg("lat").alias("my"), F.count(F.lit(1)).alias("m"), F.var_pop("lon").alias("xx"),
-                                     F.covar_pop("lon", "lat").alias("xy"), F.var_pop("lat").alias("yy"), F.first("spread").alias("spread"))
-    shape = shape.join(far.groupBy(group).agg(F.max("h").alias("far")), group)
+                                     F.covar_pop("lon", "lat").alias("xy"), F.var_pop("lat").alias("yy"), F.first("scale").alias("slope"), F.first("nugget").alias("nugget"))
     shape = shape.withColumn("g", F.when(F.col("xx") > 0, F.col("xy") / F.col("xx")).otherwise(0.0))
     shape = shape.withColumn("left", F.col("yy") - F.col("g") * F.col("xy"))
     shape = cut_lineage(shape.select(
         group, "mx", "my", "g", (1 / F.sqrt("m")).alias("i0"),
         F.when(F.col("xx") > 0, 1 / F.sqrt(F.col("m") * F.col("xx"))).otherwise(0.0).alias("i1"),
         F.when(F.col("left") > 1e-18 * F.col("yy"), 1 / F.sqrt(F.col("m") * F.col("left"))).otherwise(0.0).alias("i2"),
-        (F.col("spread") / F.greatest("far", F.lit(1e-9))).alias("slope")))
+        "slope", "nugget"))
 
     east = F.col("lon") - F.col("mx")
     north = F.col("lat") - F.col("my") - F.col("g") * east
     rows = attach(spots.select(group, "lon", "lat", "v"), shape, key)
-    rows = rows.select(group, "lon", "lat", "v", "slope", F.array("i0", F.col("i1") * east, F.col("i2") * north).alias("e"))
+    rows = rows.select(group, "lon", "lat", "v", "slope", "nugget", F.array("i0", F.col("i1") * east, F.col("i2") * north).alias("e"))
     rows = attach(rows, rows.groupBy(group).agg(*_on_drift(F.col("v"))), key).withColumn("r", _drift_part() - F.col("v"))
     rows = attach(rows, rows.groupBy(group).agg(F.sum(F.col("r") * F.col("r")).alias("first")), key)
-    state = cut_lineage(rows.select(group, "lon", "lat", "v", "slope", "e", "first", "r", F.col("r").alias("p"), F.lit(0.0).alias("w")))
+    state = cut_lineage(rows.select(group, "lon", "lat", "v", "slope", "nugget", "e", "first", "r", F.col("r").alias("p"), F.lit(0.0).alias("w")))
     names = state.columns
-    while True:
-        state = cut_lineage(_times_variogram(state, group, "p", nugget))
+    for step in range(most_steps + 1):
+        state = cut_lineage(_times_variogram(state, group, "p"))
         sums = state.groupBy(group).agg(F.sum(F.col("r") * F.col("r")).alias("rr"), F.sum(F.col("p") * F.col("q")).alias("pq"),
                                         F.first("first").alias("f"), *_on_drift(F.col("q")))
         going = (F.col("rr") > tolerance ** 2 * F.col("f")) & (F.col("pq") > 0)
         sums = sums.withColumn("step", F.when(going, F.col("rr") / F.col("pq")).otherwise(0.0))
         if sums.where("step > 0").isEmpty():
             break
+        if step == most_steps:
+            raise RuntimeError(f"kriging weights of a group are not found after {most_steps} steps")
         moved = attach(state, sums.drop("f", "pq"), key)
         moved = moved.withColumns({"w": F.col("w") + F.col("step") * F.col("p"),
                                    "r": F.col("r") - F.col("step") * (F.col("q") - _drift_part())})
@@ -135,9 +225,9 @@ def _by_steps(spots: DataFrame, group: str, nugget: float, tolerance: float = 1e
         state = attach(moved, after, key).withColumn("p", F.col("r") + F.when(F.col("rr") > 0, F.col("after") / F.col("rr")).otherwise(0.0) * F.col("p"))
         state = state.select(*names)
 
-    rest = _times_variogram(state.drop("q"), group, "w", nugget)
+    rest = _times_variogram(state.drop("q"), group, "w")
     c = attach(rest.groupBy(group).agg(*_on_drift(F.col("v") + F.col("q"))), shape, key)
     c = c.withColumn("d2", F.col("c2") * F.col("i2")).withColumn("d1", F.col("c1") * F.col("i1") - F.col("d2") * F.col("g"))
     c = c.withColumn("d0", F.col("c0") * F.col("i0") - F.col("d1") * F.col("mx") - F.col("d2") * F.col("my"))
-    c = c.select(group, F.array("d0", "d1", "d2").alias("drift"), F.array("slope", F.lit(0.0), F.lit(nugget)).alias("vario"))
+    c = c.select(group, F.array("d0", "d1", "d2").alias("drift"), F.array("slope", F.lit(0.0), "nugget").alias("vario"))
     return attach(state.select(group, "lon", "lat", "w"), c, key)

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from rainweave.operators import allocation as A, models as M, selection as S, spatial as X, verification as V
+from rainweave.operators import allocation as A, kriging as K, models as M, selection as S, spatial as X, verification as V
+from rainweave.operators.distributed import attach
 from rainweave.plans import downscale as D, event_experiment as EX
 from rainweave.workloads import inputs as I
 from rainweave.workloads.ensembles import FACTORS, NOISES
@@ -33,7 +34,6 @@ c AS (SELECT b1 / s1 AS c1, b2 / s2 AS c2, b3 / s3 AS c3, ay - b1 / s1 * a1 - b2
 SELECT l_orderkey, l_linenumber, round(c0 + c1 * l_quantity + c2 * l_discount + c3 * l_tax, 5) AS log_prediction,
  round(exp(c0 + c1 * l_quantity + c2 * l_discount + c3 * l_tax) - 1, 0) AS prediction FROM {{lineitem}} CROSS JOIN c""")
 def ml6(spark, sf):
-    from rainweave.operators.distributed import attach
     rows = table(spark, sf, "lineitem")
     rows = attach(rows, M.ridge(rows, X3, F.expr(LOG_PRICE)), [])
     return rows.select("l_orderkey", "l_linenumber", F.round(M.linear(X3), 5).alias("log_prediction"),
@@ -166,6 +166,68 @@ def ml10_rule(spark, sf):
     return M.density_rule(table(spark, sf, "supplier"), ["s_nationkey"])
 
 
+STATION_GROUPS = f"""SELECT 'block ' || block_id AS area, station_id, slon, slat, residual FROM ({STATIONS})
+ UNION ALL SELECT 'district ' || n_regionkey, station_id, slon, slat, residual FROM ({STATIONS}) JOIN {{nation}} ON block_id = n_nationkey"""
+
+BINS_SQL = f"""
+st AS ({STATION_GROUPS}),
+spots AS (SELECT area, slon, slat, avg(residual) AS v FROM st GROUP BY 1, 2, 3),
+pairs AS (SELECT a.area, sqrt(power(a.slon - b.slon, 2) + power(a.slat - b.slat, 2)) AS h, power(a.v - b.v, 2) / 2 AS g
+ FROM spots a JOIN spots b ON a.area = b.area AND (a.slon <> b.slon OR a.slat <> b.slat)),
+ends AS (SELECT area, min(h) AS low, max(h) AS high FROM pairs GROUP BY area),
+bins AS (SELECT area, CASE WHEN high > low THEN least(floor((h - low) / ((high - low) / 6)), 5) ELSE 0 END AS bin, count(*) // 2 AS pairs, avg(h) AS lag, avg(g) AS g
+ FROM pairs JOIN ends USING (area) GROUP BY 1, 2)"""
+
+
+@query("ml10_experimental_variogram", f"""WITH {BINS_SQL}
+SELECT area, CAST(bin AS INTEGER) AS bin, pairs, round(lag, 6) AS lag, round(g, 6) AS semivariance FROM bins""")
+def ml10_bins(spark, sf):
+    spots = K.station_spots(spark_view(spark, sf, STATION_GROUPS), "area", "slon", "slat", "residual", "area")
+    rows = K.semivariogram(spots, "area")
+    return rows.select("area", "bin", "pairs", F.round("lag", 6).alias("lag"), F.round("semivariance", 6).alias("semivariance"))
+
+
+@query("ml10_fitted_variogram", f"""WITH RECURSIVE {BINS_SQL},
+kind AS (SELECT area, CASE WHEN count(*) >= 10 THEN 'linear' ELSE 'spherical' END AS model FROM st GROUP BY area),
+top AS (SELECT area, max(lag) AS far, max(g) AS top FROM bins GROUP BY area),
+cand AS (SELECT area, model, top, k, CASE WHEN model = 'linear' THEN 0e0 ELSE far * k / 200e0 END AS reach
+ FROM top JOIN kind USING (area), range(1, 201) r(k) WHERE model = 'spherical' OR k = 1),
+x AS (SELECT cand.area, k, top, g, CASE WHEN model = 'linear' THEN lag ELSE 1.5e0 * least(lag / reach, 1e0) - 0.5e0 * power(least(lag / reach, 1e0), 3) END AS f
+ FROM cand JOIN bins USING (area)),
+step AS (SELECT 0 AS n, area, k, CAST(NULL AS DOUBLE) AS scale, CAST(NULL AS DOUBLE) AS nugget FROM cand
+ UNION ALL
+ SELECT n + 1, area, k, CASE WHEN nugget0 <> greatest(0e0, least(top, nugget0)) THEN greatest(0e0, (sfg - greatest(0e0, least(top, nugget0)) * sf) / CASE WHEN sff > 0 THEN sff ELSE 1e0 END)
+   ELSE greatest(scale0, 0e0) END, greatest(0e0, least(top, nugget0))
+ FROM (SELECT *, CASE WHEN flat OR scale0 < 0 THEN sg / sw ELSE (sg - scale0 * sf) / sw END AS nugget0 FROM (
+  SELECT *, CASE WHEN flat THEN 0e0 ELSE (sw * sfg - sf * sg) / det END AS scale0 FROM (
+   SELECT *, sw * sff - sf * sf AS det, sw * sff - sf * sf <= 1e-12 * sw * sff AS flat FROM (
+    SELECT n, area, k, any_value(top) AS top, sum(w) AS sw, sum(w * f) AS sf, sum(w * g) AS sg, sum(w * f * f) AS sff, sum(w * f * g) AS sfg FROM (
+     SELECT n, area, k, top, f, g, CASE WHEN scale IS NULL THEN 1e0 ELSE 1 / sqrt(1 + power(scale * f + nugget - g, 2)) END AS w
+     FROM step JOIN x USING (area, k) WHERE n < 60) GROUP BY 1, 2, 3))))),
+loss AS (SELECT area, k, scale, nugget, sum(2 * (sqrt(1 + power(scale * f + nugget - g, 2)) - 1)) AS loss FROM step JOIN x USING (area, k) WHERE n = 60 GROUP BY 1, 2, 3, 4),
+best AS (SELECT loss.area, min(k) AS k FROM loss JOIN (SELECT area, min(loss) AS least FROM loss GROUP BY area) m USING (area) WHERE loss <= least * (1 + 1e-9) + 1e-12 GROUP BY 1)
+SELECT area, model, round(scale, 4) AS scale, round(reach, 4) AS reach, round(nugget, 4) AS nugget, round(loss, 4) AS loss
+FROM best JOIN loss USING (area, k) JOIN cand USING (area, k)""")
+def ml10_fit(spark, sf):
+    spots = K.station_spots(spark_view(spark, sf, STATION_GROUPS), "area", "slon", "slat", "residual", "area")
+    rows = K.fitted_variograms(spots, "area")
+    return rows.select("area", "model", *(F.round(c, 4).alias(n) for c, n in (("scale", "scale"), ("range", "reach"), ("nugget", "nugget"), ("loss", "loss"))))
+
+
+@query("ml10_field_at_stations", f"""WITH st AS ({STATION_GROUPS}),
+n AS (SELECT area, count(*) AS n FROM st GROUP BY area),
+spots AS (SELECT area, slon, slat, avg(residual) AS v FROM st GROUP BY 1, 2, 3)
+SELECT area || ' ' || station_id AS place, round(greatest(-15e0, least(15e0, v)), 4) AS residual
+FROM st JOIN n USING (area) JOIN spots USING (area, slon, slat) WHERE n >= 5""")
+def ml10_stations(spark, sf):
+    """Kriging reproduces the stations it is made from."""
+    rows = spark_view(spark, sf, STATION_GROUPS)
+    rows = attach(rows, M.density_rule(rows, ["area"]), ["area"]).where("method <> 'idw'").withColumn("place", F.concat_ws(" ", "area", "station_id"))
+    weights = K.kriging_weights(rows, "area", "slon", "slat", "residual")
+    out = M.kriging_field(rows, weights, "area", "place", "slon", "slat")
+    return out.select("place", F.round("residual", 4).alias("residual"))
+
+
 @query("ml10_kriged_residual_field")
 def ml10(spark, sf):
     st = stations(spark, sf)

@@ -104,7 +104,56 @@ def test_kriging_over_blocks_equals_the_direct_solve(spark):
     tg = spark.createDataFrame([(g, f"{g}{i}", a, b if g == "a" else 18.0) for g, i, a, b in places], "g string, id string, x double, y double")
     fields = []
     for direct in (2000, 10):
-        w = kriging_weights(st, "g", "x", "y", "r", 0.25, direct)
+        w = kriging_weights(st, "g", "x", "y", "r", direct, 0.25)
         fields.append({r.id: r.residual for r in M.kriging_field(tg, w, "g", "id", "x", "y").collect()})
     assert len(fields[0]) == 12 and np.std(list(fields[0].values())) > 0.1
     assert fields[1] == pytest.approx(fields[0], abs=1e-6)
+
+
+def _loss(scale, reach, nugget, h, g):
+    t = np.minimum(h / reach, 1) if reach else h
+    e = nugget + scale * (1.5 * t - 0.5 * t ** 3 if reach else t) - g
+    return (2 * (np.sqrt(1 + e * e) - 1)).sum()
+
+
+def test_fitted_variograms_against_brute_force(spark):
+    from rainweave.operators import kriging as K
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in range(10):
+        n = 12 + g if g % 2 else 5 + g % 5
+        xy = rng.uniform(0, 2, (n, 2))
+        z = np.sin(xy[:, 0] * 2) * 3 + rng.normal(0, 0.3 * g, n)
+        rows += [(g, *map(float, p), float(v)) for p, v in zip(xy, z)]
+    rows += [(0, rows[0][1], rows[0][2], 9.0), (0, None, 1.0, 1.0), (77, 1.0, 1.0, 1.0), (78, 1.0, 1.0, 4.0), (78, 1.0, 2.0, 4.0)]
+    st = spark.createDataFrame(rows, "g int, x double, y double, r double")
+    spots = K.station_spots(st, "g", "x", "y", "r", "g")
+    bins = {(r.g, r.bin): (r.pairs, r.lag, r.semivariance) for r in K.semivariogram(spots, "g").collect()}
+    fits = {r.g: r for r in K.fitted_variograms(spots, "g").collect()}
+    assert set(fits) == {*range(10), 78} and fits[78].scale == fits[78].nugget == 0.0
+    for g in range(10):
+        own = {}
+        for k, x, y, r in rows:
+            if k == g and x is not None:
+                own.setdefault((x, y), []).append(r)
+        p, v = np.array(list(own)), np.array([np.mean(r) for r in own.values()])
+        i, j = np.triu_indices(len(p), 1)
+        h, semi = np.hypot(*(p[i] - p[j]).T), (v[i] - v[j]) ** 2 / 2
+        at = np.minimum(np.floor((h - h.min()) / ((h.max() - h.min()) / 6)), 5).astype(int)
+        lag, gamma = (np.array([a[at == b].mean() for b in np.unique(at)]) for a in (h, semi))
+        assert {b: (int((at == b).sum()), pytest.approx(x), pytest.approx(s)) for b, x, s in zip(np.unique(at), lag, gamma)} == {
+            b: t for (k, b), t in bins.items() if k == g}
+        fit = fits[g]
+        assert (fit.model == "linear") == (len([r for r in rows if r[0] == g and r[1] is not None]) >= 10) == (fit.range == 0)
+        assert fit.loss == pytest.approx(_loss(fit.scale, fit.range, fit.nugget, lag, gamma))
+        ranges = [0.0] if fit.model == "linear" else lag.max() * np.arange(1, 201) / 200
+        best = min(_loss(a, r, b, lag, gamma) for r in ranges for a in np.linspace(0, 2 * gamma.max(), 41) for b in np.linspace(0, gamma.max(), 41))
+        assert fit.loss <= best + 1e-6
+
+
+def test_kriging_that_does_not_end_is_an_error(spark):
+    from rainweave.operators.kriging import kriging_weights
+    rng = np.random.default_rng(1)
+    st = spark.createDataFrame([("a", *map(float, rng.uniform(0, 1, 2)), float(rng.normal())) for _ in range(30)], "g string, x double, y double, r double")
+    with pytest.raises(RuntimeError):
+        kriging_weights(st, "g", "x", "y", "r", direct=10, most_steps=2)
