@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rainweave.llm import sketch
-from rainweave.llm.packing import PACKED_BYTES, in_small_batches, pack_texts, unpack
+from rainweave.llm.packing import PACKED_BYTES, in_small_batches, pack_texts, small_batches, unpack
 from rainweave.llm.shared_copies import split_copies
 from rainweave.llm.shingles import Words, slices
 from rainweave.session import cut_lineage
@@ -83,7 +83,7 @@ def earlier_windows(docs: DataFrame, window: int = WINDOW, width: int = WIDTH) -
             yield pa.record_batch([pa.array(h1.view(np.int64)), pa.array(h2), batch.column("doc_id").take(pa.array(row))], ["h1", "h2", "doc_id"])
 
     found = work.mapInArrow(holders, f"{KEY}, doc_id {kind}")
-    return found.join(confirmed, ["h1", "h2"]).where(F.col("doc_id") > F.col("low")).select("doc_id", "h1"), later
+    return cut_lineage(found.join(confirmed, ["h1", "h2"]).where(F.col("doc_id") > F.col("low")).select("doc_id", "h1")), later
 
 
 def remove_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, width: int = WIDTH) -> DataFrame:
@@ -103,7 +103,9 @@ def remove_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         for batch in slices(batches, "packed", PACKED_BYTES):
             yield _without(batch, [unpack(p) for p in batch.column("packed").to_pylist()], window)
 
-    return (pack_texts(rows, "doc_id", "text").join(marks, "doc_id", "left")
+    with small_batches(docs.sparkSession):
+        packed = cut_lineage(pack_texts(rows, "doc_id", "text"))
+    return (packed.join(marks, "doc_id", "left")
             .mapInArrow(cut, "doc_id long, text string, n_words long, n_removed long"))
 
 
