@@ -33,12 +33,12 @@ def station_spots(stations: DataFrame, group: str, lon: str, lat: str, value: st
 
 
 def _pairs(spots: DataFrame, key: str) -> DataFrame:
-    """h and g (half the squared difference) of all ordered pairs of a group's spots; they meet block by block."""
+    """__h and __g (half the squared difference) of all ordered pairs of a group's spots; they meet block by block."""
     packed = blocks(spots.select(key, "lon", "lat", "v"), [key], ["lon", "lat", "v"])
     other = F.col("__o")
     return (meet(spots.select(key, "lon", "lat", "v"), packed, [key]).select(key, "lon", "lat", "v", F.explode("__items").alias("__o"))
-            .select(key, F.sqrt(F.pow(F.col("lon") - other["lon"], 2) + F.pow(F.col("lat") - other["lat"], 2)).alias("h"),
-                    (F.pow(F.col("v") - other["v"], 2) / 2).alias("g")).where("h > 0"))
+            .select(key, F.sqrt(F.pow(F.col("lon") - other["lon"], 2) + F.pow(F.col("lat") - other["lat"], 2)).alias("__h"),
+                    (F.pow(F.col("v") - other["v"], 2) / 2).alias("__g")).where("__h > 0"))
 
 
 def semivariogram(spots: DataFrame, key: str, lags: int = LAGS) -> DataFrame:
@@ -48,11 +48,11 @@ def semivariogram(spots: DataFrame, key: str, lags: int = LAGS) -> DataFrame:
     group is met once each way: that is its definition; no more than a bin's sums leaves a task.
     """
     pairs = _pairs(spots, key)
-    ends = cut_lineage(pairs.groupBy(key).agg(F.min("h").alias("__low"), F.max("h").alias("__high")))
+    ends = cut_lineage(pairs.groupBy(key).agg(F.min("__h").alias("__low"), F.max("__h").alias("__high")))
     width = (F.col("__high") - F.col("__low")) / lags
-    at = F.when(width > 0, F.least(F.floor((F.col("h") - F.col("__low")) / width), F.lit(lags - 1))).otherwise(0).cast("int")
+    at = F.when(width > 0, F.least(F.floor((F.col("__h") - F.col("__low")) / width), F.lit(lags - 1))).otherwise(0).cast("int")
     return (attach(pairs, ends, [key]).groupBy(key, at.alias("bin"))
-            .agg((F.count(F.lit(1)) / 2).cast("long").alias("pairs"), F.avg("h").alias("lag"), F.avg("g").alias("semivariance")))
+            .agg((F.count(F.lit(1)) / 2).cast("long").alias("pairs"), F.avg("__h").alias("lag"), F.avg("__g").alias("semivariance")))
 
 
 def fit_bins(lag, semivariance, model: str, ranges: int = RANGES, steps: int = FIT_STEPS) -> tuple[float, float, float, float]:

@@ -1,32 +1,160 @@
-"""Immutable run partitions, activation history and exports."""
+"""Immutable runs published by a manifest, activation history and exports."""
 
 from __future__ import annotations
 
+import json
+import os
+import re
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rainweave.operators.quality import canonical_json, digest
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+DATA, MANIFESTS, ACTIVATIONS = "data", "_manifests", "_activations"
+ACTIVATION = "seq long, run string, issue date"
+MANIFEST = "run string, folder string, digest string, rows long, columns array<string>, partitions array<string>"
+
+
+def _files(spark: SparkSession, path: str):
+    """The path as the file system knows it, and that file system."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")))
-
-
-def write_run(df: DataFrame, path: str, run_id: str) -> str:
-    """Write one run once. Identical content again is a no-op, other content is an error."""
-    spark = df.sparkSession
-    out = f"{path}/run_id={run_id}"
-    if not _exists(spark, out):
-        df.write.mode("overwrite").parquet(out)
-        return "written"
-    old, row = spark.read.parquet(out), canonical_json(df.columns)
-    same = digest(df, [], row).select("digest").collect() == digest(old.select(*df.columns), [], row).select("digest").collect()
-    if not same:
+    return fs.makeQualified(target), fs
+
+
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file unless it is there already, which of all writers at once only one does; whether this one did.
+
+    A stored file is complete: local ones are linked into place, in other stores a file appears under its name when it is
+    closed, or counts as not there while it is empty.
+    """
+    target, fs = _files(spark, path)
+    fs.mkdirs(target.getParent())
+    if fs.getUri().getScheme() == "file":
+        own = target.toUri().getPath()
+        part = os.path.join(os.path.dirname(own), f".{uuid.uuid4().hex}")
+        with open(part, "w", encoding="utf-8") as out:
+            out.write(text)
+        try:
+            os.link(part, own)
+            return True
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(part)
+    try:
+        out = fs.create(target, False)
+    except Exception as error:  # the store's own exception says that the file is there
+        if fs.exists(target):
+            return False
+        raise error
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return True
+
+
+def _read_small(spark: SparkSession, path: str) -> str | None:
+    target, fs = _files(spark, path)
+    if not fs.exists(target):
+        return None
+    stream = fs.open(target)
+    try:
+        return bytes(stream.readAllBytes()).decode() or None
+    finally:
+        stream.close()
+
+
+def manifest(spark: SparkSession, path: str, run_id: str) -> dict | None:
+    text = _read_small(spark, f"{path}/{MANIFESTS}/{safe_name(run_id)}.json")
+    return json.loads(text) if text else None
+
+
+def safe_name(name: str) -> str:
+    if not re.fullmatch(r"[A-Za-z0-9._-]+", name or "") or name.startswith("."):
+        raise ValueError(f"Invalid run identifier: {name!r}")
+    return name
+
+
+def write_run(df: DataFrame, path: str, run_id: str, partition_by: list[str] = ()) -> str:
+    """Write one run once. Identical content again is a no-op, other content is an error.
+
+    The rows go to a folder of their own that no reader knows. The run exists from the moment its manifest, which names
+    that folder and its content digest, is created; of several writers one creates it, and the others compare with it.
+    A writer that dies before leaves nothing visible.
+    """
+    spark, name = df.sparkSession, safe_name(run_id)
+    row = canonical_json(df.columns)
+    told = manifest(spark, path, name)
+    folder = f"{name}.{uuid.uuid4().hex}"
+    if told is None:
+        df.write.partitionBy(*partition_by).parquet(f"{path}/{DATA}/folder={folder}")
+        written = spark.read.schema(df.schema).parquet(f"{path}/{DATA}/folder={folder}")
+        own = digest(written.select(*df.columns), [], row).first()
+        text = json.dumps({"run": name, "folder": folder, "digest": own["digest"] if own else None, "rows": own["rows"] if own else 0,
+                           "columns": df.columns, "partitions": list(partition_by)})
+        if create_once(spark, f"{path}/{MANIFESTS}/{name}.json", text):
+            return "written"
+        told = manifest(spark, path, name)
+        target, fs = _files(spark, f"{path}/{DATA}/folder={folder}")
+        fs.delete(target, True)  # this writer's own rows, which no manifest names
+    else:
+        own = digest(df, [], row).first()
+    if sorted(told["columns"]) != sorted(df.columns) or told["digest"] != (own["digest"] if own else None):
         raise ValueError(f"Refusing to overwrite immutable run: {run_id}")
     return "unchanged"
 
 
+def read_run(spark: SparkSession, path: str, run_id: str) -> DataFrame:
+    """The rows of one published run."""
+    told = manifest(spark, path, run_id)
+    if told is None:
+        raise ValueError(f"No such run: {run_id}")
+    return spark.read.option("basePath", f"{path}/{DATA}/folder={told['folder']}").parquet(f"{path}/{DATA}/folder={told['folder']}").select(*told["columns"])
+
+
+def manifests(spark: SparkSession, path: str) -> DataFrame:
+    """One row per published run."""
+    return _small_rows(spark, f"{path}/{MANIFESTS}", MANIFEST)
+
+
+def activations(spark: SparkSession, path: str) -> DataFrame:
+    """seq, run, issue: every activation, in order."""
+    return _small_rows(spark, f"{path}/{ACTIVATIONS}", ACTIVATION)
+
+
+def _small_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    target, fs = _files(spark, path)
+    if not fs.exists(target):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).json(path)
+
+
+def activate(spark: SparkSession, path: str, run_id: str, issue: str) -> int:
+    """Appends an activation of a published run; the number it got. Activations at the same time get one number each."""
+    if manifest(spark, path, run_id) is None:
+        raise ValueError(f"No such run: {run_id}")
+    last = activations(spark, path).agg(F.max("seq")).first()[0]
+    seq = 0 if last is None else last + 1
+    while not create_once(spark, f"{path}/{ACTIVATIONS}/a{seq:012}.json", json.dumps({"seq": seq, "run": safe_name(run_id), "issue": str(issue)})):
+        seq += 1
+    return seq
+
+
+def served(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the default run (latest issue, latest activation on ties), with its run.
+
+    All runs are one partitioned table, joined by folder with the default run's manifest: which folders are read is decided
+    when the query runs (dynamic partition pruning), and conditions on partition columns choose the files in them.
+    """
+    default = history(activations(spark, path), "run", "seq", "issue").where("is_default").select("run")
+    chosen = manifests(spark, path).join(default, "run").select("folder", "run")
+    return spark.read.parquet(f"{path}/{DATA}").join(chosen, "folder").drop("folder")
+
+
 def history(activations: DataFrame, run: str, seq: str, issue: str, series: list[str] = ()) -> DataFrame:
     """Ordered-unique runs of a series with the current default: the latest issue, latest first on ties.
 
@@ -53,10 +181,10 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").option("header", True).csv(path)
 
 
-def map_features(geometry: DataFrame, forecast: DataFrame, key: str, fields: list[str],
+def map_features(geometry: DataFrame, forecast: DataFrame, key: list[str], fields: list[str],
                  reason: str = "Parent block forecast missing") -> DataFrame:
     """source_* and local_* columns beside every geometry; missing rows keep it with a reason."""
-    rows = forecast.select(key, *[F.col(f"source_{f}") for f in fields], *[F.col(f"local_{f}") for f in fields],
+    rows = forecast.select(*key, *[F.col(f"source_{f}") for f in fields], *[F.col(f"local_{f}") for f in fields],
                            F.lit(True).alias("__has"))
     out = geometry.join(rows, key, "left")
     has = F.coalesce("__has", F.lit(False)) & F.col("available")

@@ -5,6 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from rainweave.operators import geography as G, runs as R
+from rainweave.plans import routes, served_run as SR
 from rainweave.session import checkpoint_dir
 from rainweave.workloads import inputs as I
 from rainweave.workloads.allocation import block_forecast, district_forecast, villages
@@ -17,7 +18,40 @@ def snk1(spark, sf):
     rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     R.write_run(rows, path, "r1")
     R.write_run(rows, path, "r1")  # identical content: no-op
-    return spark.read.parquet(f"{path}/run_id=r1")
+    return R.read_run(spark, path, "r1")
+
+
+ISSUED = f"""SELECT * FROM ({I.ROUTE_BLOCK}) WHERE local_humidity_pct IS NOT NULL AND village_id IN (SELECT o_custkey FROM {{orders}})"""
+
+
+def _three_runs(spark, sf):
+    """Two activated runs, the later issue with double rain and no rows without humidity, and one that nobody activated; villages with orders are linked."""
+    path = f"{checkpoint_dir(spark)}/served-{uuid.uuid4().hex}"
+    linked = table(spark, sf, "orders").select(F.col("o_custkey").alias("village_id"))
+    adjusted = routes.village_adjustments(villages(spark, sf)).join(linked, "village_id", "left_semi")
+    forecast = block_forecast(spark, sf)
+    doubled = forecast.withColumn("rainfall_mm", F.col("rainfall_mm") * 2).where("humidity_pct is not null")
+    for name, rows, issue in (("r2", doubled, "1998-08-02"), ("r1", forecast, "1998-08-01"), ("r3", forecast.where("humidity_pct is null"), None)):
+        SR.publish(SR.build(rows, adjusted, name), path, name, issue)
+    return path
+
+
+@query("flt8_served_run", f"""
+SELECT village_id, block_id, valid_date, 'r2' AS run, rainfall_mm * 2 AS source_rainfall_mm, round_even(rainfall_mm * 2 * rainfall_factor, 4) AS local_rainfall_mm,
+ local_temp_max_c, local_humidity_pct, round_even(round_even(rainfall_mm * 2 * rainfall_factor, 4) - rainfall_mm * 2, 4) AS adjustment_mm
+FROM ({ISSUED}) WHERE valid_date = DATE '1997-03-01'""")
+def flt8_served(spark, sf):
+    rows = SR.request(spark, _three_runs(spark, sf), "1997-03-01")
+    return rows.select("village_id", "block_id", "valid_date", "run", "source_rainfall_mm", "local_rainfall_mm", "local_temp_max_c", "local_humidity_pct", "adjustment_mm")
+
+
+@query("agg13_served_coverage", f"""
+WITH f AS (SELECT valid_date, block_id, count(*) AS n FROM ({ISSUED}) GROUP BY 1, 2)
+SELECT valid_date, count(*) AS available, (SELECT count(*) FROM {{nation}}) AS expected, (SELECT count(*) FROM {{nation}}) - count(*) AS missing, CAST(sum(n) AS BIGINT) AS linked_villages
+FROM f GROUP BY valid_date""")
+def agg13_served(spark, sf):
+    rows = R.served(spark, _three_runs(spark, sf))
+    return SR.coverage(rows, table(spark, sf, "nation").select(F.col("n_nationkey").alias("block_id")))
 
 
 @query("snk2_activation_history", """
@@ -41,24 +75,30 @@ def snk3(spark, sf):
     return R.geojson_features(villages(spark, sf).withColumn("g", point), "g", ["village_id", "block_id"])
 
 
-MAP_SQL = f"""
-b AS (SELECT * FROM ({I.BLOCK_FORECAST}) WHERE valid_date = DATE '1998-05-01' AND block_id % 4 <> 1)"""
-
-
-@query("prj2_map_rows", f"""WITH {MAP_SQL}
-SELECT village_id, v.block_id % 6 <> 5 AND b.block_id IS NOT NULL AS available,
- CASE WHEN v.block_id % 6 = 5 THEN 'Unlinked' WHEN b.block_id IS NULL THEN 'Parent block forecast missing' END AS unavailable_reason,
- CASE WHEN v.block_id % 6 <> 5 THEN round(rainfall_mm, 6) END AS source_rainfall_mm,
- CASE WHEN v.block_id % 6 <> 5 THEN round(rainfall_mm * 0.9e0, 6) END AS local_rainfall_mm
-FROM ({I.VILLAGES}) v LEFT JOIN b USING (block_id)""")
+@query("prj2_map_rows", f"""
+WITH b AS (SELECT * FROM ({I.BLOCK_FORECAST}) WHERE humidity_pct IS NOT NULL),
+d AS (SELECT DISTINCT valid_date FROM ({I.BLOCK_FORECAST})),
+v AS (SELECT village_id, block_id, village_id IN (SELECT o_custkey FROM {{orders}}) AS linked FROM ({I.VILLAGES}))
+SELECT village_id, d.valid_date, linked AND b.block_id IS NOT NULL AS available,
+ CASE WHEN NOT linked THEN 'Unlinked' WHEN b.block_id IS NULL THEN 'Parent block forecast missing' END AS unavailable_reason,
+ CASE WHEN linked THEN round(rainfall_mm, 6) END AS source_rainfall_mm, CASE WHEN linked THEN round(rainfall_mm * 0.9e0, 6) END AS local_rainfall_mm
+FROM v CROSS JOIN d LEFT JOIN b ON b.block_id = v.block_id AND b.valid_date = d.valid_date""")
 def prj2(spark, sf):
-    v = villages(spark, sf)
-    geometry = v.select("village_id", "block_id", (F.col("block_id") % 6 != 5).alias("available"),
-                        F.when(F.col("block_id") % 6 == 5, "Unlinked").alias("unavailable_reason"))
-    f = block_forecast(spark, sf).where("valid_date = DATE '1998-05-01' AND block_id % 4 <> 1")
-    f = v.join(f, "block_id").select("village_id", F.round("rainfall_mm", 6).alias("source_rainfall_mm"),
-                                     F.round(F.col("rainfall_mm") * 0.9, 6).alias("local_rainfall_mm"))
-    return R.map_features(geometry, f, "village_id", ["rainfall_mm"]).drop("block_id")
+    """Every village on every date; forecasts without humidity were not issued, villages without orders are not linked."""
+    v, f = villages(spark, sf), block_forecast(spark, sf)
+    linked = table(spark, sf, "orders").select(F.col("o_custkey").alias("village_id")).distinct().withColumn("linked", F.lit(True))
+    places = v.select("village_id", "block_id").join(linked, "village_id", "left").select(
+        "village_id", "block_id", F.coalesce("linked", F.lit(False)).alias("available"), F.when(F.col("linked").isNull(), "Unlinked").alias("unavailable_reason"))
+    geometry = places.join(f.select("block_id").distinct().select("block_id", F.explode(_dates(f)).alias("valid_date")), "block_id")
+    values = v.select("village_id", "block_id").join(f.where("humidity_pct is not null"), "block_id").select(
+        "village_id", "valid_date", F.round("rainfall_mm", 6).alias("source_rainfall_mm"), F.round(F.col("rainfall_mm") * 0.9, 6).alias("local_rainfall_mm"))
+    return R.map_features(geometry, values, ["village_id", "valid_date"], ["rainfall_mm"]).drop("block_id")
+
+
+def _dates(forecast):
+    """The forecast's dates, one a month, as an array from one aggregate row."""
+    ends = forecast.agg(F.min("valid_date").alias("a"), F.max("valid_date").alias("b")).select(F.struct("a", "b")).scalar()
+    return F.sequence(ends["a"], ends["b"], F.expr("interval 1 month"))
 
 
 @query("agg25_bulletin_table", f"""

@@ -154,6 +154,7 @@ def test_fitted_variograms_against_brute_force(spark):
 def test_kriging_that_does_not_end_is_an_error(spark):
     from rainweave.operators.kriging import kriging_weights
     rng = np.random.default_rng(1)
-    st = spark.createDataFrame([("a", *map(float, rng.uniform(0, 1, 2)), float(rng.normal())) for _ in range(30)], "g string, x double, y double, r double")
+    xy = rng.uniform(0, 1, (30, 2))
+    st = spark.createDataFrame([("a", float(x), float(y), float(3 * np.sin(6 * x) + y)) for x, y in xy], "g string, x double, y double, r double")
     with pytest.raises(RuntimeError):
         kriging_weights(st, "g", "x", "y", "r", direct=10, most_steps=2)
