@@ -152,7 +152,7 @@ def served(spark: SparkSession, path: str) -> DataFrame:
     """
     default = history(activations(spark, path), "run", "seq", "issue").where("is_default").select("run")
     chosen = manifests(spark, path).join(default, "run").select("folder", "run")
-    return spark.read.parquet(f"{path}/{DATA}").join(chosen, "folder").drop("folder")
+    return spark.read.parquet(f"{path}/{DATA}").join(F.broadcast(chosen), "folder").drop("folder")  # one row: there is one default run
 
 
 def history(activations: DataFrame, run: str, seq: str, issue: str, series: list[str] = ()) -> DataFrame:
