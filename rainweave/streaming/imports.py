@@ -1,18 +1,20 @@
-"""Incremental import of newly arrived block tables, idempotent by content."""
+"""Incremental import of newly arrived block tables, idempotent by content, with what was seen kept as stream state."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+import json
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rainweave.functions.text import utf8
-from rainweave.plans.block_import import classify
 from rainweave.sources import block_tables as B
 
 SOURCE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 STATUS_SCHEMA = "file string, sha256 string, block string, issue_date date, values_sha256 string, status string, canonical_file string, " \
-                "reasons array<string>, warnings array<string>, part string, batch string"
+                "reasons array<string>, warnings array<string>"
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
 def arrivals(spark: SparkSession, path: str) -> DataFrame:
@@ -23,6 +25,85 @@ def arrivals(spark: SparkSession, path: str) -> DataFrame:
                       utf8("content").alias("content"), F.sha2("content", 256).alias("sha256"))
 
 
+def _new_contents(files: DataFrame, earlier: DataFrame | None) -> DataFrame:
+    """The first file of each content: one that no batch before had, of a batch the one whose name sorts first."""
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class First(StatefulProcessor):
+        def init(self, handle):
+            self.seen = handle.getValueState("seen", "file string")
+
+        def handleInitialState(self, key, rows, timers):
+            self.seen.update((rows["file"].iloc[0],))
+
+        def handleInputRows(self, key, rows, timers):
+            import pandas as pd
+            if self.seen.exists():
+                return
+            first = None
+            for part in rows:
+                part = part.sort_values("file", kind="stable").head(1)
+                first = part if first is None or part["file"].iloc[0] < first["file"].iloc[0] else first
+            self.seen.update((first["file"].iloc[0],))
+            yield pd.DataFrame({"file": first["file"], "content": first["content"], "sha256": [key[0]]})
+
+        def close(self):
+            pass
+
+    state = None if earlier is None else earlier.select("sha256", "file").groupBy("sha256")
+    return files.groupBy("sha256").transformWithStateInPandas(
+        First(), "file string, content string, sha256 string", "append", "none", initialState=state)
+
+
+def _judged(parsed: DataFrame, earlier: DataFrame | None) -> DataFrame:
+    """parsed with key, values_sha256, status and canonical_file; one file of a key was, or is, accepted.
+
+    The state of a key is the name and the digest of the values of its accepted file.
+    """
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class Verdict(StatefulProcessor):
+        def init(self, handle):
+            self.accepted = handle.getValueState("accepted", "file string, values_sha256 string")
+
+        def handleInitialState(self, key, rows, timers):
+            self.accepted.update((rows["file"].iloc[0], rows["values_sha256"].iloc[0]))
+
+        def handleInputRows(self, key, rows, timers):
+            import pandas as pd
+            told = self.accepted.get() if self.accepted.exists() else None
+            out = []
+            for part in rows:
+                out += list(zip(part["file"], part["sha256"], part["values_sha256"], part["good"], part["row"]))
+            verdicts = []
+            for file, sha, values, good, row in sorted(out, key=lambda r: (r[0], r[1])):
+                if not good:
+                    verdicts.append((file, sha, values, row, "rejected", None))
+                    continue
+                if told is None:
+                    told = (file, values)
+                    self.accepted.update(told)
+                    verdicts.append((file, sha, values, row, "accepted", file))
+                else:
+                    verdicts.append((file, sha, values, row, "duplicate" if values == told[1] else "conflict", told[0]))
+            yield pd.DataFrame(verdicts, columns=["file", "sha256", "values_sha256", "row", "status", "canonical_file"])
+
+        def close(self):
+            pass
+
+    whole = F.struct(*[c for c in parsed.columns])
+    good = F.size("reasons") == 0
+    # rejected files share no key: nothing is decided between them
+    key = F.when(good, F.concat_ws("|", "block", F.col("issue_date").cast("string"))).otherwise(F.concat(F.lit("rejected "), F.col("sha256")))
+    rows = parsed.select(key.alias("key"), "file", "sha256", F.sha2(F.to_json("days"), 256).alias("values_sha256"), good.alias("good"), F.to_json(whole).alias("row"))
+    state = None if earlier is None else earlier.where("status = 'accepted'").select(
+        F.concat_ws("|", "block", F.col("issue_date").cast("string")).alias("key"), "file", "values_sha256").groupBy("key")
+    judged = rows.groupBy("key").transformWithStateInPandas(
+        Verdict(), "file string, sha256 string, values_sha256 string, row string, status string, canonical_file string", "append", "none", initialState=state)
+    kind = parsed.schema.simpleString()
+    return judged.select(F.from_json("row", kind).alias("row"), "values_sha256", "status", "canonical_file").select("row.*", "values_sha256", "status", "canonical_file")
+
+
 def import_stream(files: DataFrame, out: str, checkpoint: str, index: DataFrame | None = None, districts: list[str] = ("Nashik",),
                   block_id: str = "block_id", block_name: str = "block_name") -> StreamingQuery:
     """Validate each batch of a (file, content, sha256) stream like the batch import; write below `out`.
@@ -32,57 +113,61 @@ def import_stream(files: DataFrame, out: str, checkpoint: str, index: DataFrame
     block and issue date were imported with the same values) or conflict (with other values), judged
     against its batch and all earlier ones; `records` holds the accepted days.
 
-    A content hash already imported is skipped, within a batch, across batches and checkpoints and when
-    a batch is replayed after a failure: the folder of a batch is named by its contents and overwritten,
-    so no other batch's records are touched. Files lie in parts by a hash of block and issue date, and
-    a small table of content hashes lies in parts of its own: a batch reads the parts it touches.
+    Which contents were seen and what was accepted for a block and issue date is state of the stream, kept by key in its
+    checkpoint: a batch reads no earlier file. Only a new checkpoint on an output that exists begins by reading its
+    `files`. A batch that is replayed after a failure writes the same folders again, named by the query and the batch.
     """
-    def merge(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        hashes = batch.agg(F.count(F.lit(1)).alias("n"), *[
-            F.sum(F.conv(F.substring("sha256", 1 + 12 * i, 12), 16, 10).cast("decimal(20,0)")).alias(f"p{i}") for i in range(5)])
-        n, *sums = hashes.first()
-        if not n:
-            return
-        name = "b" + "-".join(str(s) for s in (n, *sums))
-        fresh = batch.groupBy("sha256").agg(F.min("file").alias("file")).join(batch, ["sha256", "file"]).dropDuplicates(["sha256"])
-        fresh = fresh.withColumn("part", _part("sha256"))
-        seen = _earlier(spark, f"{out}/seen", name, _parts(fresh), "sha256 string, part string, batch string")
-        fresh = fresh.join(seen.select("sha256", "part"), ["sha256", "part"], "left_anti").drop("part")
-        parsed = B.parse(fresh, districts)
-        if index is not None:
-            parsed = B.resolve_blocks(parsed, index, block_id, block_name).withColumn("block", F.col(block_id).cast("string"))
-        else:
-            parsed = parsed.withColumn("block", B.normal("title_block"))
-        parsed = parsed.withColumn("part", _part("block", F.col("issue_date").cast("string"))).persist(StorageLevel.MEMORY_AND_DISK)
-        known = _earlier(spark, f"{out}/files", name, _parts(parsed), STATUS_SCHEMA).where("status = 'accepted'")
-        rows = classify(parsed, ["part", "block", "issue_date"], known).persist(StorageLevel.MEMORY_AND_DISK)
-        columns = [c.split()[0] for c in STATUS_SCHEMA.split(", ")[:-1]]
-        rows.select(*columns).write.mode("overwrite").partitionBy("part").parquet(f"{out}/files/batch={name}")
-        B.records(rows.where("status = 'accepted'"), *([block_id, block_name] if index is not None else [])).write.mode("overwrite").parquet(
-            f"{out}/records/batch={name}")
-        # Last: only what is written counts as seen.
-        rows.select("sha256", _part("sha256").alias("part")).write.mode("overwrite").partitionBy("part").parquet(f"{out}/seen/batch={name}")
+    spark = files.sparkSession
+    begun = _exists(spark, f"{checkpoint}/commits/0")  # its first batch is complete
+    earlier = spark.read.schema(STATUS_SCHEMA).parquet(f"{out}/files") if not begun and _exists(spark, f"{out}/files") else None
+    parsed = B.parse(_new_contents(files, earlier), districts)
+    if index is not None:
+        parsed = B.resolve_blocks(parsed, index, block_id, block_name).withColumn("block", F.col(block_id).cast("string"))
+    else:
+        parsed = parsed.withColumn("block", B.normal("title_block"))
+    judged = _judged(parsed, earlier)
+    identity = [block_id, block_name] if index is not None else []
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        name = f"{_query_id(batch.sparkSession, checkpoint)}-{epoch:010}"
+        rows = batch.persist()
+        rows.select(*[c.split()[0] for c in STATUS_SCHEMA.split(", ")]).write.mode("overwrite").parquet(f"{out}/files/batch={name}")
+        B.records(rows.where("status = 'accepted'"), *identity).write.mode("overwrite").parquet(f"{out}/records/batch={name}")
         rows.unpersist()
-        parsed.unpersist()
 
-    return (files.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+    with _settings(spark, STATE_STORE):
+        return (judged.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+                .trigger(availableNow=True).outputMode("append").start())
+
+
+@contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]):
+    """A query takes its settings along when it starts; the session gets its own back."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def _part(*columns):
-    """One of 64 parts, as a name no reader takes for a number."""
-    return F.concat(F.lit("p"), F.pmod(F.xxhash64(*columns), F.lit(64)).cast("string"))
+def _path(spark: SparkSession, path: str):
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def _parts(rows: DataFrame) -> list[str]:
-    """The parts that occur: at most 64 names."""
-    return [r.part for r in rows.select("part").distinct().collect()]
+def _exists(spark: SparkSession, path: str) -> bool:
+    target, fs = _path(spark, path)
+    return bool(fs.exists(target))
 
 
-def _earlier(spark: SparkSession, path: str, batch: str, parts: list[str], schema: str) -> DataFrame:
-    """Rows that other batches wrote to these parts."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path).where((F.col("batch") != batch) & F.col("part").isin(parts))
+def _query_id(spark: SparkSession, checkpoint: str) -> str:
+    """The query's id, which its checkpoint keeps over restarts."""
+    target, fs = _path(spark, f"{checkpoint}/metadata")
+    stream = fs.open(target)
+    try:
+        return json.loads(bytes(stream.readAllBytes()).decode())["id"]
+    finally:
+        stream.close()

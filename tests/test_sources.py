@@ -188,3 +188,36 @@ def test_incremental_import_judges_like_the_folder_import(spark, tmp_path):
     # everything again through a third checkpoint adds nothing
     status, days = run("c", **{"Nashik_Igatpuri_2026__09__10": good, "Nashik_Niphad_2026__09__10": niphad + "\n"})
     assert days == 10 and spark.read.parquet(f"{out}/files").count() == 5
+    # a checkpoint that began from an earlier output goes on without it
+    status, days = run("b", **{"Nashik_Niphad_2026__09__10_xx": niphad.replace("38.2", "8.2"), "Nashik_Igatpuri_2026__09__10": good + "\n\n"})
+    rows = spark.read.parquet(f"{out}/files").groupBy("status").count().collect()
+    assert {r.status: r["count"] for r in rows} == {"accepted": 2, "rejected": 1, "duplicate": 2, "conflict": 1} and days == 10
+
+
+def test_a_batch_is_replayed_after_a_failure_and_reads_no_earlier_file(spark, tmp_path, monkeypatch):
+    from rainweave.streaming import imports
+    out, schema = str(tmp_path / "out"), "file string, content string, sha256 string"
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+
+    def run(name, content):
+        if name:
+            rows = [(name, content, __import__("hashlib").sha256(content.encode()).hexdigest())]
+            spark.createDataFrame(rows, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        imports.import_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), out, str(tmp_path / "mark")).awaitTermination()
+
+    run(NAME, text())
+    whole = imports.B.records
+    with monkeypatch.context() as m:
+        m.setattr(imports.B, "records", lambda *a: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(Exception, match="lost"):
+            run("Nashik_Niphad_2026-09-10.csv", text().replace("IGATPURI", "NIPHAD"))
+    assert imports.B.records is whole and spark.conf.get("spark.sql.streaming.stateStore.providerClass") == provider
+    run(None, None)  # the same batch again
+    assert spark.read.parquet(f"{out}/records").count() == 10
+    assert {r.status: r["count"] for r in spark.read.parquet(f"{out}/files").groupBy("status").count().collect()} == {"accepted": 2}
+    before = {str(p) for p in (tmp_path / "out").rglob("*.parquet")}
+    for p in before:
+        open(p, "wb").write(b"no parquet file")
+    run(NAME, text().replace("38.2", "8.2"))
+    new = sorted({str(p.parent) for p in (tmp_path / "out" / "files").rglob("*.parquet")} - {p.rsplit("/", 1)[0] for p in before})
+    assert [tuple(r) for r in spark.read.parquet(*new).select("status", "canonical_file").collect()] == [("conflict", NAME)]
