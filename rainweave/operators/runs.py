@@ -178,7 +178,8 @@ def geojson_features(df: DataFrame, geometry: str, properties: list[str]) -> Dat
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("errorifexists").option("header", True).csv(path)
+    """Rows with a header, quotes doubled; NULL is nothing, an empty text is quoted. A folder that exists is an error."""
+    df.write.mode("errorifexists").option("header", True).option("escape", '"').csv(path)
 
 
 def map_features(geometry: DataFrame, forecast: DataFrame, key: list[str], fields: list[str],

@@ -133,3 +133,41 @@ def leave_one_group_out_mean(df: DataFrame, group: str, value: str) -> DataFrame
     left = F.col("__tn") - F.col("__n")
     return out.select(group, F.when(left > 0, (F.col("__ts") - F.col("__s")) / left).alias("prediction"),
                       F.col("__n").alias("n"))
+
+
+SPELL_DAYS = 64
+
+
+def dry_spells(df: DataFrame, keys: list[str], date: str, rain: str, below: float = 1.0, out: str = "dry_days", chunk: int = SPELL_DAYS) -> DataFrame:
+    """df with the number of days in a row, up to and with the row's own, whose rain is under `below`.
+
+    A wet day has 0, a missing value or date ends the spell. Keys with repeated dates are not allowed. No task holds a
+    series: days lie in chunks of the calendar, a chunk tells its length, whether it is dry throughout, and the spell at its
+    end, and what a spell brings along comes from these summaries.
+    """
+    day = F.datediff(F.col(date), F.lit("1970-01-01").cast("date"))
+    rows = df.withColumns({"__day": day, "__chunk": F.floor(day / chunk)})
+    inside = Window.partitionBy(*keys, "__chunk").orderBy("__day")
+    before = F.coalesce(F.lag("__day").over(inside), F.col("__chunk") * chunk - 1)
+    dry = F.coalesce(F.col(rain) < below, F.lit(False))
+    # the last day before the spell: this one, if it is not dry, or a missing one just before
+    ends = F.when(~dry, F.col("__day")).when(F.col("__day") - before > 1, F.col("__day") - 1)
+    rows = rows.withColumn("__end", ends)
+    rows = rows.withColumn("__from", F.max("__end").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+
+    last = (F.col("__chunk") + 1) * chunk - 1
+    sums = df.withColumns({"__day": day, "__chunk": F.floor(day / chunk)}).groupBy(*keys, "__chunk").agg(
+        F.max("__day").alias("__to"), F.max(F.when(~dry, F.col("__day"))).alias("__wet"), F.collect_set("__day").alias("__days"))  # at most `chunk` numbers
+    gap = F.array_max(F.filter(F.sequence((F.col("__chunk") * chunk).cast("int"), F.col("__to")), lambda d: ~F.array_contains("__days", d)))
+    sums = sums.select(*keys, "__chunk", F.when(F.col("__to") < last, 0).otherwise(last - F.greatest("__wet", gap)).alias("__tail"))
+    along = Window.partitionBy(*keys).orderBy("__chunk")
+    alone = F.coalesce(F.lag("__chunk").over(along) != F.col("__chunk") - 1, F.lit(True))
+    start = F.struct((F.col("__chunk") - 1).alias("c"), F.lit(0).cast("long").alias("v"))
+    closed = F.when(F.col("__tail").isNotNull(), F.struct(F.col("__chunk").alias("c"), F.col("__tail").cast("long").alias("v")))
+    sums = sums.withColumns({"__begun": F.when(alone, start), "__closed": closed})
+    reset = F.greatest(F.max("__begun").over(along.rowsBetween(Window.unboundedPreceding, 0)),
+                       F.max("__closed").over(along.rowsBetween(Window.unboundedPreceding, -1)))
+    sums = sums.withColumn("__reset", reset).select(*keys, "__chunk", ((F.col("__chunk") - 1 - F.col("__reset.c")) * chunk + F.col("__reset.v")).alias("__carry"))
+    rows = attach(rows, sums, [*keys, "__chunk"])
+    spell = F.when(F.col("__from").isNotNull(), F.col("__day") - F.col("__from")).otherwise(F.col("__day") - F.col("__chunk") * chunk + 1 + F.col("__carry"))
+    return rows.withColumn(out, spell.cast("long")).drop("__day", "__chunk", "__end", "__from", "__carry")

@@ -7,8 +7,8 @@ from pyspark.sql.types import StructType
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Header CSV in UTF-8, with or without a byte order mark."""
-    return spark.read.schema(schema).option("header", True).option("encoding", "UTF-8").option("enforceSchema", True).csv(path)
+    """Header CSV in UTF-8, with or without a byte order mark; quotes inside quotes are doubled."""
+    return spark.read.schema(schema).option("header", True).option("escape", '"').option("encoding", "UTF-8").option("enforceSchema", True).csv(path)
 
 
 def read_json(spark: SparkSession, path: str, schema: StructType | str, multiline: bool = True) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from rainweave.operators import covariates as K, rules as R
 from rainweave.operators.advisory_texts import TEXTS
+from rainweave.operators.series import dry_spells
 from rainweave.workloads import inputs as I
 from rainweave.workloads.allocation import villages
 from rainweave.workloads.registry import query, spark_view, table
@@ -123,6 +124,30 @@ def rul9(spark, sf):
     return cropped(spark, sf).select("o_orderkey", F.explode(found).alias("hazard"))
 
 
+# A supplier's daily series: the quantity shipped is its rain, days without shipments are dry, days with an untaxed item not measured.
+DAILY = """
+d AS (SELECT l_suppkey AS cell, CAST(l_shipdate AS DATE) AS day, sum(l_quantity) AS q, min(l_tax) AS tax FROM {lineitem} GROUP BY 1, 2),
+e AS (SELECT cell, min(day) AS a, max(day) AS b FROM d GROUP BY cell)"""
+
+
+@query("rul9_dry_spell_hazards", f"""WITH {DAILY},
+s AS (SELECT cell, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day FROM e),
+w AS (SELECT s.cell, s.day, CASE WHEN d.cell IS NULL THEN 0e0 WHEN tax > 0 THEN q END AS rain FROM s LEFT JOIN d ON d.cell = s.cell AND d.day = s.day),
+r AS (SELECT *, max(CASE WHEN coalesce(rain, 9) >= 1 THEN day END) OVER (PARTITION BY cell ORDER BY day) AS wet, min(day) OVER (PARTITION BY cell) - 1 AS before FROM w)
+SELECT cell, day, CAST(datediff('day', coalesce(wet, before), day) AS BIGINT) AS dry_days FROM r
+WHERE datediff('day', coalesce(wet, before), day) >= 5 AND 26 + month(day) % 7 >= 30""")
+def rul9_dry_spells(spark, sf):
+    """Onion thrips: dry for five days or more, and hot."""
+    d = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("cell"), F.col("l_shipdate").cast("date").alias("day")).agg(
+        F.sum("l_quantity").alias("q"), F.min("l_tax").alias("tax"), F.lit(True).alias("there"))
+    ends = d.groupBy("cell").agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    days = ends.select("cell", F.explode(F.sequence("a", "b")).alias("day")).join(d, ["cell", "day"], "left")
+    days = days.withColumn("rain", F.when(F.col("there").isNull(), 0.0).when(F.col("tax") > 0, F.col("q")))
+    days = dry_spells(days, ["cell"], "day", "rain").withColumns({"temp": 26 + F.month("day") % 7, "crop": F.lit("Onion")})
+    found = R.hazards("crop", {"dry_days": "dry_days", "temp": "temp"})
+    return days.where(F.array_contains(found, "thrips_infestation")).select("cell", "day", "dry_days")
+
+
 @query("dt3_valid_until", """
 SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + 5 AS DATE) AS valid_until, CAST(month(o_orderdate) AS INTEGER) AS "month" FROM {orders}""")
 def dt3(spark, sf):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rainweave.operators import geography as G, runs as R
 from rainweave.plans import routes, served_run as SR
 from rainweave.session import checkpoint_dir
+from rainweave.sources import files
 from rainweave.workloads import inputs as I
 from rainweave.workloads.allocation import block_forecast, district_forecast, villages
 from rainweave.workloads.registry import query, spark_view, table
@@ -75,6 +76,18 @@ def snk3(spark, sf):
     return R.geojson_features(villages(spark, sf).withColumn("g", point), "g", ["village_id", "block_id"])
 
 
+@query("snk3_csv_export", "SELECT split, count(*) AS n, CAST(sum(quantity) AS DOUBLE) AS y, min(comment) AS comment FROM ("
+       + "SELECT l_returnflag AS split, l_quantity AS quantity, 'a, \"b\" ' || l_linestatus AS comment FROM {lineitem}) GROUP BY split")
+def snk3_csv(spark, sf):
+    """Rows through the CSV sink and back, quotes and commas in the text."""
+    path = f"{checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    rows = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("split"), F.col("l_quantity").alias("y"),
+                                               F.concat(F.lit('a, "b" '), "l_linestatus").alias("comment"))
+    R.write_csv(rows, path)
+    back = files.read_csv(spark, path, rows.schema)
+    return back.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("y").cast("double").alias("y"), F.min("comment").alias("comment"))
+
+
 @query("prj2_map_rows", f"""
 WITH b AS (SELECT * FROM ({I.BLOCK_FORECAST}) WHERE humidity_pct IS NOT NULL),
 d AS (SELECT DISTINCT valid_date FROM ({I.BLOCK_FORECAST})),

@@ -80,3 +80,26 @@ def test_gap_is_refused_and_gives_null(spark):
     f = W.lag_features(gap, ["grid_id"], "date", "rain_mm", LEAD, LAG)
     row = f.where(f"grid_id = 0 AND date = DATE'{START + dt.timedelta(25)}'").first()
     assert row.rain_last is None and row.mean3 is None and row.rain_previous is not None
+
+
+@pytest.mark.parametrize("chunk", [3, 7, 64])
+def test_dry_spells_against_brute_force(spark, chunk):
+    import random
+    rng = random.Random(chunk)
+    rows, want = [], {}
+    for cell in ("a", "b", "c", "empty", None):
+        run, last = 0, None
+        for k in range(160):
+            if cell == "empty" or rng.random() < (0.03 if cell != "c" else 0.4):
+                continue  # a missing date
+            x = rng.choice([None, 5.0, 1.0]) if rng.random() < 0.06 and cell != "b" else rng.choice([0.0, 0.99])
+            day = dt.date(2023, 11, 1) + dt.timedelta(days=k)
+            dry = x is not None and x < 1
+            run = 0 if not dry else run + 1 if last == k - 1 else 1
+            last = k
+            rows.append((cell, day, x, 1))
+            want[cell, day] = run
+    df = spark.createDataFrame(rows, "cell string, day date, rain double, dry int")
+    got = {(r.cell, r.day): r.dry_days for r in W.dry_spells(df, ["cell"], "day", "rain", chunk=chunk).collect()}
+    assert got == want and max(want.values()) > 20
+    assert W.dry_spells(df.where("dry = 0"), ["cell"], "day", "rain").count() == 0
