@@ -295,7 +295,7 @@ def encode_texts(docs: DataFrame, model: bytes, text: str = "text", keep: tuple[
     def run(batches):
         codec = Codec(shared.value)
         for batch in batches:
-            for part in slices(batches=[batch], most=16 << 20):
+            for part in slices([batch]):
                 texts = part.column("text").to_pylist()
                 ids = codec.encode(texts)
                 same = [None if t is None else codec.decode(i.tolist()) == t for t, i in zip(texts, ids)]
