@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rainweave.llm import decontaminate, language_id, line_dedup, ngram_join, sentencepiece_codec
+from rainweave.llm.packing import small_batches
 from rainweave.llm.queries import held_out, piece_model
 from rainweave.session import cut_lineage
 
@@ -41,7 +42,8 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, token_ids, round_trip."""
-    rows = sentencepiece_codec.encode_texts(docs, piece_model())
+    with small_batches(spark):
+        rows = cut_lineage(sentencepiece_codec.encode_texts(docs, piece_model()))
     return rows.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", "round_trip")
 
 
