@@ -22,8 +22,8 @@ VALUES = {"rainfall_mm": "(k * (i + 3) % 400) / 10e0", "temp_max_c": "30 + (k +
           "cloud_cover_oktas": "(k + i) % 9", "relative_humidity_max_pct": "80 + (k + i) % 20",
           "relative_humidity_min_pct": "30 + (k * 7 + i) % 40", "wind_speed_kmph": "(k * 11 + i) % 30",
           "wind_direction_deg": "(k * 17 + i * 40) % 360"}
-ISSUES = {7: "Negative rainfall or wind speed", 8: "Missing required row: wind_direction_deg",
-          9: "Missing, duplicate or unordered dates", 10: "Filename/title block disagreement", 11: "Unsupported filename"}
+ISSUES = {7: "Negative rainfall or wind speed", 8: "No row of wind_direction_deg",
+          9: "Days missing, repeated or out of order", 10: "File name and title give different blocks", 11: "File name of another form"}
 
 
 def block_files(spark, sf):
@@ -78,13 +78,13 @@ def src3(spark, sf):
 WITH t AS ({TABLES}) SELECT k, CASE kind {' '.join(f"WHEN {k} THEN '{m}'" for k, m in ISSUES.items() if k in (8, 9, 11))} END AS message FROM t WHERE kind IN (8, 9, 11)""")
 def flt2(spark, sf):
     rows = B.parse(block_files(spark, sf))
-    structural = F.filter("reasons", lambda r: F.rlike(r, F.lit("^(Missing|Duplicate|Expected|Unsupported|Filename)")))
+    structural = F.filter("reasons", lambda r: F.rlike(r, F.lit("^(No row|Repeated|Date row|Days|Not exactly|File name)")))
     return rows.select("k", F.try_element_at(structural, F.lit(1)).alias("message")).where("message IS NOT NULL")
 
 
 @query("flt3_soft_warnings", f"""
 WITH t AS ({TABLES}), w AS (SELECT unnest(['rainfall_mm', 'temp_max_c', 'temp_min_c', 'relative_humidity_max_pct', 'relative_humidity_min_pct', 'wind_speed_kmph']) AS v)
-SELECT k, v || ': summary not numeric' AS message FROM t CROSS JOIN w WHERE kind = 0""")
+SELECT k, v || ': summary is no number' AS message FROM t CROSS JOIN w WHERE kind = 0""")
 def flt3(spark, sf):
     rows = parsed_files(spark, sf).where(F.size("reasons") == 0)
     return rows.select("k", F.explode("warnings").alias("message"))
