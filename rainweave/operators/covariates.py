@@ -14,56 +14,87 @@ from rainweave.operators.spatial import min_distance_km
 LULC = ("tree", "shrub", "grass", "crop", "urban", "water", "bare")
 
 
-class Term(NamedTuple):
-    """coefficient * (variable - reference), not below zero where `floored`."""
+class Rise(NamedTuple):
+    """Metres per degree on the way from one value of a coordinate towards higher or lower ones; not below zero where floored."""
 
-    coefficient: float
-    variable: str
-    reference: float
+    metres: float
+    of: str
+    start: float
+    towards: str
     floored: bool = False
 
 
 class Band(NamedTuple):
-    """Terrain west of `below` (None: everywhere else)."""
+    """Terrain west of a longitude (None: everywhere else)."""
 
-    below: float | None
+    west_of: float | None
     base: float
-    terms: tuple[Term, ...]
+    rises: tuple[Rise, ...]
     slope: float
 
 
+class Sampled(NamedTuple):
+    """How a sampled height gives spread, slope and aspect, and which heights count."""
+
+    least_std: float
+    std_share: float
+    steep_west_of: float
+    steep_above: float
+    steep_slope: float
+    flat_slope: float
+    aspect_per_degree: float
+    height_over: float
+    height_under: float
+
+
+class Anomaly(NamedTuple):
+    """Rain bias: a bell over a crest or a ramp west of a longitude, and a shadow that grows towards the east."""
+
+    west_of: float
+    west_mm: float
+    crest: float | None          # of the bell; None for a ramp
+    width: float                 # of the bell, or steepness of the ramp
+    shadow_mm: float
+    shadow_from: float
+    shadow_per_degree: float
+
+
 class Region(NamedTuple):
     bands: tuple[Band, ...]
     least_std: float
-    land_cover: list[tuple[list[float], list[str]]]
-    other_cover: list[float]
-    sampled: tuple[float, float, float, float, float, float, float]
-    limits: tuple[float, float]
+    land_cover: list[tuple[dict[str, float], list[str]]]
+    other_cover: dict[str, float]
+    sampled: Sampled
+    anomaly: Anomaly
 
 
-# Terrain bands by longitude, land cover shares by block-name fragment, sampled-terrain
-# constants (least std, std share, steep west of, steep above, steep slope, flat slope, aspect turn).
+# Fixed values of the first region: terrain by longitude, land cover in percent by part of the block's name, rain bias.
 STATE = Region(
-    bands=(Band(73.1, 15.0, (Term(80.0, "lon", 72.6, True),), 1.8),
-           Band(73.8, 580.0, (Term(45.0, "lat", 18.0, True), Term(-600.0, "lon", 73.8)), 14.5),
-           Band(75.0, 560.0, (Term(-120.0, "lon", 73.8),), 3.2),
-           Band(None, 320.0, (Term(-20.0, "lon", 75.0),), 1.5)),
+    bands=(Band(west_of=73.1, base=15.0, rises=(Rise(80.0, "lon", 72.6, "up", floored=True),), slope=1.8),
+           Band(west_of=73.8, base=580.0, rises=(Rise(45.0, "lat", 18.0, "up", floored=True), Rise(600.0, "lon", 73.8, "down")), slope=14.5),
+           Band(west_of=75.0, base=560.0, rises=(Rise(-120.0, "lon", 73.8, "up"),), slope=3.2),
+           Band(west_of=None, base=320.0, rises=(Rise(-20.0, "lon", 75.0, "up"),), slope=1.5)),
     least_std=0.0,
-    land_cover=[([52.0, 18.0, 8.0, 16.0, 2.0, 4.0, 0.0], ["igatpuri", "trimbak", "peint", "peth", "surgana"]),
-                ([8.0, 6.0, 4.0, 72.0, 6.0, 4.0, 0.0], ["niphad", "dindori", "nashik"]),
-                ([4.0, 22.0, 14.0, 52.0, 3.0, 1.0, 4.0], ["malegaon", "yeola", "nandgaon", "deola", "chandvad"])],
-    other_cover=[12.0, 14.0, 10.0, 58.0, 4.0, 2.0, 0.0],
-    sampled=(5.0, 0.08, 73.8, 500.0, 12.0, 2.5, 37.0), limits=(-500.0, 9000.0))
+    land_cover=[({"tree": 52.0, "shrub": 18.0, "grass": 8.0, "crop": 16.0, "urban": 2.0, "water": 4.0, "bare": 0.0}, ["igatpuri", "trimbak", "peint", "peth", "surgana"]),
+                ({"tree": 8.0, "shrub": 6.0, "grass": 4.0, "crop": 72.0, "urban": 6.0, "water": 4.0, "bare": 0.0}, ["niphad", "dindori", "nashik"]),
+                ({"tree": 4.0, "shrub": 22.0, "grass": 14.0, "crop": 52.0, "urban": 3.0, "water": 1.0, "bare": 4.0}, ["malegaon", "yeola", "nandgaon", "deola", "chandvad"])],
+    other_cover={"tree": 12.0, "shrub": 14.0, "grass": 10.0, "crop": 58.0, "urban": 4.0, "water": 2.0, "bare": 0.0},
+    sampled=Sampled(least_std=5.0, std_share=0.08, steep_west_of=73.8, steep_above=500.0, steep_slope=12.0, flat_slope=2.5, aspect_per_degree=37.0,
+                    height_over=-500.0, height_under=9000.0),
+    anomaly=Anomaly(west_of=73.65, west_mm=45.0, crest=73.5, width=0.05, shadow_mm=-15.0, shadow_from=73.8, shadow_per_degree=1.5))
+# Fixed values of the second region.
 SECOND = Region(
-    bands=(Band(73.65, 650.0, (Term(-800.0, "lon", 73.65),), 15.0),
-           Band(74.0, 560.0, (Term(-80.0, "lon", 73.65),), 4.0),
-           Band(None, 530.0, (Term(-60.0, "lon", 74.0),), 2.0)),
+    bands=(Band(west_of=73.65, base=650.0, rises=(Rise(800.0, "lon", 73.65, "down"),), slope=15.0),
+           Band(west_of=74.0, base=560.0, rises=(Rise(-80.0, "lon", 73.65, "up"),), slope=4.0),
+           Band(west_of=None, base=530.0, rises=(Rise(-60.0, "lon", 74.0, "up"),), slope=2.0)),
     least_std=5.0,
-    land_cover=[([48.0, 18.0, 8.0, 18.0, 3.0, 5.0, 0.0], ["mawal", "mulshi", "velhe", "bhor"]),
-                ([6.0, 10.0, 6.0, 70.0, 4.0, 4.0, 0.0], ["baramati", "indapur", "daund", "shirur"]),
-                ([10.0, 12.0, 6.0, 64.0, 5.0, 3.0, 0.0], ["junnar", "ambegaon", "khed", "purandar"])],
-    other_cover=[12.0, 14.0, 8.0, 48.0, 14.0, 4.0, 0.0],
-    sampled=(4.0, 0.08, 73.7, 550.0, 14.0, 3.0, 37.0), limits=(0.0, 4000.0))
+    land_cover=[({"tree": 48.0, "shrub": 18.0, "grass": 8.0, "crop": 18.0, "urban": 3.0, "water": 5.0, "bare": 0.0}, ["mawal", "mulshi", "velhe", "bhor"]),
+                ({"tree": 6.0, "shrub": 10.0, "grass": 6.0, "crop": 70.0, "urban": 4.0, "water": 4.0, "bare": 0.0}, ["baramati", "indapur", "daund", "shirur"]),
+                ({"tree": 10.0, "shrub": 12.0, "grass": 6.0, "crop": 64.0, "urban": 5.0, "water": 3.0, "bare": 0.0}, ["junnar", "ambegaon", "khed", "purandar"])],
+    other_cover={"tree": 12.0, "shrub": 14.0, "grass": 8.0, "crop": 48.0, "urban": 14.0, "water": 4.0, "bare": 0.0},
+    sampled=Sampled(least_std=4.0, std_share=0.08, steep_west_of=73.7, steep_above=550.0, steep_slope=14.0, flat_slope=3.0, aspect_per_degree=37.0,
+                    height_over=0.0, height_under=4000.0),
+    anomaly=Anomaly(west_of=73.7, west_mm=38.0, crest=None, width=2.5, shadow_mm=-12.0, shadow_from=73.7, shadow_per_degree=1.5))
 
 # Coast and river reference points as (lon, lat).
 COAST = [(72.82, 18.90), (72.73, 19.97), (72.87, 18.64), (73.09, 17.81),
@@ -76,15 +107,15 @@ RIVERS = [(73.53, 19.94), (73.79, 19.99), (74.11, 20.08), (74.50, 20.00), (75.30
 def _banded(region: Region, value) -> Column:
     out = None
     for band in reversed(region.bands):
-        out = value(band) if out is None else F.when(F.col("lon") < band.below, value(band)).otherwise(out)
+        out = value(band) if out is None else F.when(F.col("lon") < band.west_of, value(band)).otherwise(out)
     return out
 
 
 def _height(band: Band) -> Column:
     h = F.lit(band.base)
-    for t in band.terms:
-        step = t.coefficient * (F.col(t.variable) - t.reference)
-        h = h + (F.greatest(F.lit(0.0), step) if t.floored else step)
+    for r in band.rises:
+        way = F.col(r.of) - r.start if r.towards == "up" else r.start - F.col(r.of)
+        h = h + (F.greatest(F.lit(0.0), r.metres * way) if r.floored else r.metres * way)
     return h
 
 
@@ -95,13 +126,12 @@ def topography(region: Region = STATE, sampled: str | None = None) -> dict[str,
     slope, turn = _banded(region, lambda b: F.lit(b.slope)), F.lit(42.0)
     height, low_at = proxy, F.lit(1.2)
     if sampled:
-        least, share, west, above, steep, flat, aspect = region.sampled
-        s = F.col(sampled)
-        ok = F.coalesce((s > region.limits[0]) & (s < region.limits[1]), F.lit(False))
+        by, s = region.sampled, F.col(sampled)
+        ok = F.coalesce((s > by.height_over) & (s < by.height_under), F.lit(False))
         height = F.when(ok, s).otherwise(proxy)
-        std = F.when(ok, F.greatest(F.lit(least), half_even(s * share, 1))).otherwise(std)
-        slope = F.when(ok, F.when((F.col("lon") < west) & (s > above), steep).otherwise(flat)).otherwise(slope)
-        turn = F.when(ok, aspect).otherwise(turn)
+        std = F.when(ok, F.greatest(F.lit(by.least_std), half_even(s * by.std_share, 1))).otherwise(std)
+        slope = F.when(ok, F.when((F.col("lon") < by.steep_west_of) & (s > by.steep_above), by.steep_slope).otherwise(by.flat_slope)).otherwise(slope)
+        turn = F.when(ok, by.aspect_per_degree).otherwise(turn)
         low_at = F.when(ok, 1.5).otherwise(low_at)
     return {"elevation_mean": half_even(height, 1), "elevation_std": std,
             "elevation_min": half_even(F.greatest(F.lit(0.0), height - std * low_at), 1),
@@ -110,18 +140,16 @@ def topography(region: Region = STATE, sampled: str | None = None) -> dict[str,
 
 
 def land_cover(block, region: Region = STATE) -> dict[str, Column]:
-    return {f"lulc_{name}_pct": first_match(block, [(shares[i], keys) for shares, keys in region.land_cover],
-                                            region.other_cover[i]) for i, name in enumerate(LULC)}
+    return {f"lulc_{name}_pct": first_match(block, [(shares[name], keys) for shares, keys in region.land_cover],
+                                            region.other_cover[name]) for name in LULC}
 
 
 def rain_anomaly(region: Region = STATE) -> Column:
-    """Crest-shaped anomaly in the west, rain shadow in the east."""
-    lon = F.col("lon")
-    if region is SECOND:
-        return F.when(lon < 73.7, half_even(38.0 * (73.7 - lon) * 2.5, 1)).otherwise(
-            half_even(-12.0 * F.least(F.lit(1.0), (lon - 73.7) * 1.5), 1))
-    return F.when(lon < 73.65, half_even(45.0 * F.exp(-F.pow(lon - 73.5, F.lit(2)) / 0.05), 1)).otherwise(
-        half_even(-15.0 * F.least(F.lit(1.0), (lon - 73.8) * 1.5), 1))
+    """Wet in the west, a rain shadow in the east."""
+    a, lon = region.anomaly, F.col("lon")
+    west = a.west_mm * (a.west_of - lon) * a.width if a.crest is None else a.west_mm * F.exp(-F.pow(lon - a.crest, F.lit(2)) / a.width)
+    shadow = a.shadow_mm * F.least(F.lit(1.0), (lon - a.shadow_from) * a.shadow_per_degree)
+    return F.when(lon < a.west_of, half_even(west, 1)).otherwise(half_even(shadow, 1))
 
 
 def topographic_variability(std="elevation_std", slope="slope_mean") -> Column:

@@ -39,7 +39,7 @@ def weather_rules(rain="rainfall_mm", wind="wind_speed_kmph", cloud="cloud_cover
     c = get
     present = reduce(lambda a, b: a & b, [finite(c(x)) for x in (rain, wind, cloud, direction, rh_min, rh_max, t_min, t_max)])
     return {
-        "Non-numeric or non-finite values": ~present,
+        "Values that are no numbers": ~present,
         "Negative rainfall or wind speed": (c(rain) < 0) | (c(wind) < 0),
         "Cloud cover or wind direction out of range": ~(c(cloud).between(0, 8) & c(direction).between(0, 360)),
         "Humidity out of range or min above max": ~((c(rh_min) >= 0) & (c(rh_min) <= c(rh_max)) & (c(rh_max) <= 100)),
@@ -58,8 +58,8 @@ def weather_warnings(issue="issue_date", valid="valid_date", rain="rainfall_mm",
 
 def range_rules(ranges: dict[str, tuple[float, float]], ordered: list[tuple[str, str]] = ()) -> dict[str, Column]:
     """Optional values: a present value outside its range, or an inverted pair, breaks the rule."""
-    out = {f"Out-of-range forecast row: {k}": F.coalesce(~F.col(k).between(a, b), F.lit(False)) for k, (a, b) in ranges.items()}
-    out.update({f"Inverted forecast range: {a}/{b}": F.coalesce(F.col(a) > F.col(b), F.lit(False)) for a, b in ordered})
+    out = {f"Value out of range: {k}": F.coalesce(~F.col(k).between(a, b), F.lit(False)) for k, (a, b) in ranges.items()}
+    out.update({f"Lowest value over the highest: {a}, {b}": F.coalesce(F.col(a) > F.col(b), F.lit(False)) for a, b in ordered})
     return out
 
 

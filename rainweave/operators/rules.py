@@ -34,6 +34,7 @@ STAGES = {
     "Tomato": [("Transplanting_Vegetative", [6, 7, 10, 11]), ("Flowering_Fruit_Set", [7, 8, 11, 12]),
                ("Harvesting", [8, 9, 1, 2, 3])],
 }
+# Crop names as they are shown.
 MARATHI_CROP = {"Grape": "द्राक्ष (Grape)", "Onion": "कांदा (Onion / Kanda)", "Bajra": "बाजरी (Pearl Millet / Bajra)",
                 "Sugarcane": "ऊस (Sugarcane / Us)", "Soybean": "सोयाबीन (Soybean)", "Tomato": "टोमॅटो (Tomato)"}
 
@@ -54,6 +55,7 @@ HAZARDS = [
     ("Soybean", "spodoptera_litura", {"temp": (25.0, 35.0)}),
     ("Tomato", "early_blight", {"rh": (80.0, None), "temp": (20.0, 30.0), "rain": (10.0, None)}),
 ]
+# Alert levels as they are shown.
 ALERT_MARATHI = {"NORMAL": "सर्वसाधारण (NORMAL)", "WARNING": "दक्षता इशारा (ORANGE WARNING - HEAVY RAIN)",
                  "ADVISORY": "सल्ला (YELLOW ADVISORY)"}
 
@@ -171,6 +173,7 @@ def bulletins(df: DataFrame, forecast_date: str) -> DataFrame:
                  F.col("high").alias("ci_upper_80"), F.col("tmax").alias("temp_max_c"), F.col("tmin").alias("temp_min_c"),
                  F.col("rh").alias("rh_pct"), F.col("confidence").alias("confidence_level"),
                  F.col("factor").alias("dominant_factor")).alias("downscaled_weather"),
+        # The sentences of a bulletin.
         F.concat(F.lit("Expected 24-hr Rainfall: "), fixed("rain"), F.lit(" mm (Confidence Band 80%: "), fixed("low"), F.lit(" - "),
                  fixed("high"), F.lit(" mm). This estimate is "), anomaly_phrase("rain", "parent"), F.lit(", driven primarily by "),
                  F.col("factor"), F.lit(". Max Temp: "), fixed("tmax"), F.lit("°C, Min Temp: "), fixed("tmin"),

@@ -9,6 +9,7 @@ from rainweave.operators import models as M, selection as S, verification as V
 from rainweave.operators.distributed import attach
 from rainweave.session import cut_lineage
 
+# Probabilities tried as alert thresholds.
 THRESHOLDS = [0.05, 0.075, 0.1, 0.125, 0.15, 0.175, 0.2, 0.225, 0.25, 0.275, 0.3, 0.325, 0.35, 0.375, 0.4,
               0.45, 0.5, 0.6, 0.7, 0.8]
 

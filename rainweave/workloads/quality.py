@@ -15,7 +15,7 @@ SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 7 = 0 AND l_tax < 0.02
  CAST(l_partkey % 400 AS DOUBLE) AS wind_direction_deg, CAST(l_shipdate AS DATE) AS valid_date,
  CAST(l_shipdate AS DATE) AS issue_date FROM {lineitem}
 """
-REASONS = """concat_ws('; ', CASE WHEN wind_speed_kmph IS NULL THEN 'Non-numeric or non-finite values' END,
+REASONS = """concat_ws('; ', CASE WHEN wind_speed_kmph IS NULL THEN 'Values that are no numbers' END,
  CASE WHEN rainfall_mm < 0 OR coalesce(wind_speed_kmph, -1) < 0 THEN 'Negative rainfall or wind speed' END,
  CASE WHEN NOT (cloud_cover_oktas BETWEEN 0 AND 8 AND wind_direction_deg BETWEEN 0 AND 360) THEN 'Cloud cover or wind direction out of range' END,
  CASE WHEN NOT (relative_humidity_min_pct >= 0 AND relative_humidity_min_pct <= relative_humidity_max_pct AND relative_humidity_max_pct <= 100) THEN 'Humidity out of range or min above max' END,
@@ -32,8 +32,8 @@ def flt1(spark, sf):
 
 
 @query("flt7_optional_ranges", f"""
-SELECT l_orderkey, l_linenumber, concat_ws('; ', CASE WHEN wind_speed_kmph NOT BETWEEN 0 AND 8 THEN 'Out-of-range forecast row: wind_speed_kmph' END,
- CASE WHEN temp_min_c > temp_max_c THEN 'Inverted forecast range: temp_min_c/temp_max_c' END) AS why FROM ({WEATHER})
+SELECT l_orderkey, l_linenumber, concat_ws('; ', CASE WHEN wind_speed_kmph NOT BETWEEN 0 AND 8 THEN 'Value out of range: wind_speed_kmph' END,
+ CASE WHEN temp_min_c > temp_max_c THEN 'Lowest value over the highest: temp_min_c, temp_max_c' END) AS why FROM ({WEATHER})
 WHERE wind_speed_kmph NOT BETWEEN 0 AND 8 OR temp_min_c > temp_max_c""")
 def flt7(spark, sf):
     rules = Q.range_rules({"wind_speed_kmph": (0, 8)}, [("temp_min_c", "temp_max_c")])

@@ -155,13 +155,13 @@ def dt3(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", R.valid_until(day).alias("valid_until"), F.month(day).alias("month"))
 
 
-def _cover(region, i):
-    arms = " ".join("WHEN " + " OR ".join(f"contains(lower(block), '{k}')" for k in keys) + f" THEN {shares[i]}e0" for shares, keys in region.land_cover)
-    return f"CASE {arms} ELSE {region.other_cover[i]}e0 END"
+def _cover(region, name):
+    arms = " ".join("WHEN " + " OR ".join(f"contains(lower(block), '{k}')" for k in keys) + f" THEN {shares[name]}e0" for shares, keys in region.land_cover)
+    return f"CASE {arms} ELSE {region.other_cover[name]}e0 END"
 
 
 @query("str3_first_matching_group", f"""
-SELECT c_custkey, {_cover(K.STATE, 3)} AS crop_pct, {_cover(K.STATE, 0)} AS tree_pct FROM (SELECT c_custkey, {BLOCKS} AS block FROM {{customer}})""")
+SELECT c_custkey, {_cover(K.STATE, "crop")} AS crop_pct, {_cover(K.STATE, "tree")} AS tree_pct FROM (SELECT c_custkey, {BLOCKS} AS block FROM {{customer}})""")
 def str3(spark, sf):
     rows = spark_view(spark, sf, f"SELECT c_custkey, {BLOCKS} AS block FROM {{customer}}")
     cover = K.land_cover("block")
@@ -201,7 +201,7 @@ def mth6(spark, sf):
 COV_SQL = f"""
 c AS (SELECT village_id, block, 'MH_' || block_id || '_' || village_id AS panchayat_id, {distance_sql(K.COAST)} AS dist_to_coast_km, {distance_sql(K.RIVERS)} AS dist_to_water_km,
  {ANOMALY_SQL} AS historical_rain_bias, round_even({TOPO_SQL}, 1) AS elevation_mean, round_even(({TOPO_SQL}) * 0.07e0, 1) AS elevation_std, {SLOPE_SQL} AS slope_mean,
- {_cover(K.STATE, 3)} AS lulc_crop_pct FROM ({SITES}))"""
+ {_cover(K.STATE, "crop")} AS lulc_crop_pct FROM ({SITES}))"""
 COV_COLUMNS = ["village_id", "panchayat_id", "dist_to_coast_km", "dist_to_water_km", "historical_rain_bias", "elevation_mean",
                "elevation_std", "slope_mean", "lulc_crop_pct"]
 
@@ -219,7 +219,7 @@ def cov1(spark, sf):
 WITH h AS (SELECT *, CASE WHEN lon < 73.65 THEN 650e0 + (73.65e0 - lon) * 800 WHEN lon < 74 THEN 560e0 - (lon - 73.65e0) * 80 ELSE 530e0 - (lon - 74) * 60 END AS h FROM ({SITES}))
 SELECT village_id, round_even(h, 1) AS elevation_mean, greatest(5e0, round_even(h * 0.07e0, 1)) AS elevation_std,
  CASE WHEN lon < 73.65 THEN 15e0 WHEN lon < 74 THEN 4e0 ELSE 2e0 END AS slope_mean, CASE WHEN lon < 73.7 THEN round_even(38 * (73.7e0 - lon) * 2.5e0, 1)
- ELSE round_even(-12 * least(1e0, (lon - 73.7e0) * 1.5e0), 1) END AS historical_rain_bias, {_cover(K.SECOND, 3)} AS lulc_crop_pct FROM h""")
+ ELSE round_even(-12 * least(1e0, (lon - 73.7e0) * 1.5e0), 1) END AS historical_rain_bias, {_cover(K.SECOND, "crop")} AS lulc_crop_pct FROM h""")
 def cov2(spark, sf):
     out = K.covariates(spark_view(spark, sf, SITES), "block_id", "village_id", "block", K.SECOND, "MH_PUNE", keep=("village_id",))
     return out.select("village_id", "elevation_mean", "elevation_std", "slope_mean", "historical_rain_bias", "lulc_crop_pct")

@@ -5,13 +5,12 @@ from pyspark.sql import functions as F
 from rainweave.operators import selection as S, verification as V
 from rainweave.workloads import inputs as I
 from rainweave.workloads.allocation import villages
+from rainweave.plans.event_experiment import THRESHOLDS
 from rainweave.workloads.registry import query, table
 
 LI = """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag AS lead, l_quantity AS y,
   l_extendedprice / 1999e0 AS p, l_extendedprice / 105000e0 AS prob, l_quantity * (1 + l_tax) AS q,
   l_shipdate AS d FROM {lineitem}"""
-THRESHOLDS = [0.05, 0.075, 0.1, 0.125, 0.15, 0.175, 0.2, 0.225, 0.25, 0.275, 0.3, 0.325, 0.35, 0.375, 0.4,
-              0.45, 0.5, 0.6, 0.7, 0.8]
 
 
 def items(spark, sf):
