@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from rainweave.functions.order import order_buckets, order_image
+from rainweave.session import cut_lineage
 
 
 def attach(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
@@ -75,32 +76,46 @@ def running_sums(df: DataFrame, groups: list[str], order: Column, sums: dict[str
 
 def exact_quantiles(df: DataFrame, groups: list[str], value: Column, quantiles: dict[str, float],
                     method: str = "linear") -> DataFrame:
-    """Exact quantiles per group without holding a group's values in one aggregator.
+    """Exact quantiles per group by selection: rows are counted in order buckets, and only those of wanted buckets are ranked.
 
-    `linear` interpolates between neighbouring ranks, `lower` takes sorted[floor(q*(n-1))].
+    `linear` interpolates between neighbouring ranks, `lower` takes sorted[floor(q*(n-1))]. Missing values, NaN and infinities
+    are left out. df is read twice, and counts alone are shuffled: first those of buckets, which tell for each wanted rank
+    its bucket, then those of the distinct values in these. The buckets found are written, so the optimizer sees how few they are.
     """
-    ranked = running_sums(df, groups, value, {"n": F.lit(1)}, "__v", totals=True)
-
-    def at(rank: Column) -> Column:
-        holds = (F.col("cum_n") - F.col("n") <= rank) & (rank < F.col("cum_n"))
-        return F.max(F.when(holds, F.col("__v")))
-
-    aggs = []
-    for name, q in quantiles.items():
-        pos = F.lit(float(q)) * (F.col("total_n") - 1)
-        low = F.floor(pos)
-        aggs.append(at(low).alias(f"__lo_{name}"))
-        if method == "linear":
-            aggs.append(at(F.least(low + 1, F.col("total_n") - 1)).alias(f"__hi_{name}"))
-    found = ranked.groupBy(*groups).agg(F.max("total_n").alias("total_n"), *aggs)
+    key = F.struct(*groups) if groups else F.lit(0)
+    rows = df.select(key.alias("__key"), value.alias("__v"))
+    image = order_image(F.col("__v"), rows.schema["__v"].dataType.simpleString())
+    rows = rows.where(F.abs(image) < float("inf")).withColumns(dict(zip(("__b0", "__b1"), order_buckets(image))))
+
+    def ranked(counts, parents, order):
+        """Rows before each row of its parent."""
+        frame = Window.partitionBy(*parents).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return counts.withColumn("__before", F.sum("__n").over(frame) - F.col("__n"))
+
+    coarse = ranked(rows.groupBy("__key", "__b0").agg(F.count(F.lit(1)).alias("__n")), ["__key"], "__b0")
+    coarse = coarse.withColumn("__total", F.sum("__n").over(Window.partitionBy("__key")))
+    last, asked = F.col("__total") - 1, []
+    for k, q in enumerate(quantiles.values()):
+        low = F.floor(F.lit(float(q)) * last)
+        asked += [F.struct(F.lit(2 * k).alias("q"), low.alias("rank")), F.struct(F.lit(2 * k + 1).alias("q"), F.least(low + 1, last).alias("rank"))][:2 if method == "linear" else 1]
+    held = (F.col("__a.rank") >= F.col("__before")) & (F.col("__a.rank") < F.col("__before") + F.col("__n"))
+    wanted = coarse.select("__key", "__b0", "__n", "__before", "__total", F.explode(F.array(*asked)).alias("__a")).where(held)
+    wanted = cut_lineage(wanted.select("__key", "__b0", "__total", F.col("__a.q").alias("__q"), (F.col("__a.rank") - F.col("__before")).alias("__rank")))
+
+    near = (rows.join(wanted.select("__key", "__b0").distinct(), ["__key", "__b0"]).groupBy("__key", "__b0", "__b1", "__v").agg(F.count(F.lit(1)).alias("__n")))
+    parts = ranked(near.groupBy("__key", "__b0", "__b1").agg(F.sum("__n").alias("__n")), ["__key", "__b0"], "__b1")
+    inside = F.col("__rank") - F.col("__before")
+    parts = parts.join(wanted, ["__key", "__b0"]).where((inside >= 0) & (inside < F.col("__n"))).select("__key", "__b0", "__b1", "__total", "__q", inside.alias("__rank"))
+    found = ranked(near, ["__key", "__b0", "__b1"], "__v").join(parts, ["__key", "__b0", "__b1"]).where((inside >= 0) & (inside < F.col("__n")))
+    marks = found.groupBy("__key").agg(F.max("__total").alias("__total"), *[F.max(F.when(F.col("__q") == k, F.col("__v"))).alias(f"__m{k}") for k in range(2 * len(quantiles))])
     out = []
-    for name, q in quantiles.items():
-        lo = F.col(f"__lo_{name}")
+    for k, (name, q) in enumerate(quantiles.items()):
+        lo = F.col(f"__m{2 * k}")
         if method == "linear":
-            pos = F.lit(float(q)) * (F.col("total_n") - 1)
-            lo = lo + (F.col(f"__hi_{name}") - lo) * (pos - F.floor(pos))
+            pos = F.lit(float(q)) * last
+            lo = lo + (F.col(f"__m{2 * k + 1}") - lo) * (pos - F.floor(pos))
         out.append(lo.alias(name))
-    return found.select(*groups, *out)
+    return marks.select(*[F.col("__key")[g].alias(g) for g in groups], *out)
 
 
 def ordinal(df: DataFrame, order: Column, name: str = "idx") -> DataFrame:
