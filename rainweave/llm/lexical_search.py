@@ -22,12 +22,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rainweave.llm.packing import in_small_batches
-from rainweave.llm.shingles import Terms, slices
+from rainweave.llm.shingles import PIECE, Terms, slices
 from rainweave.session import cut_lineage
 
 K = 50
 ITEM_BLOCK = 1024
-MOST_POSTINGS = 1 << 20
+MOST_POSTINGS = 1 << 19
 MOST_DOCUMENTS = 1 << 16
 SEED_SHARE = 16
 POPS = 16
@@ -39,7 +39,7 @@ def item_terms(items: DataFrame, item_id: str = "item_id", text: str = "text") -
     kind = rows.schema["item_id"].dataType.simpleString()
 
     def split(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, most=PIECE):
             found = Terms(batch.column("text"), lower=True)
             terms = [np.unique(found.hashes[0][a:b]).view(np.int64) for a, b in zip(found.first, found.first[1:])]
             yield pa.record_batch([batch.column("item_id"), pa.array(terms, pa.list_(pa.int64()))], ["item_id", "terms"])
@@ -59,7 +59,7 @@ def held_terms(docs: DataFrame, wanted: np.ndarray, doc_id: str, text: str) -> D
 
     def scan(batches):
         wanted = shared.value
-        for batch in slices(batches):
+        for batch in slices(batches, most=PIECE):
             found = Terms(batch.column("text"), lower=True)
             at = np.searchsorted(wanted, found.hashes[0])
             at[at == len(wanted)] = 0

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rainweave.llm.packing import in_small_batches
-from rainweave.llm.shingles import Terms, mix, slices
+from rainweave.llm.shingles import PIECE, Terms, mix, slices
 from rainweave.session import checkpoint_dir, cut_lineage
 
 MOST_EXAMPLES = 40_000
@@ -101,7 +101,7 @@ def examples(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str
     taken = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(taken, "key").select("place", "text", "y")
 
     def read(batches):
-        for batch in slices(batches):
+        for batch in slices(batches, most=PIECE):
             features, bounds = distinct_features(batch.column("text"))
             yield pa.record_batch([batch.column("place"), batch.column("y"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(features.view(np.int32)))],
                                   ["place", "y", "features"])
@@ -226,7 +226,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: tuple[str,
 
     def run(batches):
         model = Model(*shared.value)
-        for batch in slices(batches):
+        for batch in slices(batches, most=PIECE):
             yield pa.record_batch([batch.column("kept"), pa.array(score(batch.column("text"), model))], ["kept", "score"])
 
     return rows.mapInArrow(run, f"kept {rows.schema['kept'].dataType.simpleString()}, score double")
