@@ -140,6 +140,29 @@ def src5(spark, sf):
         F.count_if(F.col("rain_mm") > 0).alias("wet"), F.round(F.sum("rain_mm"), 2).alias("total"))
 
 
+@query("src5_year_grid_planes", f"""WITH {GRID_SQL}
+SELECT year(date) || '.grd' AS file, CAST(dayofyear(date) - 1 AS INTEGER) AS day, CAST(count(*) FILTER (v > 0) AS BIGINT) AS wet, 13500::BIGINT AS measured, round(sum(v::DOUBLE), 2) AS total
+FROM c GROUP BY date""")
+def src5_planes(spark, sf):
+    """A year's planes in one big-endian file, written by the files sink and read plane by plane."""
+    from rainweave.sources import grid_source
+
+    def year(pdf):
+        import numpy as np
+        import pandas as pd
+        dates = pd.to_datetime(pdf["file"])
+        planes = np.full((365 + int(dates.iloc[0].is_leap_year), *grids.SHAPE), grids.MISSING, ">f4")
+        for day, content in zip(dates.dt.dayofyear, pdf["content"]):
+            planes[day - 1] = np.frombuffer(content, "<f4").reshape(grids.SHAPE)
+        return pd.DataFrame({"file": [f"{dates.iloc[0].year}.grd"], "content": [planes.tobytes()]})
+
+    path = f"{checkpoint_dir(spark)}/grids-{uuid.uuid4().hex}"
+    grid_source.write_files(daily_grids(spark, sf).groupBy(F.substring("file", 1, 4)).applyInPandas(year, "file string, content binary"), path)
+    rows = grid_source.scan(spark, path)
+    return rows.groupBy("file", "day").agg(F.count_if(F.col("rain_mm") > 0).alias("wet"), F.count("rain_mm").alias("measured"),
+                                           F.round(F.sum("rain_mm"), 2).alias("total")).where("measured > 0")
+
+
 def _polygon(df, scale, lon, lat):
     c = F.col(df.columns[0])
     corners = [(0, 0), (scale, 0), (scale, scale), (0, scale), (0, 0)]
