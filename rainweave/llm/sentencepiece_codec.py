@@ -23,9 +23,9 @@ from rainweave.llm.shingles import slices
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
-PAIRS = 1_000_000
+PAIRS = 400_000
 SPINES = 40_000
-KEPT_WORDS = 800_000
+KEPT_WORDS = 250_000
 KEPT_LENGTH = 64      # longer words are encoded anew in every batch
 NEVER = -1e30
 
