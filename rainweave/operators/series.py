@@ -9,6 +9,7 @@ from rainweave.operators.distributed import attach, require_empty
 LAGS = {"rain_last": 0, "rain_previous": 1, "rain_two_before": 2, "rain_six_before": 6, "rain_thirteen_before": 13}
 MEANS = (3, 7, 14)
 EVENT_MM = 20.0
+NEIGHBOUR_DAYS = 64
 
 
 def day_number(date) -> Column:
@@ -52,26 +53,29 @@ def lag_features(df: DataFrame, key: list[str], date: str, value: str, lead: int
                  months=None, chunk_days: int = 1024, warmup: int = 14) -> DataFrame:
     """Lags, trailing means, maximum and trends at the cutoff day of each target day.
 
-    Frames are day ranges, so a missing day gives NULL and never shifts another day into place;
-    any missing value inside a trailing mean makes it NULL. The first usable target lies
-    lead + lag + `warmup` days after the first day of the table.
+    A missing day gives NULL and never shifts another day into place; any missing value inside a trailing mean makes it
+    NULL. A key has one row a day (see continuity). The first usable target lies lead + lag + `warmup` days after the
+    first day of the table, of all keys.
     """
     if lead < 1 or lag < 0:
         raise ValueError("Invalid lead or lag")
     cutoff = lead + lag
     first = df.agg(F.min(date).alias("d")).scalar()
     rows = chunked(df.select(*key, date, value), date, cutoff + max(*LAGS.values(), max(MEANS)), chunk_days)
-    w = Window.partitionBy(*key, "__chunk").orderBy("__day")
-
-    def at(k):
-        return F.max(value).over(w.rangeBetween(-(cutoff + k), -(cutoff + k)))
+    w = Window.partitionBy(*key, "__chunk")
+    # missing days become rows without a value, so that a step back in rows is a step back in days; the partitioning stays
+    rows = rows.withColumn("__next", F.lead("__day").over(w.orderBy("__day")))
+    rows = rows.withColumn("__d", F.explode(F.sequence("__day", F.greatest(F.col("__day"), F.coalesce(F.col("__next") - 1, F.col("__day"))))))
+    rows = rows.withColumn("__v", F.when(F.col("__d") == F.col("__day"), F.col(value)))
+    w = w.orderBy("__d")
 
     def trailing(n, fn):
-        frame = w.rangeBetween(-(cutoff + n - 1), -cutoff)
-        return F.when(F.count(value).over(frame) == n, fn(value).over(frame))
+        frame = w.rowsBetween(-(cutoff + n - 1), -cutoff)
+        return F.when(F.count("__v").over(frame) == n, fn("__v").over(frame))
 
-    rows = rows.withColumns({**{name: at(k) for name, k in LAGS.items()},
+    rows = rows.withColumns({**{name: F.lag("__v", cutoff + k).over(w) for name, k in LAGS.items()},
                              **{f"mean{n}": trailing(n, F.avg) for n in MEANS}, "max3": trailing(3, F.max)})
+    rows = rows.where(F.col("__d") == F.col("__day")).drop("__next", "__d", "__v")
     rows = rows.where(F.col("__home") & (F.datediff(F.col(date), first) >= cutoff + warmup))
     if months:
         rows = rows.where(in_months(date, months))
@@ -85,18 +89,22 @@ def neighbour_features(features: DataFrame, adjacency: DataFrame, cell: str, dat
     """Neighbour means at the same cutoff and the share of neighbours at or above 20 mm.
 
     `adjacency` holds (cell, neighbour). One missing neighbour value makes that mean NULL; a missing
-    value is not an event. Rows are reduced by (cell, date) before the shuffle.
+    value is not an event.
     """
-    near = features.select(F.col(cell).alias(neighbour), date, "rain_last", "mean3", "mean7")
-    joined = adjacency.select(cell, neighbour).join(near, neighbour)
+    block = F.floor(day_number(date) / NEIGHBOUR_DAYS)
+    near = features.groupBy(F.col(cell).alias(neighbour), block.alias("__block")).agg(
+        F.collect_list(F.struct(F.col(date).alias("__date"), "rain_last", "mean3", "mean7")).alias("__items"))
+    # days travel packed; dealt by cell and block, they are summed where they are unpacked
+    joined = adjacency.select(cell, neighbour).join(near, neighbour).select(cell, "__block", "__items").repartition(cell, "__block")
+    joined = joined.select(cell, "__block", F.inline("__items"))
 
     def whole_mean(c):
         return F.when(F.count(c) == F.count(F.lit(1)), F.avg(c))
 
-    means = joined.groupBy(cell, date).agg(
+    means = joined.groupBy(cell, "__block", F.col("__date").alias(date)).agg(
         whole_mean("rain_last").alias("neighbor_last"), whole_mean("mean3").alias("neighbor_mean3"),
         whole_mean("mean7").alias("neighbor_mean7"),
-        F.avg(F.when(F.col("rain_last") >= EVENT_MM, 1.0).otherwise(0.0)).alias("neighbor_event_fraction"))
+        F.avg(F.when(F.col("rain_last") >= EVENT_MM, 1.0).otherwise(0.0)).alias("neighbor_event_fraction")).drop("__block")
     return features.join(means, [cell, date], "left")
 
 
