@@ -25,10 +25,13 @@ def build_session(app_name: str = "rainweave", master: str | None = None, **conf
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a folder of the session's warehouse where none is named."""
+    """Shared folder named by the cluster; where none is named, a folder of the session's warehouse, unless that is a local disk of a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints-{uuid.uuid4().hex}"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if not spark.sparkContext.master.startswith("local") and (warehouse.startswith("file:") or "://" not in warehouse):
+            raise ValueError("Name a folder that all executors share in spark.checkpoint.dir: the warehouse is on a local disk")
+        folder = f"{warehouse.rstrip('/')}/checkpoints-{uuid.uuid4().hex}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from rainweave.operators import series as W, spatial as X
+from rainweave.operators.models import LAG_FEATURES
 from rainweave.workloads.registry import query, table
 
 LEAD, LAG = 3, 2
@@ -114,11 +115,13 @@ def win5(spark, sf):
 
 
 @query("win6_benchmark_lags", f"""WITH {FEATURES_SQL}, {CELLS_SQL}
-SELECT {shown_sql('rain_last', 'mean14')}, round(lat, 4) AS lat, round(lon, 4) AS lon FROM usable JOIN cells USING (grid_id)""")
+SELECT {shown_sql(*LAG_NAMES, 'mean3', 'mean7', 'mean14')}, round(lat, 4) AS latitude, round(lon, 4) AS longitude,
+ round(sin(2 * pi() * dayofyear(date) / 365.25e0), 6) AS season_sin, round(cos(2 * pi() * dayofyear(date) / 365.25e0), 6) AS season_cos
+FROM usable JOIN cells USING (grid_id)""")
 def win6(spark, sf):
-    rows = features(spark, sf).join(cells(spark, sf), "grid_id")
-    return rows.select("grid_id", "date", F.round("rain_last", 6).alias("rain_last"), F.round("mean14", 6).alias("mean14"),
-                       F.round("lat", 4).alias("lat"), F.round("lon", 4).alias("lon"))
+    """All twelve features of a feature vector."""
+    rows = features(spark, sf).join(cells(spark, sf), "grid_id").withColumns({"latitude": F.col("lat"), "longitude": F.col("lon")})
+    return rows.select("grid_id", "date", *[F.round(c, 4 if c in ("latitude", "longitude") else 6).alias(c) for c in LAG_FEATURES])
 
 
 @query("win11_persistence_scores", f"""WITH {FEATURES_SQL}

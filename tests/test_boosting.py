@@ -55,3 +55,16 @@ def test_incomplete_rows(spark):
         B.fit_tweedie(df.where("y = 0"), ["a", "b"], "y")
     with pytest.raises(ValueError):
         B.fit_tweedie(df.where("y < -5"), ["a", "b"], "y")
+
+
+def test_folds_side_by_side_equal_folds_one_by_one(spark):
+    from rainweave.operators import models as M
+    from rainweave.plans.downscale import logo_boosted
+    df, _ = amounts(spark, 600)
+    df = df.withColumn("fold", F.when(F.col("a") > 0.9, None).otherwise(F.floor(F.col("b") * 3).cast("int")))
+    got = {r.fold: r.prediction for r in logo_boosted(df, "fold", ["a", "b"], "y", [0, 1, 2, 7, None], trees=3).collect()}
+    assert set(got) == {0, 1, 2}
+    for k in got:
+        model = M.fit_amount(df.where(f"fold is null or fold <> {k}"), ["a", "b"], "y", "squared", 3)
+        want = model.transform(M.assemble(df.where(f"fold = {k}"), ["a", "b"])).agg(F.avg("prediction")).first()[0]
+        assert got[k] == pytest.approx(want)
