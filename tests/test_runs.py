@@ -99,9 +99,9 @@ def test_a_request_prunes_runs_and_dates_when_it_runs(spark, tmp_path):
     for k, name in enumerate(("old", "new", "other")):
         SR.publish(rows(spark, k + 1), path, name, f"2024-02-0{3 if name == 'new' else 1}")
     out = SR.request(spark, path, "2024-01-02")
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    filters = re.search(r"PartitionFilters: \[(isnotnull\(valid_date.*)", plan)[1]
-    assert "dynamicpruni" in filters and "2024-01-02" in filters  # the text is cut there
+    plan = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(out._jdf.queryExecution(), "formatted")
+    filters = re.search(r"PartitionFilters: \[.*2024-01-02.*\]", plan)[0]
+    assert "dynamicpruning" in filters
     assert out.agg(F.sum("v"), F.count("*"), F.max("run")).first()[:] == (2 * sum(range(1, 60, 3)), 20, "new")
     # files opened by the scan: those of one run and one date
     out.collect()
