@@ -16,7 +16,7 @@ LEAST_SCORE = 0.5
 
 
 def written(stage):
-    """A stage's rows, written by its own job in small batches and read again."""
+    """For stages whose rows come out of Python: written by their own job in small batches and read again."""
     @functools.wraps(stage)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         with small_batches(spark):
@@ -33,7 +33,6 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return kept.select(*(F.col("kept")[c].alias(c) for c in docs.columns))
 
 
-@written
 def unshared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops lines that at least three documents share, except in the largest doc_id."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
@@ -41,14 +40,12 @@ def unshared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return rows.select("doc_id", "text", "kept.*", F.length("text").cast("long").alias("n_chars")).select(*docs.columns)
 
 
-@written
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest doc_id of each component of similar documents."""
     groups = ngram_join.similar_components(docs)
     return docs.join(groups.where("component_id < doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
-@written
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item."""
     leaks = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -72,5 +69,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = cut_lineage(stage(spark, docs, sf_dir))
     return docs
